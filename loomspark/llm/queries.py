@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import conversations as conv
+from . import encodings as enc
 
 KEY = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13)))"
 
@@ -27,6 +28,20 @@ def p7_conversations(spark, d) -> DataFrame:
     return conv.conversations(table(spark, d, "messages"), table(spark, d, "sessions"), table(spark, d, "role_names"))
 
 
+def _garbled(spark, d, with_text: bool) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = enc.fit(enc.vocabulary(docs, "text", "source"))
+    return enc.detect(docs, "doc_id", "text", "source", model, with_text)
+
+
+def p10_found(spark, d) -> DataFrame:
+    return _garbled(spark, d, False).select("doc_id")
+
+
+def p10_repaired(spark, d) -> DataFrame:
+    return _garbled(spark, d, True)
+
+
 _MSG = f"""m as (select distinct {KEY.format('session_key')} as k, ordinal, coalesce(r.role_name, {KEY.format('role')}) as role, kind, text from messages left join role_names r on r.raw_role = {KEY.format('role')} where session_key is not null),
 dense as (select k, count(*) = count(distinct ordinal) and min(ordinal) = 0 and max(ordinal) = count(*) - 1 and count(ordinal) = count(*) as ok from m group by k),
 sym as (select k, ordinal, case when kind = 'message' and role = 'user' then 'U' when kind = 'message' and role = 'assistant' then 'A' else 'O' end as s from m where regexp_replace(coalesce(text, ''), '[\\s\\p{{Z}}\\x{{0085}}\\x{{180e}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}]', '', 'g') <> ''),
@@ -34,7 +49,7 @@ nx as (select k, s, lead(s) over w as n1, lead(case when s <> 'O' then s end ign
 rep as (select k, bool_or(s = 'U') and bool_or(s = 'A') and not bool_or(s = 'U' and coalesce(n1, '') <> 'U' and coalesce(n2, '') <> 'A') as ok from nx group by k),
 verdict as (select k, case when d.k is null then 'empty' when not coalesce(d.ok, false) then 'broken' when not coalesce(rep.ok, false) then 'no_reply' end as reason from (select k from m union select {KEY.format('session_key')} from sessions where session_key is not null) a left join dense d using (k) left join rep using (k))"""
 
-QUERIES = {"p7_found": p7_found, "p7_reasons": p7_reasons, "p7_conversations": p7_conversations}
+QUERIES = {"p7_found": p7_found, "p7_reasons": p7_reasons, "p7_conversations": p7_conversations, "p10_found": p10_found, "p10_repaired": p10_repaired}
 SQL = {
     "p7_found": f"with {_MSG} select k as session_key from verdict where reason is not null",
     "p7_reasons": f"with {_MSG} select coalesce(reason, 'kept') as reason, count(*) as n_conversations from verdict group by 1",
