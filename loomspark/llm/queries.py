@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import conversations as conv
 from . import encodings as enc
+from . import pii
 
 KEY = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13)))"
 
@@ -28,6 +29,15 @@ def p7_conversations(spark, d) -> DataFrame:
     return conv.conversations(table(spark, d, "messages"), table(spark, d, "sessions"), table(spark, d, "role_names"))
 
 
+def p4_found(spark, d) -> DataFrame:
+    return pii.find(table(spark, d, "messages"), table(spark, d, "name_roster")).select("message_id", F.col("kind").alias("pii_type")).distinct()
+
+
+def p4_redacted(spark, d) -> DataFrame:
+    messages = table(spark, d, "messages")
+    return pii.redact(messages, pii.find(messages, table(spark, d, "name_roster")))
+
+
 def _garbled(spark, d, with_text: bool) -> DataFrame:
     docs = table(spark, d, "documents")
     model = enc.fit(enc.vocabulary(docs, "text", "source"))
@@ -49,7 +59,7 @@ nx as (select k, s, lead(s) over w as n1, lead(case when s <> 'O' then s end ign
 rep as (select k, bool_or(s = 'U') and bool_or(s = 'A') and not bool_or(s = 'U' and coalesce(n1, '') <> 'U' and coalesce(n2, '') <> 'A') as ok from nx group by k),
 verdict as (select k, case when d.k is null then 'empty' when not coalesce(d.ok, false) then 'broken' when not coalesce(rep.ok, false) then 'no_reply' end as reason from (select k from m union select {KEY.format('session_key')} from sessions where session_key is not null) a left join dense d using (k) left join rep using (k))"""
 
-QUERIES = {"p7_found": p7_found, "p7_reasons": p7_reasons, "p7_conversations": p7_conversations, "p10_found": p10_found, "p10_repaired": p10_repaired}
+QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted, "p7_found": p7_found, "p7_reasons": p7_reasons, "p7_conversations": p7_conversations, "p10_found": p10_found, "p10_repaired": p10_repaired}
 SQL = {
     "p7_found": f"with {_MSG} select k as session_key from verdict where reason is not null",
     "p7_reasons": f"with {_MSG} select coalesce(reason, 'kept') as reason, count(*) as n_conversations from verdict group by 1",
