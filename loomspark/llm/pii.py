@@ -126,10 +126,11 @@ def candidates_of(text: str) -> list[tuple]:
             taken.append((a, b))
             key = form if kind in ("email", "address") or form in ("labelled", "explained") else f"{form} {_shape(m.group())}"
             out.append((a, b, kind, key, seed, *contexts(v, a, b), None))
-    for m in _NAME.finditer(v):
+    rest = v
+    for a, b in taken:
+        rest = rest[:a] + "\x00" * (b - a) + rest[b:]
+    for m in _NAME.finditer(rest):
         a, b = m.span()
-        if any(a < y and x < b for x, y in taken):
-            continue
         out.append((a, b, "person", None, False, *contexts(v, a, b), [(p.group(), a + p.start(), a + p.end()) for p in _PARTS.finditer(m.group())]))
     if at is not None:
         out = [(at[a], at[b], *rest, parts and [(w, at[x], at[y]) for w, x, y in parts]) for a, b, *rest, parts in out]
@@ -234,13 +235,12 @@ def entities(cands: DataFrame, words: DataFrame, accepted: DataFrame, confidence
     yes = accepted.withColumn("yes", F.lit(True))
     at = ["message_id", "row", "start", "end"]
     shapes = cands.filter("kind <> 'person'").join(yes, ["kind", "key"]).select(*at, "kind")
-    people = cands.filter("kind = 'person'").select(*at, "around", F.explode("parts").alias("p")).select(*at, "around", F.col("p.word").alias("key"), "p.a", "p.b")
+    people = cands.filter("kind = 'person'").select(*at, "l", "around", F.explode("parts").alias("p")).select(*at, "l", "around", F.col("p.word").alias("key"), "p.a", "p.b")
     ordinary = words.filter("n_lower >= 20").select(F.initcap("word").alias("key"), F.lit(True).alias("ordinary"))
     p = people.join(yes.filter("kind = 'person'").select("key", "yes"), "key", "left").join(ordinary, "key", "left")
-    spans = p.groupBy(*at, "around").agg(F.min(F.when(F.col("yes"), F.col("a"))).alias("a"), F.max(F.when(F.col("yes"), F.col("b"))).alias("b"), F.max(F.coalesce("ordinary", F.lit(False))).alias("any_word"))
-    sure = confidence.filter("kind = 'person' and confidence >= 0.9 and pattern like 'A %'").select(F.substr("pattern", F.lit(3)).alias("around"))
+    spans = p.groupBy(*at, "l", "around").agg(F.min(F.when(F.col("yes"), F.col("a"))).alias("a"), F.max(F.when(F.col("yes"), F.col("b"))).alias("b"), F.max(F.coalesce("ordinary", F.lit(False))).alias("any_word"))
     named = spans.filter("a is not null").select("message_id", "row", F.col("a").alias("start"), F.col("b").alias("end"))
-    placed = spans.filter("a is null and not any_word").join(sure, "around", "left_semi").select(*at)
+    placed = spans.filter("a is null and not any_word").select(*at, F.explode(F.array(F.concat(F.lit("A "), "around"), F.concat(F.lit("L "), "l"))).alias("pattern")).join(_sure(confidence), "pattern", "left_semi").select(*at).distinct()
     return shapes.unionByName(named.unionByName(placed).withColumn("kind", F.lit("person")))
 
 
@@ -248,11 +248,11 @@ def _bit(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % (8 * FILTER)
 
 
-def uncapitalised(messages: DataFrame, id_col: str, text_col: str, accepted: DataFrame) -> DataFrame:
-    """(message_id, row, start, end, kind): two accepted names in a row written in small or in capital letters only.
+def uncapitalised(messages: DataFrame, id_col: str, text_col: str, accepted: DataFrame, confidence: DataFrame) -> DataFrame:
+    """(message_id, row, start, end, kind): names of two words written in small or in capital letters only.
 
-    A second pass looks for such pairs with a bit map of the accepted names, FILTER bytes whatever their number; a join
-    then makes sure of them.
+    A second pass looks for pairs with a bit map of the accepted names, FILTER bytes whatever their number; joins then
+    make sure of them. Both words must be accepted names, or one of them where the pattern speaks for persons almost surely.
     """
     names = accepted.filter("kind = 'person'").select("key").distinct()
 
@@ -281,25 +281,30 @@ def uncapitalised(messages: DataFrame, id_col: str, text_col: str, accepted: Dat
             for i, row, text in b.itertuples(index=False, name=None):
                 last = None
                 for m in _PLAIN.finditer(text):
-                    if may(m.group()):
-                        if last and last.end() + 1 == m.start() and text[last.end()] == " " and last.group().islower() == m.group().islower():
-                            rows.append((i, row, last.start(), m.end(), last.group().capitalize(), m.group().capitalize()))
-                        last = m
-                    else:
-                        last = None
-            yield pd.DataFrame(rows, columns=["message_id", "row", "start", "end", "one", "two"])
+                    if last and last.end() + 1 == m.start() and text[last.end()] == " " and last.group().islower() == m.group().islower() and (may(m.group()) or may(last.group())):
+                        rows.append((i, row, last.start(), m.end(), last.group().capitalize(), m.group().capitalize(), *contexts(text, last.start(), m.end())[::2]))
+                    last = m
+            yield pd.DataFrame(rows, columns=["message_id", "row", "start", "end", "one", "two", "l", "around"])
 
     m = messages.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("message_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    pairs = m.mapInPandas(run, "message_id long, row long, start int, end int, one string, two string")
-    sure = pairs.join(names.withColumnRenamed("key", "one"), "one", "left_semi").join(names.withColumnRenamed("key", "two"), "two", "left_semi")
-    return sure.select("message_id", "row", "start", "end", F.lit("person").alias("kind"))
+    pairs = m.mapInPandas(run, "message_id long, row long, start int, end int, one string, two string, l string, around string")
+    known = names.withColumn("yes", F.lit(1))
+    judged = pairs.join(known.select(F.col("key").alias("one"), F.col("yes").alias("y1")), "one", "left").join(known.select(F.col("key").alias("two"), F.col("yes").alias("y2")), "two", "left").join(_sure(confidence).select(F.col("pattern").alias("p1"), F.lit(1).alias("y3")), F.concat(F.lit("A "), "around") == F.col("p1"), "left").join(_sure(confidence).select(F.col("pattern").alias("p2"), F.lit(1).alias("y4")), F.concat(F.lit("L "), "l") == F.col("p2"), "left")
+    hits = F.coalesce("y1", F.lit(0)) + F.coalesce("y2", F.lit(0))
+    return judged.filter((hits == 2) | ((hits == 1) & F.coalesce("y3", "y4").isNotNull())).select("message_id", "row", "start", "end", F.lit("person").alias("kind"))
+
+
+def _sure(confidence: DataFrame) -> DataFrame:
+    """The surroundings, and pairs of words before, that speak for persons almost surely."""
+    return confidence.filter("kind = 'person' and confidence >= 0.9 and (pattern like 'A %' or pattern like 'L %')").select("pattern").distinct()
 
 
 def find(messages: DataFrame, roster: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     cands = materialise(candidates(messages, id_col, text_col), "pii_candidates")
     words = materialise(ordinary_words(messages, text_col), "pii_words")
     accepted, confidence = bootstrap(graph(cands, words, roster))
-    return entities(cands, words, accepted, confidence).unionByName(uncapitalised(messages, id_col, text_col, accepted))
+    listed = roster.select(F.lit("person").alias("kind"), F.explode(F.array("given_name", "family_name")).alias("key")).filter("key is not null")
+    return entities(cands, words, accepted, confidence).unionByName(uncapitalised(messages, id_col, text_col, accepted.unionByName(listed), confidence))
 
 
 def redact(messages: DataFrame, found: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
