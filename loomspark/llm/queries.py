@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..functions.keys import text_hash
+from ..session import materialise, table
 from . import conversations as conv
 from . import encodings as enc
-from . import pii
+from . import mixing, packing, pii, tokens
 
 KEY = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13)))"
 
@@ -38,6 +39,35 @@ def p4_redacted(spark, d) -> DataFrame:
     return pii.redact(messages, pii.find(messages, table(spark, d, "name_roster")))
 
 
+def _packed(spark, d) -> tuple[DataFrame, dict[str, int]]:
+    sized = materialise(tokens.with_sizes(table(spark, d, "documents").select("doc_id", "text"), "text"), "sizes")
+    containers = {r[0]: r[1] for r in table(spark, d, "container_sizes").filter("capacity_tokens > 0").collect()}  # a fixed table
+    return packing.pack(sized, containers), containers
+
+
+def p8_assignment(spark, d) -> DataFrame:
+    return _packed(spark, d)[0]
+
+
+def p8_fill(spark, d) -> DataFrame:
+    return packing.fill(*_packed(spark, d))
+
+
+def _mixed(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "source", text_hash(F.col("text")).alias("h"), "text")
+    flat = docs.select("doc_id", "source", F.col("h.a").alias("a"), F.col("h.b").alias("b"), "text")
+    sized = materialise(tokens.with_sizes(flat, "text"), "sizes").select("doc_id", "source", F.struct("a", "b").alias("h"), "n_tokens")
+    return mixing.mix(sized, table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark, d) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p9_shares(spark, d) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
 def _garbled(spark, d, with_text: bool) -> DataFrame:
     docs = table(spark, d, "documents")
     model = enc.fit(enc.vocabulary(docs, "text", "source"))
@@ -59,7 +89,7 @@ nx as (select k, s, lead(s) over w as n1, lead(case when s <> 'O' then s end ign
 rep as (select k, bool_or(s = 'U') and bool_or(s = 'A') and not bool_or(s = 'U' and coalesce(n1, '') <> 'U' and coalesce(n2, '') <> 'A') as ok from nx group by k),
 verdict as (select k, case when d.k is null then 'empty' when not coalesce(d.ok, false) then 'broken' when not coalesce(rep.ok, false) then 'no_reply' end as reason from (select k from m union select {KEY.format('session_key')} from sessions where session_key is not null) a left join dense d using (k) left join rep using (k))"""
 
-QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted, "p7_found": p7_found, "p7_reasons": p7_reasons, "p7_conversations": p7_conversations, "p10_found": p10_found, "p10_repaired": p10_repaired}
+QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted, "p7_found": p7_found, "p7_reasons": p7_reasons, "p7_conversations": p7_conversations, "p8_assignment": p8_assignment, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_repaired": p10_repaired}
 SQL = {
     "p7_found": f"with {_MSG} select k as session_key from verdict where reason is not null",
     "p7_reasons": f"with {_MSG} select coalesce(reason, 'kept') as reason, count(*) as n_conversations from verdict group by 1",
