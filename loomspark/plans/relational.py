@@ -325,10 +325,10 @@ def recency(t):
     return t.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("m")).select("o_custkey", F.round(st.recency(F.datediff(F.lit(at), "m")), 6).alias("recency"))
 
 
-@query("X11_session_derivations", f"with m as (select {K.format('session_key')} as k, ordinal, role, kind, text from messages where session_key is not null), u as (select k, min(ordinal) as o from m where kind = 'message' and {K.format('role')} in ('user', 'human') and text is not null group by 1) select m.k as session_key, min(left(trim(regexp_replace(m.text, '\\s+', ' ', 'g')), 160)) as title from m join u on m.k = u.k and m.ordinal = u.o where m.kind = 'message' and {K.format('m.role')} in ('user', 'human') and m.text is not null group by 1")
+@query("X11_session_derivations", f"with m as (select {K.format('session_key')} as k, ordinal, role, kind, text from messages where session_key is not null), u as (select k, min(ordinal) as o from m where kind = 'message' and {K.format('role')} in ('user', 'human') and text is not null group by 1) select m.k as session_key, min(left(trim(regexp_replace(m.text, '[\\s\\x{{00A0}}]+', ' ', 'g')), 160)) as title from m join u on m.k = u.k and m.ordinal = u.o where m.kind = 'message' and {K.format('m.role')} in ('user', 'human') and m.text is not null group by 1")
 def derivations(t):
     m = t.messages.filter("session_key is not null and kind = 'message' and text is not null and ordinal is not null").filter(norm_key("role").isin("user", "human"))
-    title = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 160)
+    title = F.substring(F.trim(F.regexp_replace("text", r"[\s\u00a0]+", " ")), 1, 160)
     return m.groupBy(norm_key("session_key").alias("session_key")).agg(F.min(F.struct("ordinal", title.alias("title"))).alias("m")).select("session_key", "m.title")
 
 
