@@ -69,7 +69,7 @@ FORMS: list[tuple[str, str, bool, re.Pattern]] = [
         ("address", "spanish", True, rf"(?<![\w.])(?:{_ES})(?: d(?:el|e)(?: l[ao]s?)?)? (?:{_CAP} ){{1,3}}\d{{1,4}}(?:, ?\d{{1,2}}\.? ?[ºª°]\.?(?: ?[A-Z]\b)?)?, (?:\d{{5}} )?{_PLACE}"),
     ]
 ]
-_NAME = re.compile(rf"(?<![\w@/_\\.#-])(?<!\.\.){_CAP}(?:-{_CAP})*(?:(?:\. |, | (?:[A-Z]\.? )?){_CAP}(?:-{_CAP})*)*(?![\w@/_]|\.\w|[(\[]at[)\]])")
+_NAME = re.compile(rf"(?<![\w@/_\\.#-])(?<!\.\.){_CAP}(?:-{_CAP})*(?:(?:\. |, | (?:[A-Z]\.? )?){_CAP}(?:-{_CAP})*)*(?![\w@/_]|[.-]\w|[(\[]at[)\]])")
 _PARTS = re.compile(_CAP)
 _LOWER = re.compile(r"(?<![\w@./_+-])[a-zß-öø-ÿ]{2,}(?![\w@/_+]|[.-]\w| ?[(\[]at| at \w+ dot)")
 _PLAIN = re.compile(r"(?<![\w@./_+-])(?:[a-zß-öø-ÿ]{3,}|[A-ZÀ-ÖØ-Þ]{3,})(?![\w@/_+]|[.-]\w| ?[(\[]at| at \w+ dot)")
@@ -148,7 +148,8 @@ def candidates(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = []
             for i, row, text in b.itertuples(index=False, name=None):
                 rows += [(i, row, *c) for c in candidates_of(text)]
-            yield pd.DataFrame(rows, columns=["message_id", "row", "start", "end", "kind", "key", "seed", "l", "r", "around", "parts"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["message_id", "row", "start", "end", "kind", "key", "seed", "l", "r", "around", "parts"])
 
     m = messages.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("message_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     return m.mapInPandas(run, _CAND)
@@ -262,7 +263,7 @@ def uncapitalised(messages: DataFrame, id_col: str, text_col: str, accepted: Dat
             for w in b["key"]:
                 i = _bit(w.lower())
                 own[i >> 3] |= 1 << (i & 7)
-        yield pd.DataFrame({"at": [i for i, x in enumerate(own) if x], "v": [x for x in own if x]})
+        yield pd.DataFrame({"at": [i for i, x in enumerate(own) if x], "v": [x for x in own if x]}, dtype="int32")
 
     table = bytearray(FILTER)
     for r in names.mapInPandas(bits, "at int, v int").groupBy("at").agg(F.bit_or("v").alias("v")).collect():  # FILTER rows at most
