@@ -169,7 +169,8 @@ def symbols(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for fid, text in b.itertuples(index=False, name=None):
                 rows, _, how = extract(text)
                 out += [(fid, "sym_" + sha(f"{fid}|{s['symbol_path']}|{s['line_start']}")[:12], s["name"], s["symbol_path"], s["kind"], s["line_start"], s["line_end"], s["signature"], s["decorators"], s["calls"], s["types"], s["content_fp"], s["skeleton_fp"], s["alpha_fp"], s["token_signature"], s["n_tokens"], how) for s in rows]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SYMBOL.split(", ")])
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in _SYMBOL.split(", ")])
 
     return files.filter(F.octet_length(text_col) <= MAX_BYTES).select(F.col(id_col).cast("string").alias("f"), F.col(text_col).alias("t")).mapInPandas(run, _SYMBOL)
 
