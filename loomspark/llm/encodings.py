@@ -229,7 +229,8 @@ def vocabulary(docs: DataFrame, text_col: str, source_col: str) -> DataFrame:
             if len(acc) > 200_000:
                 yield pd.DataFrame([(s, w, n) for (s, w), n in acc.items()], columns=["slot", "word", "n"])
                 acc = {}
-        yield pd.DataFrame([(s, w, n) for (s, w), n in acc.items()], columns=["slot", "word", "n"])
+        if acc:
+            yield pd.DataFrame([(s, w, n) for (s, w), n in acc.items()], columns=["slot", "word", "n"])
 
     def read(batches):
         for b in batches:
@@ -336,6 +337,7 @@ def detect(docs: DataFrame, id_col: str, text_col: str, source_col: str, model:
                     if with_text:
                         row += ("\n".join(repair_line(x, fixed[q]) if (q := QUOTED.sub("``", x)) in fixed else x for x in text.split("\n")),)
                     out.append(row)
-            yield pd.DataFrame(out, columns=["doc_id", "chain", "log_odds", "lost", *["text"] * with_text])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "chain", "log_odds", "lost", *["text"] * with_text])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).mapInPandas(run, schema)

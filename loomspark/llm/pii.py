@@ -167,7 +167,8 @@ def ordinary_words(messages: DataFrame, text_col: str) -> DataFrame:
             if len(acc) > 200_000:
                 yield pd.DataFrame({"word": list(acc), "n": list(acc.values())})
                 acc = {}
-        yield pd.DataFrame({"word": list(acc), "n": list(acc.values())}, columns=["word", "n"])
+        if acc:
+            yield pd.DataFrame({"word": list(acc), "n": list(acc.values())})
 
     return messages.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n_lower"))
 
@@ -263,7 +264,8 @@ def uncapitalised(messages: DataFrame, id_col: str, text_col: str, accepted: Dat
             for w in b["key"]:
                 i = _bit(w.lower())
                 own[i >> 3] |= 1 << (i & 7)
-        yield pd.DataFrame({"at": [i for i, x in enumerate(own) if x], "v": [x for x in own if x]}, dtype="int32")
+        if any(own):
+            yield pd.DataFrame({"at": [i for i, x in enumerate(own) if x], "v": [x for x in own if x]}, dtype="int32")
 
     table = bytearray(FILTER)
     for r in names.mapInPandas(bits, "at int, v int").groupBy("at").agg(F.bit_or("v").alias("v")).collect():  # FILTER rows at most
@@ -285,7 +287,8 @@ def uncapitalised(messages: DataFrame, id_col: str, text_col: str, accepted: Dat
                     if last and last.end() + 1 == m.start() and text[last.end()] == " " and last.group().islower() == m.group().islower() and (may(m.group()) or may(last.group())):
                         rows.append((i, row, last.start(), m.end(), last.group().capitalize(), m.group().capitalize(), *contexts(text, last.start(), m.end())[::2]))
                     last = m
-            yield pd.DataFrame(rows, columns=["message_id", "row", "start", "end", "one", "two", "l", "around"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["message_id", "row", "start", "end", "one", "two", "l", "around"])
 
     m = messages.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("message_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     pairs = m.mapInPandas(run, "message_id long, row long, start int, end int, one string, two string, l string, around string")
@@ -325,6 +328,7 @@ def redact(messages: DataFrame, found: DataFrame, id_col: str = "id", text_col:
                             at = s["end"]
                     text = "".join([*pieces, text[at:]])
                 out.append((i, text))
-            yield pd.DataFrame(out, columns=["message_id", "text"])
+            if out:
+                yield pd.DataFrame(out, columns=["message_id", "text"])
 
     return m.join(spans, ["message_id", "row"], "left").select("message_id", "text", "spans").mapInPandas(run, "message_id long, text string")
