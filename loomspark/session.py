@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +58,28 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session: as a zip in the shared folder, for workers that don't have it installed."""
+    if getattr(spark.sparkContext, "_loomspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    p = os.path.join(folder, n)
+                    z.write(p, os.path.join("loomspark", os.path.relpath(p, root)))
+    path = f"{shared_dir(spark)}/loomspark-{uuid.uuid4().hex}.zip"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    _MADE.append((spark, path))
+    spark.sparkContext.addPyFile(path)
+    spark.sparkContext._loomspark_shipped = True
+
+
 def drop_materialised(df: DataFrame) -> None:
     """Delete the written tables that df reads; only for intermediates nobody reads any more."""
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
