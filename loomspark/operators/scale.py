@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 HOT_ROWS = 50_000
 
 
@@ -43,3 +45,21 @@ def running_total(df: DataFrame, group: list[str], order: str, value: Column, na
     cond = [own[g].eqNullSafe(offsets[g]) for g in [*group, "_b"]]
     joined = own.join(offsets, cond, "left").select(*[own[c] for c in df.columns], (F.col("_in") + F.col("_off")).alias(name))
     return joined
+
+
+def previous(df: DataFrame, group: str, order: list[str], take: list[str], name: str = "prev", at_least: int = HOT_ROWS) -> DataFrame:
+    """df plus `name`: the struct of `take` of the row before in the group's order (null for the first); `order` must be total.
+
+    Without hot groups that is a plain window. With one, rows are split by ranges of (group, order), each range looks
+    back within itself, and its first row takes the last row of the range before, of which there are as many as ranges.
+    """
+    here = F.struct(*take)
+    if not hot_keys(df, group, at_least):
+        return df.withColumn(name, F.lag(here).over(Window.partitionBy(group).orderBy(*order)))
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = materialise(df.repartitionByRange(n, group, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    own = x.withColumn("_l", F.lag(here).over(Window.partitionBy(group, "_p").orderBy(*order)))
+    ends = x.groupBy(group, "_p").agg(F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], here.alias("_t"))).alias("_e"))
+    carry = ends.withColumn("_c", F.lag("_e._t").over(Window.partitionBy(group).orderBy("_p"))).filter("_c is not null").select(F.col(group).alias("_g"), "_p", "_c")
+    j = own.join(carry, own[group].eqNullSafe(carry["_g"]) & (own["_p"] == carry["_p"]), "left")
+    return j.select(*[own[c] for c in df.columns], F.coalesce("_l", "_c").alias(name))

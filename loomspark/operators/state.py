@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scale import previous
+
 # How far an anchor's state may be trusted, best first.
 ANCHOR_RANK = ["ACTIVE", "DRIFTED", "NEEDS_REVIEW", "ORPHANED", "RESOLVED", "SUPERSEDED"]
 EXPORT_RANK = ["ACTIVE", "SUPERSEDED", "DRIFTED", "NEEDS_REVIEW", "RESOLVED", "ORPHANED"]
@@ -109,11 +111,17 @@ def anchor_cascade(anchors: DataFrame, symbols: DataFrame, similar: DataFrame) -
 
 
 def versions(changes: DataFrame, key: str, at: str, cols: list[str], tie: list[str]) -> DataFrame:
-    """Slowly changing dimension: one row for each stretch in which the columns did not change, with valid_from, valid_until (null for the last) and version."""
+    """Slowly changing dimension: one row for each stretch in which the columns did not change, with valid_from, valid_until (null for the last) and version.
+
+    Looking back goes through `scale.previous`, so a key with very many changes is no problem; what is left to number
+    are the stretches.
+    """
     w = Window.partitionBy(key).orderBy(at, *tie)
-    state = F.struct(*cols)
-    first = F.row_number().over(w) == 1
-    starts = changes.withColumn("_new", first | ~state.eqNullSafe(F.lag(state).over(w))).filter("_new")
+    x = previous(changes, key, [at, *tie], [*cols, at], "_prev")
+    same = F.col("_prev").isNotNull()
+    for c in cols:
+        same = same & F.col(f"_prev.{c}").eqNullSafe(F.col(c))
+    starts = x.filter(~same)
     return starts.select(key, *cols, F.col(at).alias("valid_from"), F.lead(at).over(w).alias("valid_until"), F.row_number().over(w).alias("version"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key
+from ..operators import scale as sc
 from ..operators import state as st
 from ..operators import text as tx
 from ..session import table
@@ -204,8 +205,8 @@ def first_occurrence(t):
 
 @query("W6_collapse_adjacent", "select event_id from (select event_id, event_type, lag(event_type) over (partition by user_id order by ts) as p from events) where p is null or p <> event_type")
 def collapse(t):
-    p = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts"))
-    return t.events.select("event_id", "event_type", p.alias("p")).filter("p is null or p <> event_type").select("event_id")
+    p = sc.previous(t.events.select("event_id", "user_id", "ts", "event_type"), "user_id", ["ts"], ["event_type"], "p")
+    return p.filter("p is null or p.event_type <> event_type").select("event_id")
 
 
 @query("W7_siblings", "select event_id, lag(event_id) over w as prev_id, lead(event_id) over w as next_id from events window w as (partition by user_id order by ts)")
