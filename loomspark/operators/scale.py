@@ -31,12 +31,14 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how:
     return a.join(b, [key, "_salt"], how).drop("_salt")
 
 
-def running_total(df: DataFrame, group: list[str], order: str, value: Column, name: str, buckets: int = 64) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], order: str, value: Column, name: str, buckets: int | None = None) -> DataFrame:
     """Exclusive running sum of `value` within `group`, in the order (hash bucket of `order`, `order`).
 
-    A group of any size is spread over `buckets` tasks: the buckets' sums are added up first (at most `buckets` rows a
-    group), then each bucket runs its own window from its offset. `order` must be unique within the group.
+    A group of any size is spread over `buckets` tasks (as many as shuffle partitions, 64 at least): the buckets' sums are
+    added up first (at most `buckets` rows a group), then each bucket runs its own window from its offset. `order` must be
+    unique within the group.
     """
+    buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = df.withColumn("_v", value.cast("long")).withColumn("_b", F.pmod(F.xxhash64(F.col(order)), F.lit(buckets)).cast("int"))
     w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = part.groupBy(*group, "_b").agg(F.sum("_v").alias("_s")).withColumn("_off", F.coalesce(F.sum("_s").over(w), F.lit(0))).drop("_s")
