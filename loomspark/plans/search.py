@@ -18,16 +18,16 @@ def norm_sql(t: str) -> str:
     return NORM.format(t=t)
 
 
-def bm25_sql(source: str, text: str, needles: list[str], cols: str) -> str:
+def bm25_sql(source: str, text: str, needles: list[str], cols: str, p: str = "") -> str:
     """The same scoring in SQL: a query whose last part is a relation `scored` with the columns and score."""
     tfs = ", ".join(f"(length(n) - length(replace(n, '{x}', ''))) / {len(x)}.0 as tf{i}" for i, x in enumerate(needles))
     dfs = ", ".join(f"sum(case when tf{i} > 0 then 1 else 0 end) as df{i}" for i in range(len(needles)))
     part = " + ".join(f"ln((st.cnt - st.df{i} + 0.5) / (st.df{i} + 0.5) + 1) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / st.avgdl))" for i in range(len(needles)))
     anyhit = " or ".join(f"tf{i} > 0" for i in range(len(needles)))
-    return f"""base as (select {cols}, {norm_sql(text)} as n from {source}),
-tf as (select *, case when n = '  ' then 0 else (length(n) - length(replace(n, '  ', ''))) / 2 + 1 end as dl, {tfs} from base),
-st as (select count(*) as cnt, avg(dl) as avgdl, {dfs} from tf),
-scored as (select tf.*, {part} as score from tf, st where {anyhit})"""
+    return f"""{p}base as (select {cols}, {norm_sql(text)} as n from {source}),
+{p}tf as (select *, case when n = '  ' then 0 else (length(n) - length(replace(n, '  ', ''))) / 2 + 1 end as dl, {tfs} from {p}base),
+{p}st as (select count(*) as cnt, avg(dl) as avgdl, {dfs} from {p}tf),
+{p}scored as (select x.*, {part} as score from {p}tf x, {p}st st where {anyhit})"""
 
 
 def _doc_hits(spark, d) -> DataFrame:
@@ -183,6 +183,8 @@ SQL = {
     "F13_recall": f"with {_MSG}, own as (select distinct lower(trim(session_key, ' ' || chr(9) || chr(10) || chr(13))) as k from sessions where repo_root like '/srv/work/u1%' or cwd like '/srv/work/u1%'), mm as (select * from m where session_key in (select k from own)), {bm25_sql('mm', 'text', [' ranking ', ' baseline ', ' cause '], 'id, session_key, kind, text')}, h as (select id, session_key, round(score, 6) as score from scored where kind in ('message', 'summary')), r as (select *, row_number() over (partition by session_key order by score desc, id) as rn from h) select id, session_key, score from r where rn <= 2 order by score desc, id limit 5",
     "J11_W8_context": f"with {_MSG}, o as (select session_key, ordinal, min(id) as id from m group by 1, 2), h as (select session_key, ordinal from o where id % 50 = 0 and ordinal is not null) select o.session_key, h.ordinal as hit, o.ordinal, o.id, h.ordinal = o.ordinal as is_match from o join h on o.session_key = h.session_key and o.ordinal between h.ordinal - 2 and h.ordinal + 1",
     "W4_budget": f"with {bm25_sql('documents', 'text', [' retry ', ' queue ', ' lease '], 'doc_id, text')}, t as (select doc_id, cast(ceil(length(text) / 4.0) as bigint) as cost, round(score, 6) as score from scored order by score desc, doc_id limit 12), r as (select *, sum(cost) over (order by score desc, doc_id rows unbounded preceding) as run, row_number() over (order by score desc, doc_id) as rn from t) select doc_id, cost, score from r where run <= 2000 or rn = 1",
+    "V6_W1_rrf": f"with {bm25_sql('documents', 'text', [' lease ', ' ledger '], 'doc_id, text', 'a')}, {bm25_sql('documents', 'text', [' cursor ', ' index '], 'doc_id, text', 'b')}, ra as (select doc_id, 10.0 / (9 + row_number() over (order by round(score, 6) desc, doc_id)) as v, row_number() over (order by round(score, 6) desc, doc_id) as rn from ascored), rb as (select doc_id, 10.0 / (9 + row_number() over (order by round(score, 6) desc, doc_id)) as v, row_number() over (order by round(score, 6) desc, doc_id) as rn from bscored), t as (select doc_id, sum(v) as v from (select * from ra where rn <= 120 union all select * from rb where rn <= 120) group by 1) select doc_id, round(v / max(v) over (), 6) as score from t",
+    "V5_semantic_seeds": "with q as (select cast(embedding as double[]) as e from embeddings where vec_id = 7), s as (select vec_id, row_number() over (order by list_dot_product(cast(embedding as double[]), q.e) desc, vec_id) - 1 as rk from embeddings, q), n as (select * from s where rk < 60), l as (select vec_id from embeddings where label = 3) select coalesce(l.vec_id, n.vec_id) as vec_id, case when l.vec_id is not null then 0.5 else 0 end::double as lex, round(case when n.rk is null then 0 else 10.0 / (10 + n.rk) end, 6)::double as sem from l full join n on l.vec_id = n.vec_id where l.vec_id is not null or n.rk < 20",
     "V3_O4_cosine_topk": "with q as (select embedding as e from embeddings where vec_id = 0), s as (select vec_id, round(list_dot_product(cast(embedding as double[]), cast(q.e as double[])), 5) as similarity, list_dot_product(cast(embedding as double[]), cast(q.e as double[])) as s from embeddings, q) select vec_id, similarity from s order by s desc, vec_id limit 60",
     "A16_retrieval_metrics": "with q as (select * from embeddings where vec_id % 100 = 0), s as (select q.vec_id as qid, q.label = e.label as good, row_number() over (partition by q.vec_id order by list_dot_product(cast(e.embedding as double[]), cast(q.embedding as double[])) desc, e.vec_id) as rk from q join embeddings e on e.vec_id <> q.vec_id), g as (select q.vec_id as qid, min(case when good then rk end) as rk from q left join s on s.qid = q.vec_id group by 1) select count(*) as n_queries, round(avg(coalesce(1.0 / rk, 0)), 6) as mrr, round(avg(case when rk <= 1 then 1.0 else 0 end), 6) as hit_at_1, round(avg(case when rk <= 5 then 1.0 else 0 end), 6) as hit_at_5, round(avg(case when rk <= 10 then 1.0 else 0 end), 6) as hit_at_10 from g",
     "F22_grep": "with x as (select doc_id, unnest(regexp_extract_all(text, 'recall_at_10\\s*=\\s*\\d\\.\\d+')) as match, unnest(range(len(regexp_extract_all(text, 'recall_at_10\\s*=\\s*\\d\\.\\d+')))) as k, text from documents) select doc_id, match, cast(case when k = 0 then strpos(text, match) - 1 else null end as bigint) as start from x order by doc_id, k limit 40",
