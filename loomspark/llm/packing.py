@@ -66,9 +66,11 @@ def pack(items: DataFrame, containers: dict[str, int], id_col: str = "doc_id") -
 
     items: unique ids and n_tokens. An item larger than the capacity is split: each full piece has a container of its
     own, the rest is packed like an item. Items without tokens take no space and lie in container 0. Capacities must be
-    positive; without items there are no rows.
+    positive; without items or containers there are no rows.
     """
     spark = items.sparkSession
+    if not containers:
+        return spark.createDataFrame([], f"container_name string, container_id long, {id_col} {items.schema[id_col].dataType.simpleString()}, piece int, from_token long, n_tokens long")
     kinds = F.array(*[F.struct(F.lit(n).alias("container_name"), F.lit(c).cast("long").alias("capacity")) for n, c in sorted(containers.items())])
     each = items.select(F.col(id_col).alias("id"), "n_tokens", F.explode(kinds).alias("c")).select("id", "n_tokens", "c.*")
     cut = each.withColumn("n_full", F.when(F.col("n_tokens") > F.col("capacity"), F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(0).cast("long")).withColumn("rest", (F.col("n_tokens") - F.col("n_full") * F.col("capacity")).cast("long"))
@@ -93,7 +95,7 @@ def pack(items: DataFrame, containers: dict[str, int], id_col: str = "doc_id") -
 
 def fill(packed: DataFrame, containers: dict[str, int]) -> DataFrame:
     """Per kind of container: how many, their space, the tokens in them and the share of space unused."""
-    capacity = F.element_at(F.create_map(*[F.lit(x) for kv in containers.items() for x in kv]), F.col("container_name")).cast("long")
+    capacity = (F.element_at(F.create_map(*[F.lit(x) for kv in containers.items() for x in kv]), F.col("container_name")) if containers else F.lit(None)).cast("long")
     per = packed.groupBy("container_name", "container_id").agg(F.sum("n_tokens").alias("t"))
     out = per.groupBy("container_name").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("n_tokens"), F.max("t").alias("fullest"))
     return out.select("container_name", capacity.alias("capacity_tokens"), "n_containers", "n_tokens", "fullest", (1 - F.col("n_tokens") / (F.col("n_containers") * capacity)).alias("unused_share"))

@@ -32,7 +32,7 @@ def encoder(path: str):
 def with_sizes(docs: DataFrame, text_col: str, path: str | None = None) -> DataFrame:
     """docs without the text, with n_tokens; a null text has 0. Whole texts are encoded."""
     path = path or default_vocabulary()
-    others = [f for f in docs.schema.fields if f.name != text_col]
+    others = [f for f in docs.schema.fields if f.name not in (text_col, "n_tokens")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens long"])
 
     def run(batches):
