@@ -15,6 +15,11 @@ import re
 import zlib
 
 import pandas as pd
+
+try:
+    import ahocorasick
+except ImportError:  # the gates then look for one word after the other
+    ahocorasick = None
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,45 +40,60 @@ _FR = r"rue|avenue|boulevard|place|chemin|impasse|all[ée]e|quai|cours|route|pas
 _ES = r"Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Carrera|Ronda|Travesía|C/"
 _GAP = r"(?:,\s*|\s*\n\s*)"
 
-#: (type, form, is it a seed, pattern). The form and the shape of what was found make the instance key.
-FORMS: list[tuple[str, str, bool, re.Pattern]] = [
-    (t, name, seed, re.compile(p))
-    for t, name, seed, p in [
-        ("email", "plain", True, r"(?<![\w.+/@-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w@]|:[\w/~])"),
-        ("email", "bracketed", False, r"(?<![\w.+@-])[A-Za-z0-9][A-Za-z0-9._%+-]* ?[(\[{<]\s?(?:at|AT|@)\s?[)\]}>] ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[{<]\s?(?:dot|DOT|\.)\s?[)\]}>]) ?[A-Za-z0-9-]+)+"),
-        ("email", "spelled", False, r"(?<![\w.+@-])[A-Za-z0-9][A-Za-z0-9._%+-]* (?:at|AT) [A-Za-z0-9-]+(?: (?:dot|DOT) [A-Za-z0-9-]+)+"),
-        ("id_number", "labelled", True, r"(?i:\b(?:ssn|social security(?: no\.?| number)?|passport(?: no\.?| number)?|national insurance(?: no\.?| number)?|ni (?:number|no\.?)|n\.?i\.?e\.?|dni|steuer-?id(?:nr\.?)?|tax id|national[_ ]id|insurance no\.?|id card)\b)[\s\"':=#.]{1,6}(?P<x>(?:[A-Z]{1,2} ?)?\d[\d -]{4,14}\d(?:[ -]?[A-Z])?)(?![\w-])"),
-        ("id_number", "explained", True, r"(?<![\w.+/@#-])(?:[A-Z]{1,2} ?)?\d[\d -]{4,12}\d ?[A-Z]?(?= (?:\((?:social security|ssn|dni|passport|tax id)\)|as (?:national insurance|social security|passport|tax) (?:no|number|id)))"),
-        ("id_number", "insurance", False, _START + r"[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]" + _END),
-        ("id_number", "social", False, _START + r"\d{3}-\d{2}-\d{4}" + _END),
-        ("id_number", "national", False, _START + r"\d{3}-\d{4}-\d{4}" + _END),
-        ("id_number", "letter last", False, _START + r"\d{8}-?[A-Z]" + _END),
-        ("id_number", "tax", False, _START + r"\d{2} \d{3} \d{3} \d{3}" + _END),
-        ("id_number", "document", False, _START + r"[A-Z]\d{8}" + _END),
-        ("phone", "international", True, r"(?<![\w.+/@#-])(?:tel:)?\+\d{1,3}[ .-]?(?:\(0\) ?)?(?:\(\d{1,4}\) ?)?\d{1,5}(?:[ ./-]\d{2,6}){1,5}" + _EXT + _END),
-        ("phone", "joined", True, r"(?<![\w.+/@#-])(?:tel:)?\+\d{10,14}" + _EXT + _END),
-        ("phone", "bracketed", False, r"(?<![\w.+/@#-])(?:1[ -])?\(\d{3}\) ?\d{3}[ .-]\d{4}" + _EXT + _END),
-        ("phone", "trunk one", False, _START + r"1[-. ]\d{3}[-. ]\d{3}[-. ]\d{4}" + _EXT + _END),
-        ("phone", "ten", False, _START + r"\d{3}([-. ])\d{3}\1\d{4}" + _EXT + _END),
-        ("phone", "five pairs", False, _START + r"0\d(?:[. -]\d{2}){4}" + _END),
-        ("phone", "slash", False, _START + r"0\d{2,4}/\d{3,6}(?:[ -]\d{2,4})?" + _END),
-        ("phone", "trunk zero", False, _START + r"0\d{2,4} \d{3,4} ?\d{3,4}" + _END),
-        ("address", "english, postcode", True, rf"(?<![\w.])(?:(?:Unit|Flat|Suite) \d+[A-Z]?, )?\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{_EN})\b\.?(?:, (?:Apt|Unit|Suite|Flat)\.? \w+)?{_GAP}{_PLACE},? (?:[A-Z]{{2}} )?\d{{5}}\b"),
-        ("address", "english", False, rf"(?<![\w.])(?:(?:Unit|Flat|Suite) \d+[A-Z]?, )?\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{_EN})\b\.?(?:, (?:Apt|Unit|Suite|Flat)\.? \w+)?{_GAP}{_CAP}"),
-        ("address", "english, flat", False, rf"(?<![\w.])(?:Unit|Flat|Suite) \d+[A-Z]?, \d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{_EN})\b|(?<![\w.])\d{{1,5}} (?:{_CAP} ){{1,3}}(?:{_EN})\b\.?, (?:Apt|Unit|Suite|Flat)\.? \w+"),
-        ("address", "capitals", False, rf"(?<![\w.])\d{{1,5}} (?:[A-Z]{{3,}} ){{1,3}}(?:{_EN.upper()})\b,? [A-Z]{{3,}}(?: \d{{5}})?"),
-        ("address", "german", True, rf"(?<![\w.])(?:(?:Am|Im|An der|An den|Auf der|Auf dem|Zum|Zur) )?{_CAP}(?:[ -]{_CAP})?\.? \d{{1,4}} ?[a-z]?, (?:D-)?\d{{5}} {_CAP}"),
-        ("address", "german, no town", False, rf"(?<![\w.]){_CAP}(?:straße|strasse|str\.|weg|steig|platz|allee|gasse|damm|ufer) \d{{1,4}}\b"),
-        ("address", "french, postcode", True, rf"(?<![\w.])\d{{1,4}}(?: (?:bis|ter))?,? (?:{_FR})(?: d(?:u|e|es)(?: la)?)? ?(?:[lLdD]['’])?[\w'’ -]{{2,40}}?, \d{{5}} {_PLACE}"),
-        ("address", "french", False, rf"(?<![\w.])\d{{1,4}}(?: (?:bis|ter))?,? (?:{_FR})(?: d(?:u|e|es)(?: la)?)? ?(?:[lLdD]['’])?(?:{_CAP}[ -]?){{1,3}}, {_PLACE}"),
-        ("address", "spanish", True, rf"(?<![\w.])(?:{_ES})(?: d(?:el|e)(?: l[ao]s?)?)? (?:{_CAP} ){{1,3}}\d{{1,4}}(?:, ?\d{{1,2}}\.? ?[ºª°]\.?(?: ?[A-Z]\b)?)?, (?:\d{{5}} )?{_PLACE}"),
+#: (type, form, is it a seed, gate, pattern). The form and the shape of what was found make the instance key. A text is
+#: searched only if it passes the form's gate, a test that every match of the pattern passes and that costs little.
+FORMS: list[tuple[str, str, bool, str, re.Pattern]] = [
+    (t, name, seed, gate, re.compile(p))
+    for t, name, seed, gate, p in [
+        ("email", "plain", True, "at", r"(?<![\w.+/@-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w@]|:[\w/~])"),
+        ("email", "bracketed", False, "bracket", r"(?<![\w.+@-])[A-Za-z0-9][A-Za-z0-9._%+-]* ?[(\[{<]\s?(?:at|AT|@)\s?[)\]}>] ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[{<]\s?(?:dot|DOT|\.)\s?[)\]}>]) ?[A-Za-z0-9-]+)+"),
+        ("email", "spelled", False, "dot", r"(?<![\w.+@-])[A-Za-z0-9][A-Za-z0-9._%+-]* (?:at|AT) [A-Za-z0-9-]+(?: (?:dot|DOT) [A-Za-z0-9-]+)+"),
+        ("id_number", "labelled", True, "label", r"(?i:\b(?:ssn|social security(?: no\.?| number)?|passport(?: no\.?| number)?|national insurance(?: no\.?| number)?|ni (?:number|no\.?)|n\.?i\.?e\.?|dni|steuer-?id(?:nr\.?)?|tax id|national[_ ]id|insurance no\.?|id card)\b)[\s\"':=#.]{1,6}(?P<x>(?:[A-Z]{1,2} ?)?\d[\d -]{4,14}\d(?:[ -]?[A-Z])?)(?![\w-])"),
+        ("id_number", "explained", True, "explain", r"(?<![\w.+/@#-])(?:[A-Z]{1,2} ?)?\d[\d -]{4,12}\d ?[A-Z]?(?= (?:\((?:social security|ssn|dni|passport|tax id)\)|as (?:national insurance|social security|passport|tax) (?:no|number|id)))"),
+        ("id_number", "insurance", False, "long", _START + r"[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]" + _END),
+        ("id_number", "social", False, "long", _START + r"\d{3}-\d{2}-\d{4}" + _END),
+        ("id_number", "national", False, "long", _START + r"\d{3}-\d{4}-\d{4}" + _END),
+        ("id_number", "letter last", False, "long", _START + r"\d{8}-?[A-Z]" + _END),
+        ("id_number", "tax", False, "long", _START + r"\d{2} \d{3} \d{3} \d{3}" + _END),
+        ("id_number", "document", False, "long", _START + r"[A-Z]\d{8}" + _END),
+        ("phone", "international", True, "long", r"(?<![\w.+/@#-])(?:tel:)?\+\d{1,3}[ .-]?(?:\(0\) ?)?(?:\(\d{1,4}\) ?)?\d{1,5}(?:[ ./-]\d{2,6}){1,5}" + _EXT + _END),
+        ("phone", "joined", True, "long", r"(?<![\w.+/@#-])(?:tel:)?\+\d{10,14}" + _EXT + _END),
+        ("phone", "bracketed", False, "long", r"(?<![\w.+/@#-])(?:1[ -])?\(\d{3}\) ?\d{3}[ .-]\d{4}" + _EXT + _END),
+        ("phone", "trunk one", False, "long", _START + r"1[-. ]\d{3}[-. ]\d{3}[-. ]\d{4}" + _EXT + _END),
+        ("phone", "ten", False, "long", _START + r"\d{3}([-. ])\d{3}\1\d{4}" + _EXT + _END),
+        ("phone", "five pairs", False, "long", _START + r"0\d(?:[. -]\d{2}){4}" + _END),
+        ("phone", "slash", False, "long", _START + r"0\d{2,4}/\d{3,6}(?:[ -]\d{2,4})?" + _END),
+        ("phone", "trunk zero", False, "long", _START + r"0\d{2,4} \d{3,4} ?\d{3,4}" + _END),
+        ("address", "english, postcode", True, "english", rf"(?<![\w.])(?:(?:Unit|Flat|Suite) \d+[A-Z]?, )?\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{_EN})\b\.?(?:, (?:Apt|Unit|Suite|Flat)\.? \w+)?{_GAP}{_PLACE},? (?:[A-Z]{{2}} )?\d{{5}}\b"),
+        ("address", "english", False, "english", rf"(?<![\w.])(?:(?:Unit|Flat|Suite) \d+[A-Z]?, )?\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{_EN})\b\.?(?:, (?:Apt|Unit|Suite|Flat)\.? \w+)?{_GAP}{_CAP}"),
+        ("address", "english, flat", False, "english", rf"(?<![\w.])(?:Unit|Flat|Suite) \d+[A-Z]?, \d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{_EN})\b|(?<![\w.])\d{{1,5}} (?:{_CAP} ){{1,3}}(?:{_EN})\b\.?, (?:Apt|Unit|Suite|Flat)\.? \w+"),
+        ("address", "capitals", False, "capitals", rf"(?<![\w.])\d{{1,5}} (?:[A-Z]{{3,}} ){{1,3}}(?:{_EN.upper()})\b,? [A-Z]{{3,}}(?: \d{{5}})?"),
+        ("address", "german", True, "post", rf"(?<![\w.])(?:(?:Am|Im|An der|An den|Auf der|Auf dem|Zum|Zur) )?{_CAP}(?:[ -]{_CAP})?\.? \d{{1,4}} ?[a-z]?, (?:D-)?\d{{5}} {_CAP}"),
+        ("address", "german, no town", False, "german", rf"(?<![\w.]){_CAP}(?:straße|strasse|str\.|weg|steig|platz|allee|gasse|damm|ufer) \d{{1,4}}\b"),
+        ("address", "french, postcode", True, "french", rf"(?<![\w.])\d{{1,4}}(?: (?:bis|ter))?,? (?:{_FR})(?: d(?:u|e|es)(?: la)?)? ?(?:[lLdD]['’])?[\w'’ -]{{2,40}}?, \d{{5}} {_PLACE}"),
+        ("address", "french", False, "french", rf"(?<![\w.])\d{{1,4}}(?: (?:bis|ter))?,? (?:{_FR})(?: d(?:u|e|es)(?: la)?)? ?(?:[lLdD]['’])?(?:{_CAP}[ -]?){{1,3}}, {_PLACE}"),
+        ("address", "spanish", True, "spanish", rf"(?<![\w.])(?:{_ES})(?: d(?:el|e)(?: l[ao]s?)?)? (?:{_CAP} ){{1,3}}\d{{1,4}}(?:, ?\d{{1,2}}\.? ?[ºª°]\.?(?: ?[A-Z]\b)?)?, (?:\d{{5}} )?{_PLACE}"),
     ]
 ]
+_SIX = re.compile(r"\d(?:[ ()./-]{0,3}\d){5}")
+_POST = re.compile(r", (?:D-)?\d{5}")
+_IN_TEXT = {  # any of these must be in the text (in the text in lower case for `label` and `dot`)
+    "at": ("@",),
+    "bracket": tuple(f"{a}{b}{c}" for a in ("at", "AT", "@") for b in ("", " ") for c in ")]}>"),
+    "english": tuple(f" {w}" for w in _EN.split("|")),
+    "capitals": tuple(f" {w.upper()}" for w in _EN.split("|")),
+    "german": ("stra\u00dfe ", "strasse ", "str. ", "weg ", "steig ", "platz ", "allee ", "gasse ", "damm ", "ufer "),
+    "french": ("rue", "avenue", "boulevard", "place", "chemin", "impasse", "all", "quai", "cours", "route", "passage", "square"),
+    "spanish": ("Calle", "Avenida", "Avda", "Plaza", "Paseo", "Camino", "Carrera", "Ronda", "Traves\u00eda", "C/"),
+    "explain": ("(social security)", "(ssn)", "(dni)", "(passport)", "(tax id)", " as national insurance ", " as social security ", " as passport ", " as tax "),
+}
+_IN_LOWER = {"dot": (" dot ",), "label": ("ssn", "social security", "passport", "national insurance", "ni n", "nie", "n.i", "ni.", "dni", "steuer", "tax id", "national", "insurance no", "id card")}
 _NAME = re.compile(rf"(?<![\w@/_\\.#-])(?<!\.\.){_CAP}(?:-{_CAP})*(?:(?:\. |, | (?:[A-Z]\.? )?){_CAP}(?:-{_CAP})*)*(?![\w@/_]|[.-]\w|[(\[]at[)\]])")
 _PARTS = re.compile(_CAP)
 _LOWER = re.compile(r"(?<![\w@./_+-])[a-zß-öø-ÿ]{2,}(?![\w@/_+]|[.-]\w| ?[(\[]at| at \w+ dot)")
 _PLAIN = re.compile(r"(?<![\w@./_+-])(?:[a-zß-öø-ÿ]{3,}|[A-ZÀ-ÖØ-Þ]{3,})(?![\w@/_+]|[.-]\w| ?[(\[]at| at \w+ dot)")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|([nrt\"\\/]))")
+_DIGIT = re.compile(r"\d")
 _BLUR = [(re.compile(p), r) for p, r in ((r"\b[a-z]\w*/[\w./]+", "<path>"), (r"\b[a-z]+_\w+", "<fn>"), (r"\b(?=[0-9a-f]*\d)[0-9a-f]{7,}\b", "<hex>"), (r"\d+", "9"))]
 
 
@@ -94,14 +114,19 @@ def view(text: str) -> tuple[str, list[int] | None]:
 
 
 def _blur(s: str) -> str:
-    for p, r in _BLUR:
-        s = p.sub(r, s)
+    """Paths, names of functions, hashes and numbers in one form each, in lower case."""
+    for mark, (p, r) in zip("/_", _BLUR):
+        if mark in s:
+            s = p.sub(r, s)
+    if _DIGIT.search(s):
+        for p, r in _BLUR[2:]:
+            s = p.sub(r, s)
     return s.lower()
 
 
 def contexts(v: str, a: int, b: int) -> tuple[str, str, str]:
     """Patterns of a span: the two pieces before, the two after, and the ones on either side. Numbers, paths and names of functions are blurred; a line's start and end count as pieces."""
-    left = _blur(v[max(0, a - 40) : a].rpartition("\n")[2] if "\n" in v[max(0, a - 40) : a] else v[max(0, a - 40) : a])
+    left = _blur(v[max(0, a - 40) : a].rpartition("\n")[2])
     right = _blur(v[b : b + 40].partition("\n")[0])
     l, r = ["^", *left.split()][-2:], [*right.split(), "$"][:2]  # noqa: E741
     return " ".join(l), " ".join(r), f"{l[-1]} _ {r[0]}"
@@ -111,13 +136,35 @@ def _shape(s: str) -> str:
     return re.sub(r"[A-Za-zß-ÿ]+", "a", re.sub(r"\d", "9", s))
 
 
+_AUTOMATA: list = []
+
+
+def _groups(table: dict[str, tuple[str, ...]], which: int, v: str) -> set[str]:
+    """The groups of which any word is in the text; all words are looked for in one pass where the automaton is installed."""
+    if ahocorasick is None:
+        return {g for g, ws in table.items() if any(w in v for w in ws)}
+    while len(_AUTOMATA) <= which:
+        a = ahocorasick.Automaton()
+        for g, ws in (_IN_TEXT, _IN_LOWER)[len(_AUTOMATA)].items():
+            for w in ws:
+                a.add_word(w, (a.get(w, ()) + (g,)))
+        a.make_automaton()
+        _AUTOMATA.append(a)
+    return {g for _, gs in _AUTOMATA[which].iter(v) for g in gs}
+
+
+def _gates(v: str) -> set[str]:
+    out = _groups(_IN_TEXT, 0, v) | _groups(_IN_LOWER, 1, v.lower())
+    return out | {g for g, p in (("long", _SIX), ("post", _POST)) if p.search(v)}
+
+
 def candidates_of(text: str) -> list[tuple]:
     """(start, end, type, instance key, seed, left, right, around, name parts) of a text, not overlapping except for names."""
     v, at = view(text)
     out, taken = [], []
-    has_digit, has_at = any(c.isdigit() for c in v), "@" in v or "at" in v.lower()
-    for kind, form, seed, pattern in FORMS:
-        if not (has_at if kind == "email" else has_digit):
+    open_ = _gates(v)
+    for kind, form, seed, gate, pattern in FORMS:
+        if gate not in open_:
             continue
         for m in pattern.finditer(v):
             a, b = m.span("x") if "x" in pattern.groupindex else m.span()
