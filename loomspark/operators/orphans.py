@@ -9,6 +9,15 @@ from ..functions.keys import norm_key
 from .scale import skew_join
 
 
+PLAIN_TIME = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z$"
+
+
+def plain_time(c: Column | str) -> Column:
+    """The instant of a time in the plain UTC form; null for all other forms and impossible times."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.rlike(PLAIN_TIME), F.try_to_timestamp(c))
+
+
 def parent_intervals(parents: list[tuple[str, DataFrame, str, str]], tombstones: DataFrame) -> DataFrame:
     """(kind, key, valid_from, valid_to): when each record was there.
 
@@ -18,10 +27,10 @@ def parent_intervals(parents: list[tuple[str, DataFrame, str, str]], tombstones:
     """
     rows = None
     for kind, df, key, since in parents:
-        one = df.select(F.lit(kind).alias("kind"), norm_key(key).alias("key"), F.try_to_timestamp(F.col(since)).alias("valid_from")).filter(F.col("key").isNotNull())
+        one = df.select(F.lit(kind).alias("kind"), norm_key(key).alias("key"), plain_time(since).alias("valid_from")).filter(F.col("key").isNotNull())
         rows = one if rows is None else rows.unionByName(one)
     alive = rows.groupBy("kind", "key").agg(F.min("valid_from").alias("valid_from"))
-    dead = tombstones.select(F.lower(F.trim("record_kind")).alias("kind"), norm_key("record_key").alias("key"), F.coalesce(F.try_to_timestamp("deleted_at"), F.timestamp_seconds(F.lit(0))).alias("valid_to")).groupBy("kind", "key").agg(F.min("valid_to").alias("valid_to"))
+    dead = tombstones.select(F.lower(F.trim("record_kind")).alias("kind"), norm_key("record_key").alias("key"), F.coalesce(plain_time("deleted_at"), F.timestamp_seconds(F.lit(0))).alias("valid_to")).groupBy("kind", "key").agg(F.min("valid_to").alias("valid_to"))
     return alive.join(dead, ["kind", "key"], "left")
 
 

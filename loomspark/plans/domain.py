@@ -13,6 +13,7 @@ from ..session import materialise, shared_dir, table
 from ..sources import exchange as ex, transcripts as tr
 from ..streaming import jobs
 from .graphs import files
+from .search import bm25_sql
 
 K = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13)))"
 
@@ -71,7 +72,7 @@ def reparsed_transcripts(spark, d) -> DataFrame:
 def memories(spark, d) -> DataFrame:
     """Experiments' hypotheses as memories."""
     e = table(spark, d, "experiments").groupBy(norm_key("exp_id").alias("memory_id")).agg(F.max("hypothesis").alias("claim"), F.max("title").alias("title"), F.min("created_at").alias("created_at")).filter("claim <> ''")
-    b = F.pmod(F.crc32("memory_id"), F.lit(4))
+    b = F.length("claim") % 4
     return e.withColumns({"kind": F.when(F.col("claim").rlike(kn.NEGATION), "warning").otherwise("invariant"), "severity": F.get(F.array(*[F.lit(s) for s in st.SEVERITY_ORDER]), b.cast("int")), "status": F.lit("ACTIVE"), "usage": F.lit(0.0), "inferred": F.lit(False), "event_id": F.col("memory_id")})
 
 
@@ -232,6 +233,7 @@ SQL = {
     "D1_D8_claim_classes": f"with e as (select {K.format('exp_id')} as memory_id, max(hypothesis) as claim from experiments group by 1), m as (select memory_id, claim, case when regexp_matches(claim, '{kn.NEGATION[4:].replace(chr(39), chr(39) * 2)}', 'i') then 'w' else 'i' end as kind from e where claim <> '') select memory_id, min(memory_id) over (partition by kind, claim) as class_id, count(*) over (partition by kind, claim) as n from m",
     "M18_rule_scores": "with e as (select memory_id, count(*) as n, sum(case when verdict = 'win' then 1 else 0 end) as h, sum(case when verdict = 'loss' then 1 else 0 end) as u from evidence group by 1) select memory_id, round(0.75 * (1 + 0.6 * ln(n)) * (1 + 0.4 * ln(1 + h)) / (1 + 0.5 * u) * (1 + 0.25 * ln(1 + n)), 6) as score from e",
     "M10_D11_compiled": f"with e as (select {K.format('exp_id')} as event_id, max(title) as summary, max(hypothesis) as claim from experiments group by 1) select event_id, 'invariant' as kind, claim, case when coalesce(summary, '') <> '' then claim || chr(10) || chr(10) || 'Recorded while: ' || summary else claim end as body from e where trim(coalesce(claim, '')) <> ''",
+    "M26_run_diff": f"with {_TREE}, n as (select o_custkey as run, 'c:main > orders:' || o_orderpriority as path, count(distinct o_orderkey) as calls, sum(q) + count(distinct o_orderkey) as ms from t where o_custkey <= 2 group by 1, 2 union all select o_custkey, 'c:main > orders:' || o_orderpriority || ' > lines:part' || p, count(*), sum(q) from t where o_custkey <= 2 group by 1, 2 union all select o_custkey, 'c:main', 1, sum(q) + count(distinct o_orderkey) + 2 from t where o_custkey <= 2 group by 1), j as (select coalesce(a.path, b.path) as path, a.calls as calls_a, b.calls as calls_b, case when a.path is null then 'only_b' when b.path is null then 'only_a' when a.calls <> b.calls then 'calls' when abs(a.ms - b.ms) >= 5 and greatest(a.ms, b.ms) >= 1.25 * least(a.ms, b.ms) then 'time' else 'same' end as state from (select * from n where run = 1) a full join (select * from n where run = 2) b on a.path = b.path) select path, state, calls_a, calls_b from j where state <> 'same' and not exists (select 1 from j u where u.state in ('only_a', 'only_b') and u.state = j.state and u.path = regexp_replace(j.path, ' > [^>]*$', '') and u.path <> j.path)",
     "A19_runtime_edges": f"with {_TREE} select 'orders:' || o_orderpriority as caller, 'lines:part' || p as callee, count(*) as calls from t group by 1, 2 union all select 'c:main', 'orders:' || o_orderpriority, count(distinct o_orderkey) from t group by 2",
     "A18_X8_hot_functions": f"with {_TREE} select 'lines:part' || p as key, count(*) as calls, round(sum(q), 3) as self_ms, round(sum(q), 3) as total_ms from t group by 1 union all select 'orders:' || o_orderpriority, count(*), count(*), round(sum(s), 3) from (select o_orderkey, o_orderpriority, sum(q) + 1 as s from t group by 1, 2) group by 1 union all select 'c:main', count(*), 2.0 * count(*), round(sum(s) + 2 * count(*), 3) from (select o_custkey, sum(s) as s from (select o_custkey, o_orderkey, sum(q) + 1 as s from t group by 1, 2) group by 1)",
     "S44_A26_export": f"with e as (select {K.format('exp_id')} as id, max(hypothesis) as claim, max({K.format('parent_id')}) as p from experiments group by 1), n as (select id from e where claim <> '' union all select repo_id from repositories where status <> 'DELETED') select 'node' as what, 'memory' as kind, count(*) as n from e where claim <> '' union all select 'node', 'repository', count(*) from repositories where status <> 'DELETED' union all select 'edge', 'DERIVED_FROM', count(*) from e where id in (select id from n) and p in (select id from n)",
@@ -239,4 +241,5 @@ SQL = {
     "T6_delivered_once": "select distinct user_id, event_type from events",
     "X3_value_trails": "with v as (select user_id as call, event_type as name, event_id as pos, round(value, 0) as val, lag(round(value, 0)) over w as p, row_number() over w as n from events window w as (partition by user_id, event_type order by event_id)), c as (select call, name, pos, val, row_number() over (partition by call, name order by pos) as step, row_number() over (partition by call, name order by pos desc) as back from v where n = 1 or val <> p) select call, name, step, pos, cast(cast(val as double) as varchar) as value from c where step <= 6 or back = 1",
 }
+SQL["F16_memory_scores"] = f"with hy as (select * from (select {K.format('exp_id')} as memory_id, max(hypothesis) as claim from experiments group by 1) where claim <> ''), {bm25_sql('hy', 'claim', [' hook ', ' import ', ' wait '], 'memory_id, claim')} select memory_id, round(1.6 * greatest(0.62, least(1.0, score / 10)) + 1.4 * [1.0, 0.75, 0.45, 0.2][1 + length(claim) % 4], 6) as mscore from scored"
 SQL["S45_S46_round_trip"] = SQL["S44_A26_export"]

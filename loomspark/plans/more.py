@@ -10,6 +10,7 @@ from ..operators import catalog as cat, code, graph as g, knowledge as kn, paper
 from ..session import materialise, table
 from ..sources import archive, exchange as ex, history
 from .domain import memories
+from .search import bm25_sql
 from .graphs import _EDGES, files, nation_edges, parts_edges
 
 K = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13)))"
@@ -266,5 +267,8 @@ SQL = {
     "S38_pdf_links": "select doc_id, '/x/' || path || '.pdf' as link from documents where path is not null",
     "J19_D14_imports": "with t as (select doc_id, path, regexp_replace(path, '[.][^./]+$', '') as p from documents where path is not null), n as (select a.doc_id as from_id, b.p as want from t a join t b on b.doc_id = a.doc_id + 1), one as (select n.from_id, n.want, min_by(f.doc_id, f.path) as to_id from n join t f on f.p = n.want or ends_with(f.p, '/' || n.want) group by 1, 2) select cast(from_id as varchar) as from_id, cast(to_id as varchar) as to_id, false as deferred from one where from_id <> to_id union all select cast(from_id as varchar), 'extern:lib.gone', true from n",
     "G14_G4_entry_kinds": "select p_partkey as id, case p_size % 5 when 0 then 'route' when 1 then 'tool' else 'test' end as kind, case p_size % 5 when 0 then 'GET /x' when 3 then 'test_it' else 'it' end as detail from part where p_size % 5 <> 4",
+    "P21_blockers": f"with {_HYP}, m as (select memory_id, ['critical', 'high', 'medium', 'low'][1 + length(claim) % 4] as s from hy) select memory_id, concat_ws(',', case when s = 'low' then 'anchors' end, case when s = 'critical' then 'inferred' end, case when s = 'medium' then 'confidence' end) as blockers from m",
+    "A12_agreement": f"with {_HYP}, m as (select memory_id, ['critical', 'high', 'medium', 'low'][1 + length(claim) % 4] as severity, list_filter(list_distinct(regexp_extract_all(lower(claim), '[a-z0-9_]{{3,}}')), lambda x: not list_contains(string_split('{' '.join(kn.CLAIM_STOP)}', ' '), x)) as t from hy), n as (select severity, count(*) as n from m group by 1), c as (select severity, term, count(distinct memory_id) as k from (select severity, memory_id, unnest(t) as term from m) group by 1, 2) select severity, n.n, cast(count(*) filter (k >= greatest(2, n.n // 2 + 1)) as bigint) as n_shared, round(count(*) filter (k >= greatest(2, n.n // 2 + 1)) / count(*), 6) as score from c join n using (severity) group by 1, 2",
+    "W3_F5_per_source": f"with {bm25_sql('documents', 'text', [' budget '], 'doc_id, source, text')}, r as (select source, round(score, 6) as score, row_number() over (partition by source order by round(score, 6) desc, doc_id) as rn from scored) select source, count(*) as n, max(score) as best from r where rn <= 10 group by 1",
     "T_session_windows": "with x as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 24 hours or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as new from events), y as (select user_id, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from x), z as (select user_id, s, count(*) as n from y group by 1, 2) select user_id, count(*) as n_sessions, max(n) as longest from z group by 1",
 }

@@ -88,10 +88,9 @@ def p3_diagnostics_table(spark, d) -> DataFrame:
 
 def _classified(spark, d) -> DataFrame:
     t = {n: table(spark, d, n) for n in ("messages", "sessions", "runs", "experiments", "evidence", "checkouts", "repositories", "tombstones")}
-    # a session's or message's own times have many forms; only those in the plain form count for lateness
-    at = lambda c: F.try_to_timestamp(F.col(c))
+    at = orphans.plain_time  # only times in the plain form count for lateness
     refs = orphans.reference_rows([
-        ("messages", t["messages"], "id", "session_key", "session", F.to_timestamp(F.when(F.col("timestamp").rlike(r"^\d{4}-(0[1-9]|1[0-2])-([01]\d|2[0-8])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d\.\d{3}Z$"), F.col("timestamp")))),
+        ("messages", t["messages"], "id", "session_key", "session", at("timestamp")),
         ("runs", t["runs"], "run_id", "exp_id", "experiment", at("started_at")),
         ("evidence", t["evidence"], "memory_id", "run_id", "run", at("created_at")),
         ("checkouts", t["checkouts"], "checkout_id", "repo_id", "repository", at("created_at")),
@@ -114,5 +113,16 @@ P6_FOUND = " union ".join(
     for t, k, ref, kind, p, pk in _REFS
 )
 
+_AT = {"messages": "timestamp", "runs": "started_at", "evidence": "created_at", "checkouts": "created_at"}
+_SINCE = {"sessions": "started_at", "experiments": "created_at", "runs": "started_at", "repositories": "created_at"}
+_PLAIN = "case when regexp_matches({0}, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d[.]\\d{{3}}Z$') then try_cast({0} as timestamptz) end"
+P6_MONTHLY = (
+    "with p as (" + " union all ".join(f"select '{kind}' as kind, {KEY.format(pk)} as k, min({_PLAIN.format(_SINCE[p])}) as since from {p} where {pk} is not null group by 2" for _, _, _, kind, p, pk in _REFS) + "), "
+    "d as (select distinct record_kind as kind, " + KEY.format("record_key") + " as k from tombstones), "
+    "r as (" + " union all ".join(f"select '{t}' as table_name, cast({k} as varchar) as row_key, '{kind}' as kind, {KEY.format(ref)} as k, {_PLAIN.format(_AT[t])} as moment from {t} where {ref} is not null" for t, k, ref, kind, _, _ in _REFS) + "), "
+    "c as (select r.*, case when p.k is null then 'missing' when d.k is not null then 'deleted' when r.moment < p.since then 'late' else 'good' end as state from r left join p on p.kind = r.kind and p.k = r.k left join d on d.kind = r.kind and d.k = r.k) "
+    "select table_name, coalesce(strftime(moment at time zone 'UTC', '%Y-%m'), 'unknown') as month, state, count(distinct row(row_key, k)) as n_rows from c where state <> 'good' group by 1, 2, 3"
+)
+
 QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p2_found": p2_found, "p2_ledger": p2_ledger, "p3_found": p3_found, "p3_meta_table": p3_meta_table, "p3_diagnostics_table": p3_diagnostics_table, "p6_found": p6_found, "p6_monthly": p6_monthly}
-SQL = {"p1_found": P1_FOUND, "p1_hierarchy": P1_HIERARCHY, "p1_descendants": P1_DESCENDANTS, "p2_found": P2_FOUND, "p2_ledger": P2_LEDGER, "p6_found": P6_FOUND}
+SQL = {"p1_found": P1_FOUND, "p1_hierarchy": P1_HIERARCHY, "p1_descendants": P1_DESCENDANTS, "p2_found": P2_FOUND, "p2_ledger": P2_LEDGER, "p6_found": P6_FOUND, "p6_monthly": P6_MONTHLY}

@@ -187,6 +187,7 @@ SQL = {
     "V5_semantic_seeds": "with q as (select cast(embedding as double[]) as e from embeddings where vec_id = 7), s as (select vec_id, row_number() over (order by list_dot_product(cast(embedding as double[]), q.e) desc, vec_id) - 1 as rk from embeddings, q), n as (select * from s where rk < 60), l as (select vec_id from embeddings where label = 3) select coalesce(l.vec_id, n.vec_id) as vec_id, case when l.vec_id is not null then 0.5 else 0 end::double as lex, round(case when n.rk is null then 0 else 10.0 / (10 + n.rk) end, 6)::double as sem from l full join n on l.vec_id = n.vec_id where l.vec_id is not null or n.rk < 20",
     "V3_O4_cosine_topk": "with q as (select embedding as e from embeddings where vec_id = 0), s as (select vec_id, round(list_dot_product(cast(embedding as double[]), cast(q.e as double[])), 5) as similarity, list_dot_product(cast(embedding as double[]), cast(q.e as double[])) as s from embeddings, q) select vec_id, similarity from s order by s desc, vec_id limit 60",
     "A16_retrieval_metrics": "with q as (select * from embeddings where vec_id % 100 = 0), s as (select q.vec_id as qid, q.label = e.label as good, row_number() over (partition by q.vec_id order by list_dot_product(cast(e.embedding as double[]), cast(q.embedding as double[])) desc, e.vec_id) as rk from q join embeddings e on e.vec_id <> q.vec_id), g as (select q.vec_id as qid, min(case when good then rk end) as rk from q left join s on s.qid = q.vec_id group by 1) select count(*) as n_queries, round(avg(coalesce(1.0 / rk, 0)), 6) as mrr, round(avg(case when rk <= 1 then 1.0 else 0 end), 6) as hit_at_1, round(avg(case when rk <= 5 then 1.0 else 0 end), 6) as hit_at_5, round(avg(case when rk <= 10 then 1.0 else 0 end), 6) as hit_at_10 from g",
+    "V4_letter_histogram": "with c as (select doc_id, list_transform(range(97, 123), lambda k: length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), chr(k::int), ''))) as v from documents), n as (select doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x * 1.0))) as l from c) select doc_id, case when l > 0 then 1.0 else 0 end::double as norm, round(case when l > 0 then v[5] / l else 0 end, 5)::double as e_share from n",
     "F22_grep": "with x as (select doc_id, unnest(regexp_extract_all(text, 'recall_at_10\\s*=\\s*\\d\\.\\d+')) as match, unnest(range(len(regexp_extract_all(text, 'recall_at_10\\s*=\\s*\\d\\.\\d+')))) as k, text from documents) select doc_id, match, cast(case when k = 0 then strpos(text, match) - 1 else null end as bigint) as start from x order by doc_id, k limit 40",
 }
 del SQL["F22_grep"]  # SQL has no offsets of later hits

@@ -6,8 +6,8 @@ from loomspark.operators import orphans, scale
 
 
 def test_missing_deleted_and_late(spark):
-    parents = spark.createDataFrame([("A ", "2026-01-01T00:00:00Z"), ("b", "2026-02-01T00:00:00Z"), ("b", None), (None, None)], "k string, at string")
-    dead = spark.createDataFrame([("run", "B", None), ("session", "a", "2026-01-01T00:00:00Z")], "record_kind string, record_key string, deleted_at string")
+    parents = spark.createDataFrame([("A ", "2026-01-01T00:00:00.000Z"), ("b", "2026-02-01T00:00:00.000Z"), ("b", None), (None, None)], "k string, at string")
+    dead = spark.createDataFrame([("run", "B", None), ("session", "a", "2026-01-01T00:00:00.000Z")], "record_kind string, record_key string, deleted_at string")
     refs = spark.createDataFrame([("1", "a"), ("2", "A\t"), ("2", "a"), ("3", "B"), ("4", "zz"), ("5", None), ("6", " ")], "id string, ref string")
     r = orphans.reference_rows([("t", refs, "id", "ref", "run", F.to_timestamp(F.lit("2025-01-01")))])
     c = orphans.classify(r, orphans.parent_intervals([("run", parents, "k", "at")], dead))
