@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import graph, knowledge
 from . import text as tx
 from . import vector as vx
@@ -83,7 +84,7 @@ def rank(store: Store, query: str, intent: str | None = None, depth: int = 2) ->
     w = WEIGHTS[intent]
     if not terms:
         return store.symbols.select("symbol_id", F.lit(0.0).alias("score")).limit(0)
-    seeds, mems = symbol_seeds(store, terms, query), memory_seeds(store, terms)
+    seeds, mems = materialise(symbol_seeds(store, terms, query), "seeds"), materialise(memory_seeds(store, terms), "seeds")  # a few hundred rows each, read several times
     pulled = mems.join(store.applies, "memory_id").groupBy(F.col("symbol_id").alias("id")).agg(F.max(F.col("relevance") * 0.8).alias("pull"))
     all_ = seeds.join(pulled, "id", "full_outer").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lex", "sym", "sem", "pull")])
     near = graph.spread(store.edges, all_.select("id", F.greatest("lex", "sym", "sem", "pull").alias("score")).filter("score > 0"), depth).withColumnRenamed("score", "graph")
@@ -103,7 +104,7 @@ def rank(store: Store, query: str, intent: str | None = None, depth: int = 2) ->
 def capsules(store: Store, ranked: DataFrame, budget: int = 9000, most: int = 12) -> DataFrame:
     """The best symbols within the budget, each with up to 6 callers and callees and its memories: quoted from MEMORY_FLOOR on
     (at most 6), named below it (at most 4). A memory is quoted at its best symbol only."""
-    top = ranked.orderBy(F.desc("score"), "symbol_id").limit(most)
+    top = materialise(ranked.orderBy(F.desc("score"), "symbol_id").limit(most), "top")  # `most` rows, read several times
     side = lambda key, other, name: store.edges.join(top.select(F.col("symbol_id").alias(key)), key).join(store.symbols.select(F.col("symbol_id").alias(other), F.col("name").alias("n")), other).groupBy(F.col(key).alias("symbol_id")).agg(F.slice(F.array_sort(F.collect_set("n")), 1, 6).alias(name))
     c = top.join(side("to_id", "from_id", "callers"), "symbol_id", "left").join(side("from_id", "to_id", "callees"), "symbol_id", "left")
     first = top.select("symbol_id", "score", F.explode("memories").alias("m")).groupBy(F.col("m.memory_id").alias("memory_id")).agg(F.max(F.struct("score", "symbol_id")).alias("b")).select("memory_id", F.col("b.symbol_id").alias("home"))
