@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import shlex
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,8 +95,6 @@ def converge(memories: DataFrame, most: int = 400) -> DataFrame:
     The result depends on the order and a cluster's centre is the running intersection, so one task folds them; by
     definition only the first `most` ids take part.
     """
-    import pandas as pd
-
     def fold(pdf):
         centres, out = [], []
         for mid, toks in pdf.sort_values("memory_id")[["memory_id", "t"]].itertuples(index=False, name=None):
@@ -204,3 +206,65 @@ def briefing(memories: DataFrame, anchors: DataFrame, entry_points: DataFrame) -
     s = anchors.filter(F.col("status") != "ACTIVE").agg(F.count_distinct("memory_id").alias("n_stale"))
     e = entry_points.groupBy("kind").agg(F.count(F.lit(1)).alias("c")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "c")))).alias("entries"))
     return m.join(F.broadcast(s)).join(F.broadcast(e))  # three rows of totals
+
+
+def coverage_edges(memories: DataFrame) -> DataFrame:
+    """GUARDED_BY edges between the rules and the test evidence of one event; pairs within an event only. memories: memory_id, kind, event_id."""
+    rules = memories.filter(F.col("kind").isin("invariant", "warning", "contract")).select("event_id", F.col("memory_id").alias("from_id"))
+    tests = memories.filter("kind = 'test_evidence'").select("event_id", F.col("memory_id").alias("to_id"))
+    return rules.join(tests, "event_id").select("from_id", "to_id", F.lit("GUARDED_BY").alias("kind"))
+
+
+def causal_links(links: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) causal assertions (from_id, to_id, kind, confidence): the kind must be known, both ends there and different. Repeated ones keep the highest confidence."""
+    kinds = ["CAUSED", "LED_TO", "ESTABLISHED", "REFINES", "DEPENDS_ON"]
+    m = memories.select("memory_id", F.lit(True).alias("ok"))
+    j = links.join(m.select(F.col("memory_id").alias("from_id"), F.col("ok").alias("a")), "from_id", "left").join(m.select(F.col("memory_id").alias("to_id"), F.col("ok").alias("b")), "to_id", "left")
+    good = F.col("kind").isin(kinds) & F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("from_id") != F.col("to_id"))
+    return j.filter(good).groupBy("from_id", "to_id", "kind").agg(F.max("confidence").alias("confidence")), j.filter(~F.coalesce(good, F.lit(False))).select("from_id", "to_id", "kind", "confidence")
+
+
+def problems(memories: DataFrame, anchors: DataFrame, edges: DataFrame, applies: DataFrame, limit: int = 14) -> DataFrame:
+    """(problem, rank, subject, detail): stale knowledge, callers newer than the last verification, and contradictions; at most 4 of each, the gravest first.
+
+    memories: memory_id, severity; anchors: memory_id, symbol_id, status, last_verified_at; edges: from_id, to_id, created_at; applies: memory_id, symbol_id.
+    """
+    stale = anchors.filter(F.col("status").isin("NEEDS_REVIEW", "ORPHANED")).join(memories.select("memory_id", "severity"), "memory_id").select(F.lit("stale_knowledge").alias("problem"), rank_of(SEVERITY_ORDER, F.col("severity")).alias("rank"), F.col("memory_id").alias("subject"), F.col("status").alias("detail"))
+    late = anchors.join(edges.select(F.col("to_id").alias("symbol_id"), "from_id", "created_at"), "symbol_id").filter(F.col("created_at") > F.col("last_verified_at")).select(F.lit("unreviewed_caller").alias("problem"), F.lit(2).alias("rank"), F.col("memory_id").alias("subject"), F.col("from_id").alias("detail"))
+    contra = edges.filter("kind = 'CONTRADICTS'").select(F.lit("conflict").alias("problem"), F.lit(0).alias("rank"), F.col("from_id").alias("subject"), F.col("to_id").alias("detail")) if "kind" in edges.columns else stale.limit(0)
+    x = stale.unionByName(late).unionByName(contra).distinct()
+    w = Window.partitionBy("problem").orderBy("rank", "subject", "detail")
+    return x.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 4).drop("rn").orderBy("rank", "problem", "subject", "detail").limit(limit)
+
+
+def shell_files(command: Column) -> Column:
+    """The files that a command line names: quote-aware words that look like paths; commands that only search name none."""
+    looks = re.compile(r"^[\w./~-]*[\w-]+\.[A-Za-z]\w{0,7}$")
+    searching = {"grep", "rg", "find", "ag", "ack", "fd", "git", "ls"}
+
+    @F.pandas_udf("array<string>")
+    def names(col: pd.Series) -> pd.Series:
+        def one(c):
+            out: dict[str, None] = {}
+            for part in re.split(r"&&|\|\||[;|\n]", c or ""):
+                try:
+                    words = shlex.split(part)
+                except ValueError:
+                    words = part.split()
+                words = [w for i, w in enumerate(words) if i or "=" not in w]
+                if words and words[0].rsplit("/", 1)[-1] not in searching:
+                    out |= dict.fromkeys(w for w in words[1:] if looks.match(w))
+            return list(out)
+
+        return col.map(one)
+
+    return names(command)
+
+
+def line_span(text: Column, needle: Column) -> Column:
+    """struct(lo, hi): the lines of a text that a passage covers; null where it is missing or there more than once."""
+    at = F.position(needle, text)
+    once = (at > 0) & (F.position(needle, F.substr(text, at + 1)) == 0)
+    lines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    lo = lines(F.substr(text, F.lit(1), at)) + 1
+    return F.when(once & (needle != ""), F.struct(lo.alias("lo"), (lo + lines(needle)).alias("hi")))

@@ -174,3 +174,77 @@ def uncovered(spans: DataFrame, covers: DataFrame, key: str) -> DataFrame:
     """(key, line): the lines of the spans (lo, hi) that no cover (lo, hi) of the same key contains."""
     line = lambda df: df.select(key, F.explode(F.sequence("lo", "hi")).alias("line")).distinct()
     return line(spans).join(line(covers), [key, "line"], "left_anti")
+
+
+def last_downgrade(history: Column, best: str = "ACTIVE") -> Column:
+    """The newest transition in a history (array of struct with `transition`) that was no 'unchanged' and no verification: what a state is to be replayed from."""
+    bad = F.filter(history, lambda h: ~h["transition"].isin("unchanged", "verified", "moved", "renamed_internals"))
+    return F.element_at(F.when(F.size(bad) > 0, bad), -1)["transition"]
+
+
+def history_summary(history: Column) -> Column:
+    """map<transition, times>: repeats summed up."""
+    names = F.array_distinct(F.transform(history, lambda h: h["transition"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.aggregate(F.filter(history, lambda h: h["transition"] == n), F.lit(0), lambda s, h: s + h["repeats"])))
+
+
+def mark_verified(anchors: DataFrame, verified: DataFrame, at) -> DataFrame:
+    """Explicit verification: the anchors of the given memories are active again, with full confidence. verified: memory_id."""
+    j = anchors.join(verified.select("memory_id").distinct().withColumn("_v", F.lit(True)), "memory_id", "left")
+    v = F.col("_v").isNotNull()
+    return j.withColumns({"status": F.when(v, "ACTIVE").otherwise(F.col("status")), "confidence": F.when(v, 1.0).otherwise(F.col("confidence")), "last_verified_at": F.when(v, F.lit(at)).otherwise(F.col("last_verified_at"))}).drop("_v")
+
+
+def rebase(anchors: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """After a change of the extractor: an anchor whose content equals the symbol's under the old algorithm takes the new fingerprints and keeps its state.
+
+    fingerprints: symbol_id, old_fp, new_content_fp, new_skeleton_fp.
+    """
+    j = anchors.join(fingerprints, "symbol_id", "left")
+    same = F.coalesce(F.col("content_fp") == F.col("old_fp"), F.lit(False))
+    return j.withColumns({"content_fp": F.when(same, F.col("new_content_fp")).otherwise(F.col("content_fp")), "skeleton_fp": F.when(same, F.col("new_skeleton_fp")).otherwise(F.col("skeleton_fp")), "rebased": same}).select(*anchors.columns, "rebased")
+
+
+def anchor_candidates(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(anchor_id, symbol_id, score): the best place an anchor may have gone to: equal skeleton 0.85, equal name 0.72, or the likeness of the sketches, among symbols of equal skeleton, name or file.
+
+    anchors: anchor_id, name, file_path, skeleton_fp, token_signature; symbols likewise with symbol_id. By definition an
+    anchor meets the first 25 symbols of its skeleton and of its name and the first 60 of its file, by their ids.
+    """
+    from .code import similarity
+
+    a = anchors.select("anchor_id", F.col("name").alias("an"), F.col("file_path").alias("af"), F.col("skeleton_fp").alias("ak"), F.col("token_signature").alias("at"))
+    pairs = None
+    for mine, theirs, most in (("ak", "skeleton_fp", 25), ("an", "name", 25), ("af", "file_path", 60)):
+        few = symbols.withColumn("_n", F.row_number().over(Window.partitionBy(theirs).orderBy("symbol_id"))).filter(F.col("_n") <= most)
+        p = a.join(few, a[mine] == few[theirs]).select("anchor_id", "symbol_id", (F.col("ak") == F.col("skeleton_fp")).alias("k"), (F.col("an") == F.col("name")).alias("n"), similarity(F.col("at"), F.col("token_signature")).alias("s"))
+        pairs = p if pairs is None else pairs.unionByName(p)
+    score = F.greatest(F.when(F.col("k"), 0.85).otherwise(0.0), F.when(F.col("n"), 0.72).otherwise(0.0), F.col("s"))
+    best = pairs.withColumn("score", score).groupBy("anchor_id").agg(F.max(F.struct("score", "symbol_id")).alias("b"))
+    return best.select("anchor_id", "b.symbol_id", "b.score")
+
+
+def leads(candidates: DataFrame) -> DataFrame:
+    """Candidates too weak to follow (0.45 to 0.7): kept as POSSIBLY_MIGRATED_TO edges."""
+    return candidates.filter("score >= 0.45 and score < 0.7").select(F.col("anchor_id").alias("from_id"), F.col("symbol_id").alias("to_id"), F.lit("POSSIBLY_MIGRATED_TO").alias("kind"), F.col("score").alias("confidence"))
+
+
+def supersede(memories: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memories, edges): each change (memory_id, new_id, body, at) ends a memory and adds its successor, with a SUPERSEDES edge. memories: memory_id, body, status, version, updated_at."""
+    one = changes.groupBy("memory_id").agg(F.max(F.struct("at", "new_id", "body")).alias("c"))
+    j = memories.join(one, "memory_id", "left")
+    old = j.select("memory_id", F.col("body"), F.when(F.col("c").isNotNull(), "SUPERSEDED").otherwise(F.col("status")).alias("status"), "version", F.coalesce("c.at", "updated_at").alias("updated_at"))
+    new = j.filter("c is not null").select(F.col("c.new_id").alias("memory_id"), F.col("c.body").alias("body"), F.lit("ACTIVE").alias("status"), (F.col("version") + 1).alias("version"), F.col("c.at").alias("updated_at"))
+    edges = j.filter("c is not null").select(F.col("c.new_id").alias("from_id"), F.col("memory_id").alias("to_id"), F.lit("SUPERSEDES").alias("kind"))
+    return old.unionByName(new), edges
+
+
+def reinforce(memories: DataFrame, repeats: DataFrame) -> DataFrame:
+    """A restated memory gains evidence: one more for each repetition. repeats: memory_id."""
+    n = repeats.groupBy("memory_id").agg(F.count(F.lit(1)).alias("_n"))
+    return memories.join(n, "memory_id", "left").withColumn("evidence_count", F.col("evidence_count") + F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def sweep_order(anchors: DataFrame, limit: int) -> DataFrame:
+    """The anchors to verify next: never verified ones first, then the longest ago."""
+    return anchors.orderBy(F.asc_nulls_first("last_verified_at"), "anchor_id").limit(limit)

@@ -236,7 +236,41 @@ def evening_windows(spark, d) -> DataFrame:
     return e.groupBy(F.session_window("ts", "24 hours"), "user_id").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.max("n").alias("longest"))
 
 
+def superseded(spark, d) -> DataFrame:
+    """Orders as memories; those of high priority are superseded."""
+    m = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("memory_id"), F.col("o_orderpriority").alias("body"), F.lit("ACTIVE").alias("status"), F.lit(1).alias("version"), F.col("o_orderdate").alias("updated_at"))
+    c = m.filter("body = '1-URGENT'").select("memory_id", F.concat(F.lit("n"), "memory_id").alias("new_id"), F.lit("new").alias("body"), F.lit("2030-01-01").cast("timestamp_ntz").alias("at"))
+    return st.supersede(m, c)[0].groupBy("status", "version").agg(F.count(F.lit(1)).alias("n"))
+
+
+def coverage(spark, d) -> DataFrame:
+    """Lines of an order as memories of one event: returned ones as rules, others as evidence."""
+    m = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_partkey").alias("memory_id"), F.when(F.col("l_returnflag") == "R", "invariant").when(F.col("l_returnflag") == "A", "test_evidence").otherwise("note").alias("kind"), F.col("l_orderkey").alias("event_id")).distinct()
+    return kn.coverage_edges(m).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("from_id").alias("n_rules"))
+
+
+def reviewed(spark, d) -> DataFrame:
+    """Problems of the runs' anchors: stale ones and callers newer than the last verification."""
+    m = memories(spark, d).select("memory_id", "severity")
+    r = table(spark, d, "runs").filter("exp_id is not null and run_id is not null").select(norm_key("exp_id").alias("memory_id"), norm_key("run_id").alias("symbol_id"), F.when(F.col("status") == "failed", "ORPHANED").otherwise("ACTIVE").alias("status"), F.col("ended_at").alias("last_verified_at")).distinct()
+    e = table(spark, d, "evidence").filter("run_id is not null").select(F.col("memory_id").alias("from_id"), norm_key("run_id").alias("to_id"), "created_at").distinct()
+    return kn.problems(m, r, e, r).select("problem", "subject", "detail")
+
+
+def candidate_places(spark, d) -> DataFrame:
+    s = materialise(code.symbols(files(spark, d), "doc_id", "text"), "symbols").select("symbol_id", "name", F.col("file_id").alias("file_path"), "skeleton_fp", "token_signature")
+    a = s.filter(F.pmod(F.crc32("symbol_id"), F.lit(10)) == 0).select(F.col("symbol_id").alias("anchor_id"), "name", F.concat(F.lit("x"), "file_path").alias("file_path"), "skeleton_fp", "token_signature")
+    return st.anchor_candidates(a, s).groupBy(F.round("score", 2).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def touched_files(spark, d) -> DataFrame:
+    m = table(spark, d, "messages").filter("kind = 'tool_call' and text is not null").groupBy("id").agg(F.min("text").alias("text"))
+    cmd = F.concat(F.lit("cat "), F.coalesce(F.get_json_object(F.expr("substring(text, instr(text, chr(10)) + 1)"), "$.path"), F.lit("-")), F.lit(" && grep x y.py"))
+    return m.select("id", F.explode(kn.shell_files(cmd)).alias("path"))
+
+
 QUERIES = {
+    "M11_superseded": superseded, "G16_coverage": coverage, "M21_problems": reviewed, "J22_M8_candidates": candidate_places, "P26_touched_files": touched_files,
     "S5_A10_commit_log": commit_log, "S7_recency": recency, "S6_renames": rename_paths, "J27_coupled_pairs": coupled_without_import, "M14_repository_states": repository_states, "J16_cross_repository": cross_repository, "J17_pending_healed": pending_healed, "M14_identified": identified, "P18_P19_names": names_resolved,
     "J28_U4_M25_delivered": delivered, "A25_areas": area_table, "A27_area_calls": calls_between, "G15_guards": guards, "M4_M5_anchors": anchors, "M2_J21_reconciled": reconciled, "D1_content_hashes": content_hashes, "D4_D5_sketches": sketches, "J19_D14_imports": import_pairs, "G14_G4_entry_kinds": entry_kinds,
     "A5_O6_memory_states": memory_states, "P21_blockers": blocked_rules, "A12_agreement": agreements, "J25_clusters": clusters, "P15_P16_narrowed": narrowed, "A24_briefing": briefed, "M20_J8_twins": duplicate_skeletons, "G7_M20_untested": untested, "V2_stale_vectors": refreshed_vectors, "S25_S26_archive": archived, "U2_S46_merged": merged_graphs, "S38_pdf_links": pdf_links, "W3_F5_per_source": query_metrics, "T_session_windows": evening_windows,
@@ -244,6 +278,9 @@ QUERIES = {
 _NE = "nr as (select s_nationkey as from_id, c_nationkey as to_id, round(sum(l_extendedprice), 0) as v from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by 1, 2), ne as (select from_id, to_id from (select *, row_number() over (partition by from_id order by v desc, to_id) as rn from nr) where rn <= 2)"
 _HYP = f"hy as (select * from (select {K.format('exp_id')} as memory_id, max(hypothesis) as claim, min(created_at) as created_at from experiments group by 1) where claim <> '')"
 SQL = {
+    "M11_superseded": "select case when o_orderpriority = '1-URGENT' then 'SUPERSEDED' else 'ACTIVE' end as status, 1 as version, count(*) as n from orders group by 1 union all select 'ACTIVE', 2, count(*) from orders where o_orderpriority = '1-URGENT'",
+    "G16_coverage": "with m as (select distinct l_orderkey || '-' || l_partkey as id, l_returnflag as f, l_orderkey as e from lineitem) select 'GUARDED_BY' as kind, count(*) as n, count(distinct a.id) as n_rules from m a join m b on a.e = b.e where a.f = 'R' and b.f = 'A'",
+    "P26_touched_files": "select id, json_extract_string(substr(t, strpos(t, chr(10)) + 1), '$.path') as path from (select id, min(text) as t from messages where kind = 'tool_call' and text is not null group by 1) where json_valid(substr(t, strpos(t, chr(10)) + 1)) and json_extract_string(substr(t, strpos(t, chr(10)) + 1), '$.path') is not null",
     "S5_A10_commit_log": "select 'src/p' || l_partkey || '.py' as path, count(*) as n, cast(sum(cast(l_quantity as bigint)) as bigint) as added, max(l_orderkey) * 1000 as last from lineitem where l_orderkey <= 2000 group by 1",
     "S7_recency": "select 'src/p' || l_partkey || '.py' as path, max(l_orderkey) * 1000 as last from lineitem where l_orderkey <= 2000 group by 1",
     "S6_renames": "select doc_id, 'old/' || split_part(path, '/', 1) || '/' || split_part(path, '/', -1) as path from documents where path is not null",

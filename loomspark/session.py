@@ -102,3 +102,14 @@ def _clean() -> None:
                 _delete(spark, path)
         except Exception:  # the JVM may be gone at exit
             pass
+
+
+def register(spark: SparkSession, sf_dir: str) -> list[str]:
+    """All tables of a folder as temporary views; returns their names."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName()[:-8] for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet"))
+    for n in names:
+        table(spark, sf_dir, n).createOrReplaceTempView(n)
+    return names
