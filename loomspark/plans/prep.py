@@ -124,5 +124,30 @@ P6_MONTHLY = (
     "select table_name, coalesce(strftime(moment at time zone 'UTC', '%Y-%m'), 'unknown') as month, state, count(distinct row(row_key, k)) as n_rows from c where state <> 'good' group by 1, 2, 3"
 )
 
+P3_FOUND = """with sv as (select source_path, max(parser_version) as pv from source_files where source_path is not null group by 1),
+src as (select 'diagnostics_json' as col, surface, parser_version as pv, diagnostics_json as j from source_files union all select 'meta_json', s.surface, sv.pv, meta_json from sessions s join sv using (source_path)),
+ok as (select col, surface, pv, cast(j as json) as j from src where j is not null and j <> '' and json_valid(j) and surface is not null and pv is not null),
+ob as (select col, surface, pv, j as o from ok where col = 'meta_json' and json_type(j) = 'OBJECT' union all select col, surface, pv, unnest(cast(j as json[])) from ok where col = 'diagnostics_json' and json_type(j) = 'ARRAY'),
+tr as (select col, surface, pv, unnest(list_zip(k, v)) as kv from (select col, surface, pv, json_keys(o) as k, list_transform(json_keys(o), lambda x: json_extract(o, '$."' || x || '"')) as v from ob where json_type(o) = 'OBJECT')),
+l1 as (select col, surface, pv, kv[1] as f, kv[2] as v from tr),
+l2 as (select col, surface, pv, f, v from l1 where coalesce(json_type(v), 'NULL') <> 'OBJECT' union all select col, surface, pv, f || '.' || unnest(json_keys(v)), unnest(list_transform(json_keys(v), lambda x: json_extract(v, '$."' || x || '"'))) from l1 where json_type(v) = 'OBJECT'),
+lf as (select col, surface, pv, f, v, case json_type(v) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'NULL' then null else case when v is null then null else 'number' end end as ty from l2),
+vs as (select distinct col, surface, pv from ob),
+nv as (select *, lag(pv) over (partition by col, surface order by list_transform(regexp_extract_all(pv, '[0-9]+'), lambda x: cast(x as int))) as before from vs),
+fd as (select col, surface, pv, f, mode(ty) filter (ty is not null) as ty from lf group by 1, 2, 3, 4),
+el as (select distinct col, surface, pv, f, cast(v as varchar) as x from lf where ty <> 'array' union select col, surface, pv, f, cast(unnest(json_extract(v, '$[*]')) as varchar) from lf where ty = 'array'),
+rg as (select col, surface, pv, f, min(try_cast(trim(x, '"') as double)) as lo, max(try_cast(trim(x, '"') as double)) as hi, bool_and(try_cast(trim(x, '"') as double) is not null) as isnum, bool_and(coalesce(try_cast(trim(x, '"') as double) = floor(try_cast(trim(x, '"') as double)), false)) as whole from el group by 1, 2, 3, 4),
+gone as (select n.col, n.surface, n.pv, n.before, a.f, a.ty from nv n join fd a on a.col = n.col and a.surface = n.surface and a.pv = n.before where not exists (select 1 from fd b where b.col = n.col and b.surface = n.surface and b.pv = n.pv and b.f = a.f)),
+come as (select n.col, n.surface, n.pv, n.before, b.f, b.ty from nv n join fd b on b.col = n.col and b.surface = n.surface and b.pv = n.pv where n.before is not null and not exists (select 1 from fd a where a.col = n.col and a.surface = n.surface and a.pv = n.before and a.f = b.f)),
+pr as (select g.col, g.surface, g.pv, g.f as old, c.f as new, case when ra.isnum and rb.isnum and ra.whole = rb.whole and (g.ty = 'number' or ra.whole) then greatest(0, least(ra.hi, rb.hi) - greatest(ra.lo, rb.lo)) / nullif(greatest(ra.hi, rb.hi) - least(ra.lo, rb.lo), 0) when g.ty = 'number' then 0 else
+(select count(*) from el x join el y on x.x = y.x where x.col = g.col and x.surface = g.surface and x.pv = g.before and x.f = g.f and y.col = g.col and y.surface = g.surface and y.pv = g.pv and y.f = c.f) / (select count(distinct x) from el where col = g.col and surface = g.surface and ((pv = g.before and f = g.f) or (pv = g.pv and f = c.f))) end as score
+from gone g join come c on c.col = g.col and c.surface = g.surface and c.pv = g.pv and c.ty = g.ty left join rg ra on ra.col = g.col and ra.surface = g.surface and ra.pv = g.before and ra.f = g.f left join rg rb on rb.col = g.col and rb.surface = g.surface and rb.pv = g.pv and rb.f = c.f),
+rn as (select * from (select *, row_number() over (partition by col, surface, pv, old order by score desc, new) as ra, row_number() over (partition by col, surface, pv, new order by score desc, old) as rb from pr where score >= 0.5) where ra = 1 and rb = 1),
+al as (select col, surface, pv, 'renamed' as kind, old as f, new from rn
+union all select col, surface, pv, 'removed', f, '' from gone g where not exists (select 1 from rn where rn.col = g.col and rn.surface = g.surface and rn.pv = g.pv and rn.old = g.f)
+union all select col, surface, pv, 'added', f, '' from come c where not exists (select 1 from rn where rn.col = c.col and rn.surface = c.surface and rn.pv = c.pv and rn.new = c.f)
+union all select n.col, n.surface, n.pv, 'retyped', b.f, '' from nv n join fd a on a.col = n.col and a.surface = n.surface and a.pv = n.before join fd b on b.col = n.col and b.surface = n.surface and b.pv = n.pv and b.f = a.f where a.ty <> b.ty)
+select col as json_column, surface, pv as parser_version, kind as change_kind, f as field_name, new as new_name from al"""
+
 QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p2_found": p2_found, "p2_ledger": p2_ledger, "p3_found": p3_found, "p3_meta_table": p3_meta_table, "p3_diagnostics_table": p3_diagnostics_table, "p6_found": p6_found, "p6_monthly": p6_monthly}
-SQL = {"p1_found": P1_FOUND, "p1_hierarchy": P1_HIERARCHY, "p1_descendants": P1_DESCENDANTS, "p2_found": P2_FOUND, "p2_ledger": P2_LEDGER, "p6_found": P6_FOUND, "p6_monthly": P6_MONTHLY}
+SQL = {"p1_found": P1_FOUND, "p1_hierarchy": P1_HIERARCHY, "p1_descendants": P1_DESCENDANTS, "p2_found": P2_FOUND, "p2_ledger": P2_LEDGER, "p3_found": P3_FOUND, "p6_found": P6_FOUND, "p6_monthly": P6_MONTHLY}
