@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 ROUNDS = 3
+LONE = 5  # occurrences alone from which they decide whether a word is a name
 FILTER = 1 << 20  # bytes of the bit map of names
 PURE = 0.4  # share of one type among what a pattern surrounds, from which the pattern speaks for that type
 ACCEPT = {"email": 0.5, "phone": 0.5, "id_number": 0.5, "address": 0.5, "person": 0.4}
@@ -221,7 +222,7 @@ def ordinary_words(messages: DataFrame, text_col: str) -> DataFrame:
 
 
 def graph(cands: DataFrame, words: DataFrame, roster: DataFrame) -> DataFrame:
-    """The pattern-instance graph: (kind, key, seed, patterns, n), one row for each way an instance is surrounded.
+    """The pattern-instance graph: (kind, key, seed, patterns, alone, n), one row for each way an instance is surrounded; `alone` says that a word has no other capitalised word beside it.
 
     Instances of names are their words. Words that are written in lower case far more often than with a capital are
     ordinary words and no instances.
@@ -231,13 +232,13 @@ def graph(cands: DataFrame, words: DataFrame, roster: DataFrame) -> DataFrame:
     part = cands.filter("kind = 'person'").select("parts", around.alias("near"), F.posexplode("parts.word").alias("i", "key"))
     word = F.col("parts.word")
     beside = F.array_compact(F.array(F.when(F.col("i") > 0, F.concat(F.lit("N "), F.get(word, F.col("i") - 1))), F.when(F.col("i") < F.size("parts") - 1, F.concat(F.lit("N "), F.get(word, F.col("i") + 1)))))
-    names = part.select(F.lit("person").alias("kind"), "key", F.concat("near", beside).alias("patterns"))
+    names = part.select(F.lit("person").alias("kind"), "key", F.concat("near", beside).alias("patterns"), (F.size("parts") == 1).alias("alone"))
     seeds = roster.select(F.explode(F.array("given_name", "family_name")).alias("key")).filter("key is not null").select("key", F.lit(True).alias("seed")).distinct()
-    counted = names.groupBy("kind", "key", "patterns").agg(F.count(F.lit(1)).alias("n"))
+    counted = names.groupBy("kind", "key", "patterns", "alone").agg(F.count(F.lit(1)).alias("n"))
     capital = counted.groupBy("key").agg(F.sum("n").alias("n_capital"))
     ordinary = capital.join(words, F.lower(capital["key"]) == words["word"]).filter("n_lower >= 20 and n_lower >= 3 * n_capital").select("key")
-    names = counted.join(ordinary, "key", "left_anti").join(seeds, "key", "left").select("kind", "key", F.coalesce("seed", F.lit(False)).alias("seed"), "patterns", "n")
-    return materialise(shapes.groupBy("kind", "key", "seed", "patterns").agg(F.count(F.lit(1)).alias("n")).unionByName(names), "pii_graph")
+    names = counted.join(ordinary, "key", "left_anti").join(seeds, "key", "left").select("kind", "key", F.coalesce("seed", F.lit(False)).alias("seed"), "patterns", "alone", "n")
+    return materialise(shapes.groupBy("kind", "key", "seed", "patterns").agg(F.count(F.lit(1)).alias("n")).withColumn("alone", F.lit(False)).unionByName(names), "pii_graph")
 
 
 def pattern_confidence(edges: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -253,10 +254,15 @@ def pattern_confidence(edges: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def scores(edges: DataFrame, confidence: DataFrame) -> DataFrame:
-    """(kind, key, score): the mean, over an instance's occurrences, of the confidence of its best pattern for its type, 0 where none speaks for it."""
-    e = edges.select("kind", "key", "n", F.xxhash64("kind", "key", "seed", "patterns").alias("at"), F.explode("patterns").alias("pattern"))
-    best = e.join(confidence, ["pattern", "kind"], "left").groupBy("kind", "key", "at").agg(F.first("n").alias("n"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("c"))
-    return best.groupBy("kind", "key").agg((F.sum(F.col("n") * F.col("c")) / F.sum("n")).alias("score"))
+    """(kind, key, score): the mean, over an instance's occurrences, of the confidence of its best pattern for its type, 0 where none speaks for it.
+
+    A word that only scores beside names (as in "Ask <name>"), while what surrounds it alone speaks for nothing, scores 0.
+    """
+    e = edges.select("kind", "key", "n", "alone", F.xxhash64("kind", "key", "seed", "patterns", "alone").alias("at"), F.explode("patterns").alias("pattern"))
+    best = e.join(confidence, ["pattern", "kind"], "left").groupBy("kind", "key", "at").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("c"))
+    lone = F.when(F.col("alone"), F.col("n")).otherwise(0)
+    s = best.groupBy("kind", "key").agg((F.sum(F.col("n") * F.col("c")) / F.sum("n")).alias("score"), F.sum(lone).alias("n_alone"), F.sum(lone * F.col("c")).alias("c_alone"))
+    return s.select("kind", "key", F.when((F.col("n_alone") >= LONE) & (F.col("c_alone") < 0.25 * F.col("n_alone")), 0.0).otherwise(F.col("score")).alias("score"))
 
 
 def _threshold(kind: Column) -> Column:
