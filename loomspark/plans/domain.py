@@ -104,7 +104,7 @@ def compiled(spark, d) -> DataFrame:
 def _trees(spark, d) -> DataFrame:
     """Trees as recordings have them, of the driver's orders: customer, order, line."""
     l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.lit("lines").alias("file"), F.concat(F.lit("part"), F.col("l_partkey") % 20).alias("function"), F.lit(1).alias("count"), F.col("l_quantity").alias("total_ms"), F.col("l_quantity").alias("self_ms"))).alias("children"), F.sum("l_quantity").alias("q"))  # noqa: E741
-    o = table(spark, d, "orders").filter("o_custkey <= 200").join(l, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.struct(F.lit("orders").alias("file"), F.col("o_orderpriority").alias("function"), F.lit(1).alias("count"), (F.col("q") + 1.0).alias("total_ms"), F.lit(1.0).alias("self_ms"), "children").alias("n"))
+    o = table(spark, d, "orders").join(l, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.struct(F.lit("orders").alias("file"), F.col("o_orderpriority").alias("function"), F.lit(1).alias("count"), (F.col("q") + 1.0).alias("total_ms"), F.lit(1.0).alias("self_ms"), "children").alias("n"))
     c = o.groupBy("o_custkey").agg(F.collect_list("n").alias("children"), F.sum("n.total_ms").alias("t"))
     return c.select(F.col("o_custkey").cast("string").alias("run"), F.lit(1).alias("pid"), F.to_json(F.struct(F.lit("c").alias("file"), F.lit("main").alias("function"), F.lit(1).alias("count"), (F.col("t") + 2.0).alias("total_ms"), F.lit(2.0).alias("self_ms"), "children")).alias("tree"))
 

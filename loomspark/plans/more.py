@@ -18,7 +18,7 @@ K = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13)))"
 
 def commits(spark, d) -> DataFrame:
     """A commit log in text, as version control prints it, made of orders and lines, and read back."""
-    l = table(spark, d, "lineitem").filter("l_orderkey <= 2000").select("l_orderkey", F.format_string("%d\t0\tsrc/p%d.py", F.col("l_quantity").cast("long"), F.col("l_partkey")).alias("line"))  # noqa: E741
+    l = table(spark, d, "lineitem").select("l_orderkey", F.format_string("%d\t0\tsrc/p%d.py", F.col("l_quantity").cast("long"), F.col("l_partkey")).alias("line"))  # noqa: E741
     t = l.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("b")).select(F.concat(F.lit("@"), F.lpad("l_orderkey", 8, "0"), F.lit(" "), F.col("l_orderkey") * 1000, F.lit("\n\n"), "b", F.lit("\n")).alias("t"))
     return history.parse_numstat(t, "t")
 
