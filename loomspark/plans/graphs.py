@@ -91,7 +91,7 @@ def experiment_shape(spark, d) -> DataFrame:
 
 
 def lineage(spark, d) -> DataFrame:
-    t = hierarchy.hierarchy(table(spark, d, "experiments"), "exp_id", "parent_id").filter("not in_cycle and depth = 3")
+    t = hierarchy.hierarchy(table(spark, d, "experiments"), "exp_id", "parent_id").filter("not in_cycle")
     return t.select(F.col("id").alias("exp_id"), F.posexplode(F.split("path", "/")).alias("step", "ancestor")).select("exp_id", F.col("step").cast("long").alias("step"), "ancestor")
 
 

@@ -259,7 +259,7 @@ def reviewed(spark, d) -> DataFrame:
 
 def candidate_places(spark, d) -> DataFrame:
     s = materialise(code.symbols(files(spark, d), "doc_id", "text"), "symbols").select("symbol_id", "name", F.col("file_id").alias("file_path"), "skeleton_fp", "token_signature")
-    a = s.filter(F.pmod(F.crc32("symbol_id"), F.lit(10)) == 0).select(F.col("symbol_id").alias("anchor_id"), "name", F.concat(F.lit("x"), "file_path").alias("file_path"), "skeleton_fp", "token_signature")
+    a = s.select(F.col("symbol_id").alias("anchor_id"), "name", F.concat(F.lit("x"), "file_path").alias("file_path"), "skeleton_fp", "token_signature")
     return st.anchor_candidates(a, s).groupBy(F.round("score", 2).alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -73,12 +73,16 @@ def _messages(spark, d) -> DataFrame:
     return m.select("id", norm_key("session_key").alias("session_key"), "ordinal", norm_key("role").alias("role"), "kind", "text", "tool_name").dropDuplicates(["id"])
 
 
+def _search_match(cl):
+    """What message_search and message_context take as a hit: a message with all words."""
+    return tx.matches(tx.normal(F.col("text")), [[c] for c in cl]) & (F.col("kind") == "message")
+
+
 def message_search(spark, d) -> DataFrame:
     """All words, messages only, at most 3 a session, best 20."""
     cl = tx.parse("baseline loss")
     m = _messages(spark, d)
-    n = tx.normal(F.col("text"))
-    hits = tx.bm25(m, "text", cl, tx.matches(n, [[c] for c in cl]) & (F.col("kind") == "message")).withColumn("score", F.round("score", 6))
+    hits = tx.bm25(m, "text", cl, _search_match(cl)).withColumn("score", F.round("score", 6))
     best = tx.per_group(hits, ["session_key"], [F.desc("score"), F.col("id")], 3)
     return best.orderBy(F.desc("score"), "id").limit(20).select("id", "session_key", "ordinal", "score")
 
@@ -111,9 +115,11 @@ def snippets(spark, d) -> DataFrame:
 
 
 def message_context(spark, d) -> DataFrame:
-    m = _messages(spark, d).groupBy("session_key", "ordinal").agg(F.min("id").alias("id"), F.min_by("kind", "id").alias("kind"))
-    hits = m.filter("id % 50 = 0 and ordinal is not null")
-    return tx.context(m, hits.select("session_key", "ordinal"), "session_key", "ordinal", 2, 1).select("session_key", "hit", "ordinal", "id", "is_match")
+    """The messages around every match of message_search, not only around its best."""
+    all_ = _messages(spark, d)
+    m = all_.groupBy("session_key", "ordinal").agg(F.min("id").alias("id"))
+    hits = all_.filter(_search_match(tx.parse("baseline loss")) & F.col("ordinal").isNotNull())
+    return tx.context(m, hits.select("session_key", "ordinal").distinct(), "session_key", "ordinal", 2, 1).select("session_key", "hit", "ordinal", "id", "is_match")
 
 
 def budgeted(spark, d) -> DataFrame:

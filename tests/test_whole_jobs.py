@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from loomspark.plans import domain, more
+from pyspark.sql import functions as F
+
+from loomspark.plans import domain, graphs, more, search
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +51,29 @@ def test_commit_log_of_all_orders(spark, orders):
         by[f"src/p{p}.py"].append((k, int(q)))
     assert {tuple(r) for r in more.commit_log(spark, d).select("path", "n", "added", "last").collect()} == {(p, len(x), sum(q for _, q in x), max(x)[0] * 1000) for p, x in by.items()}
     assert {tuple(r) for r in more.recency(spark, d).select("path", "last").collect()} == {(p, max(x)[0] * 1000) for p, x in by.items()}
+
+
+def test_context_of_all_hits(spark, tmp_path):
+    rows = [(i, "s1", i, "message", "the baseline of the loss" if i in (3, 4, 9) else "baseline only") for i in range(1, 12)]
+    rows += [(30 + i, "s2", i, "message", "Loss, baseline" if i == 0 else "other") for i in range(4)] + [(50, "s3", 0, "message", "no hit"), (51, "s3", 1, "tool_result", "baseline loss"), (52, "s3", None, "message", "baseline loss")]
+    spark.createDataFrame([(i, k, o, "user", kind, t, None) for i, k, o, kind, t in rows], "id long, session_key string, ordinal int, role string, kind string, text string, tool_name string").write.parquet(f"{tmp_path}/messages.parquet")
+    at = {(k, o): i for i, k, o, _, _ in rows}
+    want = {(k, h, o, at[k, o], h == o) for k, h in (("s1", 3), ("s1", 4), ("s1", 9), ("s2", 0)) for o in range(h - 2, h + 2) if (k, o) in at}
+    assert {tuple(r) for r in search.message_context(spark, str(tmp_path)).collect()} == want
+
+
+def test_every_symbol_is_an_anchor(spark, sf):
+    n = graphs._symbols(spark, sf).select("symbol_id").count()
+    assert n > 100 and more.candidate_places(spark, sf).agg(F.sum("n")).first()[0] == n
+
+
+def test_lineage_of_all_depths(spark, tmp_path):
+    up = {"a": None, "b": "a", "c": "b", "d": "c", "e": "d", "f": "e", "g": "b", "lone": "gone", "x": "y", "y": "x", "z": "x"}
+    spark.createDataFrame(list(up.items()), "exp_id string, parent_id string").write.parquet(f"{tmp_path}/experiments.parquet")
+    want = set()
+    for e in set(up) - {"x", "y", "z"}:
+        chain = [e]
+        while up.get(chain[-1]) in up:
+            chain.append(up[chain[-1]])
+        want |= {(e, i, a) for i, a in enumerate(reversed(chain))}
+    assert {tuple(r) for r in graphs.lineage(spark, str(tmp_path)).collect()} == want
