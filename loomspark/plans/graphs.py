@@ -76,11 +76,17 @@ _NATIONS = "r as (select s_nationkey as from_id, c_nationkey as to_id, round(sum
 
 
 def cycles(spark, d) -> DataFrame:
-    return g.cycles(nation_edges(spark, d)).select(F.col("id").cast("long").alias("id"), F.col("component").cast("long").alias("component"), "n_nodes")
+    return g.cycles(materialise(parts_edges(spark, d), "edges")).select(F.col("id").cast("long").alias("id"), F.col("component").cast("long").alias("component"), "n_nodes")
+
+
+def code_calls(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The symbols of the code files, and the calls resolved between them."""
+    s = _symbols(spark, d)
+    return s, materialise(code.resolve_calls(s, spark.createDataFrame([], "from_id string, to_id string, deferred boolean"))[0], "edges")
 
 
 def areas(spark, d) -> DataFrame:
-    return g.louvain(nation_edges(spark, d), min_size=2).select("id", "community")
+    return g.louvain(code_calls(spark, d)[1], min_size=2).select("id", "community")
 
 
 def experiment_shape(spark, d) -> DataFrame:

@@ -77,3 +77,31 @@ def test_lineage_of_all_depths(spark, tmp_path):
             chain.append(up[chain[-1]])
         want |= {(e, i, a) for i, a in enumerate(reversed(chain))}
     assert {tuple(r) for r in graphs.lineage(spark, str(tmp_path)).collect()} == want
+
+
+def test_cycles_of_the_parts_graph(spark, sf):
+    near = defaultdict(set)
+    for r in graphs.parts_edges(spark, sf).select("from_id", "to_id").collect():
+        near[r[0]].add(r[1])
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return seen
+
+    to = {a: reach(a) for a in list(near)}
+    groups = {a: frozenset(b for b in x if a in to.get(b, ())) for a, x in to.items() if a in x}
+    assert len(groups) > 25
+    assert {tuple(r) for r in graphs.cycles(spark, sf).select("id", "component", "n_nodes").collect()} == {(a, min(g), len(g)) for a, g in groups.items()}
+
+
+def test_areas_of_the_call_graph(spark, sf):
+    calls = {(r[0], r[1]) for r in graphs.call_graph(spark, sf).select("from_id", "to_id").collect()}
+    of = {r["id"]: r["community"] for r in graphs.areas(spark, sf).collect()}
+    assert calls and of and set(of) <= {x for c in calls for x in c}
+    assert {r["community"]: r["n"] for r in more.area_table(spark, sf).collect()} == Counter(of.values())
+    between = Counter(tuple(sorted((of[a], of[b]))) for a, b in graphs.call_graph(spark, sf).select("from_id", "to_id").collect() if a in of and b in of and of[a] != of[b])
+    assert {(r["a"], r["b"]): r["n"] for r in more.calls_between(spark, sf).collect()} == between
