@@ -50,7 +50,9 @@ def _history(spark, d) -> DataFrame:
 
 
 def p2_found(spark, d) -> DataFrame:
-    return ledger.new_or_changed(_history(spark, d), "source_path", "refresh_id").select("refresh_id", "source_path")
+    """Read from the ledger: what the committed tokens took."""
+    led, _ = ledger.work_off(table(spark, d, "source_files"), table(spark, d, "refresh_runs"), "source_path", "refresh_id", ["mtime_ns", "size_bytes"], "status", "indexed_at")
+    return led.taken().select(F.col("token").cast("int").alias("refresh_id"), F.col("key").alias("source_path"))
 
 
 def p2_ledger(spark, d) -> DataFrame:

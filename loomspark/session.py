@@ -11,7 +11,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: list[tuple[SparkSession, str]] = []
+_MADE: list[tuple[SparkSession, str, str | None]] = []  # (session, path, name of its table)
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -36,13 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir if the cluster names one, else one made for this local run."""
+    """The folder all executors share: spark.checkpoint.dir if the cluster names one, else, in local mode only, one made for this run."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not hasattr(spark, "_loomspark_dir"):
         spark._loomspark_dir = tempfile.mkdtemp(prefix="loomspark-")
-        _MADE.append((spark, spark._loomspark_dir))
+        _MADE.append((spark, spark._loomspark_dir, None))
     return spark._loomspark_dir
 
 
@@ -54,10 +56,26 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _MADE.append((spark, path))
+    _MADE.append((spark, path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def colocated(df: DataFrame, by: list[str], label: str = "stage", buckets: int | None = None, split: str | None = None, moved: bool = True, folder: str | None = None) -> DataFrame:
+    """Like materialise, but rows are kept in buckets of `by` (as many as shuffle partitions), so that joins and groups on
+    those columns between such tables need no shuffle. `split` names a column whose values get a folder each.
+
+    `moved`: bring the rows to their buckets first, one file a bucket; false for what was joined from such tables.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark)}/{name}"
+    w = (df.repartition(n, *by) if moved else df).write.format("parquet").bucketBy(n, *by).sortBy(*by).option("path", path)
+    (w.partitionBy(split) if split else w).saveAsTable(name)
+    _MADE.append((spark, path, name))
+    return spark.table(name)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a session: as a zip in the shared folder, for workers that don't have it installed."""
     if getattr(spark.sparkContext, "_loomspark_shipped", False):
@@ -75,20 +93,22 @@ def ship(spark: SparkSession) -> None:
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
     out.write(bytearray(buf.getvalue()))
     out.close()
-    _MADE.append((spark, path))
+    _MADE.append((spark, path, None))
     spark.sparkContext.addPyFile(path)
     spark.sparkContext._loomspark_shipped = True
 
 
 def drop_materialised(df: DataFrame) -> None:
     """Delete the written tables that df reads; only for intermediates nobody reads any more."""
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for x in [m for m in _MADE if f.endswith(m[1].split("://")[-1].lstrip("/"))]:
-            _delete(*x)
-            _MADE.remove(x)
+    folders = {f.rsplit("/", 1)[0] + "/" for f in df.inputFiles()}
+    for x in [m for m in _MADE if any(m[1].split("://")[-1].lstrip("/") + "/" in f for f in folders)]:
+        _delete(*x)
+        _MADE.remove(x)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _delete(spark: SparkSession, path: str, name: str | None = None) -> None:
+    if name:
+        spark.sql(f"drop table if exists {name}")
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -96,10 +116,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _MADE:
+    for made in _MADE:
         try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
+            if made[0].sparkContext._jsc is not None:
+                _delete(*made)
         except Exception:  # the JVM may be gone at exit
             pass
 

@@ -52,3 +52,22 @@ def test_leases_expire_and_stale_writers_are_rejected(spark, tmp_path):
         led.lease(3, t0, 60)
     led.observe(spark.createDataFrame([("a", "2"), ("b", "1"), ("c", None)], "key string, version string"))
     assert {r["key"] for r in led.lease(4, t0 + dt.timedelta(days=1), 60).collect()} == {"a", "c"}
+
+
+def test_time_fences_and_generations(spark, tmp_path):
+    led, t0 = ledger.Ledger(spark, str(tmp_path / "led2")), dt.datetime(2026, 1, 1)
+    seen = lambda *r: spark.createDataFrame(list(r), "key string, version string")
+    led.lease(1, t0, 60, seen(("a", "1"), ("b", "1")))
+    late = t0 + dt.timedelta(seconds=60)
+    assert led.complete(1, seen(("a", "1")).select("key"), late) == 0  # its time was up, although nobody else took the lease
+    assert led.taken().count() == 0 and led.taken(committed=False).count() == 2
+    led.lease(2, late, 60, seen(("a", "1"), ("c", None)))
+    assert led.complete(2, seen(("a", "1")).select("key"), late) == 1
+    assert {(r["token"], r["key"]) for r in led.taken().collect()} == {(2, "a"), (2, "c")}
+    assert {r["key"]: r["state"] for r in led.items().collect()} == {"a": "done", "b": "leased", "c": "pending"}  # c failed
+    other = ledger.Ledger(spark, led.root)
+    assert {r["key"] for r in other.items().collect()} == {"a", "b", "c"}
+    base = other._newest()
+    other._write(other.items(), base, moved=True)
+    with pytest.raises(RuntimeError):
+        led._write(led.items(), base, moved=True)
