@@ -2,13 +2,14 @@
 
 A value is first brought into the form year|month|day|hour|minute|second|fraction|AM or PM|zone|order by the first
 pattern that fits, then computed with integer arithmetic. What has a zone is an instant at once. What has none is
-wall-clock time of its surface: the surface's offset history is estimated by aligning the local times with the zoned
-times of the same session and taking the candidate zone with the fewest violations.
+wall-clock time of its surface: a surface's offset history is estimated by aligning its local times with the zoned times
+that stand beside them in the order of their session. Candidates are all offset histories that any zone of the JVM's
+calendar has in the period of the data; the one with the fewest violations converts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key
@@ -22,8 +23,9 @@ ABBREVIATIONS = {
     "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
 }
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
-#: Offset histories that the estimate weighs beside those of the clock table.
-CANDIDATES = ["UTC", "Europe/London", "Europe/Berlin", "Europe/Helsinki", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "Asia/Kolkata", "Asia/Tokyo", "Australia/Sydney"]
+NEAR = 8  # so many neighbouring ordinals of a session are aligned with each other
+SLACK_MS = 300_000  # a local time may lie so far outside the zoned times beside it
+GRID_MS = 900_000  # all offsets of the period are multiples of this
 
 _ZONE = r"(?:\s*([A-Za-z]{1,5}|[+-]\d{2}(?::?\d{2})?))?(?:\[[A-Za-z_/+\-0-9]+\])?"
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp][Mm])\b)?" + _ZONE
@@ -108,23 +110,47 @@ def to_instant(local_ms: Column, zone: Column) -> Column:
     return F.when(zone.isNotNull() & once, F.unix_millis(u))
 
 
-def session_spans(messages: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, lo, hi) in ms: the span of a session's times in the plain UTC form."""
+def offset_histories(spark: SparkSession, lo_ms: int, hi_ms: int) -> list[str]:
+    """One zone for each offset history that the zones of the JVM's calendar have between two instants, the first by name.
+
+    Histories are compared every three hours. The zones are some 500 whatever the data, the histories fewer.
+    """
+    names = [n for n in spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds() if n == "UTC" or ("/" in n and not n.startswith(("Etc/", "SystemV/")))]
+    hours = F.sequence(F.timestamp_millis(F.lit(lo_ms - 86_400_000)), F.timestamp_millis(F.lit(hi_ms + 86_400_000)), F.expr("interval 3 hours"))
+    history = F.xxhash64(F.transform(hours, lambda t: F.unix_seconds(F.from_utc_timestamp(t, F.col("zone")))))
+    zones = spark.createDataFrame([(n,) for n in names], "zone string").repartition(8)
+    return sorted(r[0] for r in zones.select("zone", history.alias("h")).groupBy("h").agg(F.min("zone")).select("min(zone)").collect())
+
+
+def zoned_beside(messages: DataFrame, key: str, ordinal: str, value: str) -> DataFrame:
+    """(key, near, lo, hi) in ms: the span of the plain UTC times among NEAR neighbouring ordinals of a session."""
     t = F.when(F.col(value).rlike(CANONICAL), F.unix_millis(F.col(value).try_cast("timestamp")))
-    return messages.select(norm_key(key).alias("key"), t.alias("t")).filter(F.col("t").isNotNull() & F.col("key").isNotNull()).groupBy("key").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    m = messages.select(norm_key(key).alias("key"), near(F.col(ordinal)).alias("near"), t.alias("t")).filter(F.col("t").isNotNull() & F.col("key").isNotNull() & F.col("near").isNotNull())
+    return m.groupBy("key", "near").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+
+
+def near(ordinal: Column) -> Column:
+    return F.floor(ordinal / NEAR).cast("long")
 
 
-def estimate_zones(read: DataFrame, zones: list[str], slack_ms: int = 900_000) -> dict[str, dict[str, int]]:
-    """surface -> zone -> violations: local times that, put into the zone, fall outside their session's span.
+def estimate_zones(read: DataFrame, zones: list[str], slack_ms: int = SLACK_MS) -> dict[str, dict[str, int]]:
+    """surface -> zone -> violations: local times that, put into the zone, fall outside the span of the zoned times beside them.
 
-    One aggregation; what comes back is surfaces x zones numbers. Columns of `read`: surface, local_ms, lo, hi.
+    Columns of `read`: surface, local_ms, lo, hi. Local times are first added up by surface, hour and the range of offsets
+    that their neighbours allow, so that the candidates meet a table as large as the calendar, not as the data; what comes
+    back is surfaces x zones numbers. Times that no offset fits, or any (a range of a day and more), count for none.
     """
     rows = read.filter(F.col("local_ms").isNotNull() & F.col("lo").isNotNull() & F.col("surface").isNotNull())
-    out = [F.count(F.lit(1)).alias("_n")]
-    for i, z in enumerate(zones):
-        u = F.unix_millis(F.to_utc_timestamp(F.timestamp_millis("local_ms"), F.lit(z)))
-        out.append(F.sum(F.when((u < F.col("lo") - slack_ms) | (u > F.col("hi") + slack_ms), 1).otherwise(0)).alias(f"z{i}"))
-    return {r["surface"]: {z: r[f"z{i}"] for i, z in enumerate(zones)} for r in rows.groupBy("surface").agg(*out).collect()}
+    a, b = F.ceil((F.col("local_ms") - F.col("hi") - slack_ms) / GRID_MS), F.floor((F.col("local_ms") - F.col("lo") + slack_ms) / GRID_MS)
+    hourly = rows.select("surface", F.floor(F.col("local_ms") / 3_600_000).cast("long").alias("hour"), a.cast("long").alias("a"), b.cast("long").alias("b")).filter("a <= b and b - a < 96").groupBy("surface", "hour", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    local = F.timestamp_millis(F.col("hour") * 3_600_000)
+    tried = hourly.withColumn("zone", F.explode(F.array(*[F.lit(z) for z in zones])))
+    offset = F.col("hour") * 3_600_000 - F.unix_millis(F.to_utc_timestamp(local, F.col("zone")))
+    bad = F.when((offset < F.col("a") * GRID_MS) | (offset > F.col("b") * GRID_MS), F.col("n")).otherwise(0)
+    out: dict[str, dict[str, int]] = {}
+    for r in tried.groupBy("surface", "zone").agg(F.sum(bad).alias("bad")).collect():
+        out.setdefault(r["surface"], {})[r["zone"]] = r["bad"]
+    return out
 
 
 def best_zone(violations: dict[str, int], declared: str | None) -> str | None:
@@ -137,16 +163,15 @@ def best_zone(violations: dict[str, int], declared: str | None) -> str | None:
     return min(z for z, n in violations.items() if n == least)
 
 
-def read_table(rows: DataFrame, surfaces: DataFrame, spans: DataFrame, clock: DataFrame) -> DataFrame:
-    """rows: (table_name, row_key, field_name, value, key[, surface]) -> the same with surface, lo, hi, instant_ms, local_ms.
+def read_table(rows: DataFrame, surfaces: DataFrame, clock: DataFrame) -> DataFrame:
+    """rows: (table_name, row_key, field_name, value, key, ordinal) -> the same with surface, near, instant_ms, local_ms.
 
-    Values in the plain form are left out. `surfaces` and `spans` have one row a key; the join splits hot sessions.
+    Values in the plain form are left out. `surfaces` has one row a key; the join splits hot sessions.
     """
     odd = rows.filter(F.col("value").isNotNull() & ~F.col("value").rlike(CANONICAL))
-    side = surfaces.join(spans, "key", "left")
-    j = skew_join(odd, side, "key", F.col("row_key"), "left")
+    j = skew_join(odd, surfaces, "key", F.col("row_key"), "left")
     order = F.broadcast(clock.select("surface", "day_order").dropDuplicates(["surface"]))
-    return read_values(j.join(order, "surface", "left"), "value", "day_order").select("table_name", "row_key", "field_name", "surface", "lo", "hi", "instant_ms", "local_ms")
+    return read_values(j.withColumn("near", near(F.col("ordinal"))).join(order, "surface", "left"), "value", "day_order").select("table_name", "row_key", "field_name", "key", "near", "surface", "instant_ms", "local_ms")
 
 
 def instants(read: DataFrame, zone_of: dict[str, str]) -> DataFrame:

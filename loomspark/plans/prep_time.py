@@ -10,34 +10,40 @@ from ..operators import timestamps as ts
 from ..session import materialise, table
 
 
-def _read(spark, d) -> tuple[DataFrame, DataFrame]:
+def read(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(all values that are not in the plain form, read; the local times among the messages with the span of the zoned times beside them)."""
     messages, sessions, clock = (table(spark, d, n) for n in ("messages", "sessions", "surface_clock"))
-    rows = messages.select(F.lit("messages").alias("table_name"), F.col("id").cast("string").alias("row_key"), F.lit("timestamp").alias("field_name"), F.col("timestamp").alias("value"), norm_key("session_key").alias("key"))
+    rows = messages.select(F.lit("messages").alias("table_name"), F.col("id").cast("string").alias("row_key"), F.lit("timestamp").alias("field_name"), F.col("timestamp").alias("value"), norm_key("session_key").alias("key"), "ordinal")
     for c in ("started_at", "updated_at"):
-        rows = rows.unionByName(sessions.select(F.lit("sessions").alias("table_name"), norm_key("session_key").alias("row_key"), F.lit(c).alias("field_name"), F.col(c).alias("value"), norm_key("session_key").alias("key")))
+        rows = rows.unionByName(sessions.select(F.lit("sessions").alias("table_name"), norm_key("session_key").alias("row_key"), F.lit(c).alias("field_name"), F.col(c).alias("value"), norm_key("session_key").alias("key"), F.lit(None).cast("int").alias("ordinal")))
     surfaces = sessions.filter(F.col("session_key").isNotNull()).groupBy(norm_key("session_key").alias("key")).agg(F.max("surface").alias("surface"))
-    return materialise(ts.read_table(rows, surfaces, ts.session_spans(messages, "session_key", "timestamp"), clock), "times"), clock
+    every = materialise(ts.read_table(rows, surfaces, clock), "times")
+    local = every.filter("local_ms is not null and near is not null and key is not null").select("key", "near", "surface", "local_ms")
+    return every, local.join(ts.zoned_beside(messages, "session_key", "ordinal", "timestamp"), ["key", "near"]).select("surface", "local_ms", "lo", "hi")
 
 
-def _zones(read: DataFrame, clock: DataFrame) -> list[tuple[str, str | None, str | None, dict[str, int]]]:
-    """(surface, declared, estimated, violations) of each surface of the clock table, which is fixed and small."""
-    declared = {r[0]: r[1] for r in clock.select("surface", "zone_name").distinct().collect() if r[0] is not None}
-    zones = sorted({*ts.CANDIDATES, *(z for z in declared.values() if z)})
-    votes = ts.estimate_zones(read, zones)
+def zones(aligned: DataFrame, declared: dict[str, str | None]) -> list[tuple[str, str | None, str | None, dict[str, int]]]:
+    """(surface, declared, estimated, violations) of each surface. A stated zone is one more candidate, and holds among equals only."""
+    span = aligned.agg(F.min("lo"), F.max("hi")).first()
+    names = sorted({*ts.offset_histories(aligned.sparkSession, *span), *(z for z in declared.values() if z)}) if span[0] is not None else []
+    votes = ts.estimate_zones(aligned, names) if names else {}
     return [(s, z, ts.best_zone(votes.get(s, {}), z), votes.get(s, {})) for s, z in sorted(declared.items())]
 
 
+def _declared(spark, d) -> dict[str, str | None]:
+    """The zones of the clock table, which is fixed and small."""
+    return {r[0]: r[1] for r in table(spark, d, "surface_clock").groupBy("surface").agg(F.max("zone_name")).collect() if r[0] is not None}
+
+
 def p5_found(spark, d) -> DataFrame:
-    """The estimated offset history of each surface converts its local times. The exact check: a surface whose zone the
-    clock table doesn't state has no known zone, and where the estimate differs from the stated zone, the stated holds."""
-    read, clock = _read(spark, d)
-    zone_of = {s: est if est == declared else declared for s, declared, est, _ in _zones(read, clock) if declared}
-    return ts.instants(read, zone_of)
+    """The estimated offset history of each surface converts its local times; the clock table says which surfaces have a known zone at all."""
+    every, aligned = read(spark, d)
+    return ts.instants(every, {s: est for s, declared, est, _ in zones(materialise(aligned, "aligned"), _declared(spark, d)) if declared})
 
 
 def p5_zones(spark, d) -> DataFrame:
-    read, clock = _read(spark, d)
-    rows = [(s, declared, est, votes.get(est) if votes else None) for s, declared, est, votes in _zones(read, clock)]
+    _, aligned = read(spark, d)
+    rows = [(s, declared, est, votes.get(est)) for s, declared, est, votes in zones(materialise(aligned, "aligned"), _declared(spark, d))]
     return spark.createDataFrame(rows, "surface string, declared_zone string, estimated_zone string, violations long")
 
 

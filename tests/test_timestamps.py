@@ -61,3 +61,17 @@ def test_zones_are_estimated(spark):
     votes = ts.estimate_zones(df, ["UTC", "Europe/Berlin", "Asia/Tokyo"])
     assert votes["s"]["Europe/Berlin"] == 0 and votes["s"]["UTC"] > 0 and ts.best_zone(votes["s"], None) == "Europe/Berlin"
     assert ts.best_zone({}, "UTC") == "UTC"
+
+
+def test_zones_are_found_without_their_names(spark):
+    """The clock table's names only break ties: without them the same instants come out, and a wrong zone changes rows."""
+    from loomspark.plans import prep_time
+
+    d = "/root/testdata/sf0.01"
+    every, aligned = prep_time.read(spark, d)
+    known = [s for s, z in prep_time._declared(spark, d).items() if z]
+    blind = {s: est for s, _, est, _ in prep_time.zones(aligned, {s: None for s in known})}
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    stated = rows(prep_time.p5_found(spark, d))
+    assert rows(ts.instants(every, blind)) == stated
+    assert rows(ts.instants(every, blind | {known[0]: "Asia/Tokyo"})) != stated
