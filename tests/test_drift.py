@@ -41,3 +41,26 @@ def test_arrays_and_empty(spark):
     t = drift.ingest(spark.createDataFrame(rows, "id string, doc string"), "doc", {"a": "number"}, True, ["id"]).collect()
     assert [(r["id"], r["position"], r["f_a"], r["_readable"]) for r in t] == [("f", 0, 1.0, True), ("f", 1, 2.0, True), ("g", None, None, True), ("h", None, None, False)]
     assert drift.drift_report(profile(spark, []), "surface", "parser_version").count() == 0
+
+
+def test_report_is_what_typed_and_rescued_columns_hold(spark):
+    """Whatever the target schema knows, the report stays; what it doesn't know is rescued."""
+    rows = [("s", f"v{v}", json.dumps({"a": i, "b": None, "big": (1 << 60) + i, "half": "x\ud800", ("old" if v == 1 else "new"): f"w{i % 7}", "n": {"t": [i, "q", None]}})) for v in (1, 2) for i in range(100)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "surface string, parser_version string, j string, n int")
+    shares, reports = [], []
+    for target in ({}, {"a": "number", "old": "string", "n.t": "array", "big": "number"}, {"a": "string", "b": "boolean", "half": "number"}):
+        t = drift.ingest(df, "j", target, False, ["surface"])
+        shares.append(sum(len(json.loads(r[0] or "{}")) for r in t.select("_rescued").collect()))
+        found = drift.profile(df, "j", target, False, ["surface", "parser_version"], "m")
+        reports.append(({tuple(r) for r in drift.drift_report(found, "surface", "parser_version").collect()}, sorted((r["field"], r["type"], r["value"] or "") for r in found.collect())))
+    assert len(set(shares)) == 3 and reports[0] == reports[1] == reports[2]
+    assert reports[0][0] == {("m", "s", "v2", "renamed", "old", "new")}
+
+
+def test_many_values_are_compared_exactly(spark):
+    """Half of the values in common is a renaming, a little less is not, however many they are."""
+    for shift, kind in ((666, "renamed"), (680, "removed")):
+        rows = [("s", "s-v1", json.dumps({"x": f"k{i}"}), 1) for i in range(2000)] + [("s", "s-v2", json.dumps({"y": f"k{i + shift}"}), 1) for i in range(2000)]
+        df = spark.createDataFrame(rows, "surface string, parser_version string, j string, n int")
+        got = drift.drift_report(drift.profile(df, "j", {"x": "string"}, False, ["surface", "parser_version"], "m"), "surface", "parser_version").collect()
+        assert {r["change_kind"] for r in got if r["field_name"] == "x"} == {kind}
