@@ -69,7 +69,7 @@ def objects(text: str | None, many: bool) -> list[dict]:
 def cast(v, kind: str):
     """v as `kind`, or None where the cast would lose something."""
     if kind == "array":
-        return json.dumps(v, ensure_ascii=False) if isinstance(v, list) else None
+        return json.dumps(v, ensure_ascii=False, separators=(",", ":")) if isinstance(v, list) else None
     if kind == "string":
         return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
     if kind == "number":
