@@ -1,26 +1,28 @@
 """Rebuilding conversations from message rows.
 
-A message's parent is the message before it in its session, so a conversation is a chain from its root (ordinal 0) to
-its leaf. Whether turns are answered is decided by a small automaton over the chain:
+A message's parent is the message before it in its session: the parent column of ordinal n names n - 1, and ordinal 0 is a
+root. Pointer jumping follows the parents of all rows to their roots, and finds rows whose chain of parents breaks off
+(orphans) or never ends (circles). Whether turns are answered is decided by a small automaton whose transitions are composed on
+the way, so that a row knows the state after everything from its root to itself:
 
     0 no open user turn    1 in a user turn    2 after a user turn, no answer yet    3 unanswered turn (stays)
 
-Runs of up to BLOCK neighbouring messages are folded into the automaton's transition first; pointer jumping over the
-blocks then composes the transitions from the root to each block in a number of joins that grows with the logarithm of
-the longest conversation. All groups are of one (session, ordinal) or (session, block), so that a session of any size is
+Rows are kept in buckets of (session, stretch of BLOCK ordinals), in which the joins of a jump need no shuffle. Pointers that
+leave their stretch are resolved among the rows they name, in stretches BLOCK times as long. So a session of any size is
 spread over the cluster.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key
-from ..operators.scale import skew_join
-from ..session import drop_materialised, materialise
+from ..session import colocated, joins_in_place, materialise
 
-BLOCK = 256
+BLOCK = 4096
+# transitions: the states after 0, 1 and 2, two bits each
+USER, ASSISTANT, OTHER, BLANK_ROW = 1 | 1 << 2 | 3 << 4, 0, 2 << 2 | 2 << 4, 1 << 2 | 2 << 4
 BLANK = "^[\\s\\p{Z}\\u0085\\u180e\\u200b-\\u200f\\u2060-\\u2064\\ufeff]*$"
 
 
@@ -36,71 +38,104 @@ def message_rows(messages: DataFrame, role_names: DataFrame) -> DataFrame:
     return m.join(names, "_raw", "left").select("key", "ordinal", F.coalesce("role_name", "_raw").alias("role"), "kind", "text", "id")
 
 
-def _symbol() -> Column:
+def message_nodes(rows: DataFrame) -> DataFrame:
+    """(key, node, parent, own, bad), one row a (session, ordinal): rows equal in ordinal, role, kind and text are one; `bad` says
+    that the ordinal is null or has two different rows, `own` is the row's transition."""
     said = F.col("kind") == "message"
-    return F.when(blank(F.col("text")), "B").when(said & (F.col("role") == "user"), "U").when(said & (F.col("role") == "assistant"), "A").otherwise("O")
+    own = F.when(blank(F.col("text")), BLANK_ROW).when(said & (F.col("role") == "user"), USER).when(said & (F.col("role") == "assistant"), ASSISTANT).otherwise(OTHER)
+    what = [F.coalesce(F.concat(F.lit("="), c), F.lit("null")) for c in ("role", "kind", "text")]
+    x = rows.select("key", F.col("ordinal").cast("long").alias("node"), own.alias("own"), F.xxhash64(*what).alias("a"), F.xxhash64(F.lit(7), *what[::-1]).alias("b"))
+    one = x.groupBy("key", "node").agg(F.max("own").alias("own"), *[f(c).alias(f"{c}{i}") for c in "ab" for i, f in enumerate((F.min, F.max))])
+    bad = F.col("node").isNull() | (F.col("a0") != F.col("a1")) | (F.col("b0") != F.col("b1"))
+    return one.select("key", "node", F.when(F.col("node") != 0, F.col("node") - 1).alias("parent"), "own", bad.alias("bad"))
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """(key, block, n, lo, hi, bad, any_u, any_a, t0, t1, t2): rows equal in ordinal, role, kind and text are one; `bad` says that an ordinal is null or has two different rows."""
-    same = F.struct("role", "kind", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text", F.length("text")).alias("b"))
-    one = rows.select("key", "ordinal", same.alias("s"), _symbol().alias("sym")).groupBy("key", "ordinal").agg(F.min("s").alias("s1"), F.max("s").alias("s2"), F.max("sym").alias("sym"))
-    seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "sym"))), lambda x: x["sym"]), "")
-    b = one.groupBy("key", F.floor(F.col("ordinal") / BLOCK).alias("block")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"), F.max(F.col("ordinal").isNull() | ~F.col("s1").eqNullSafe(F.col("s2"))).alias("bad"), F.replace(seq, F.lit("B"), F.lit("")).alias("seq"),
-    )
-    s = F.col("seq")
-    tail = F.when(s.rlike("UO+U"), 3).when(s.endswith("U"), 1).when(s.rlike("UO+$"), 2).otherwise(0)
-    t1 = F.when(s == "", 1).when(s.rlike("^O+$"), 2).when(s.rlike("^O+U"), 3).otherwise(tail)
-    t2 = F.when(s.rlike("^O*$"), 2).when(s.rlike("^O*U"), 3).otherwise(tail)
-    return b.select("key", "block", "n", "lo", "hi", "bad", s.contains("U").alias("any_u"), s.contains("A").alias("any_a"), tail.alias("t0"), t1.alias("t1"), t2.alias("t2"))
-
-
-def _then(first: list[Column], second: list[Column]) -> list[Column]:
+def _then(first: str, second: str) -> Column:
     """The transition that runs `first` and then `second`."""
-    return [F.when(f == 0, second[0]).when(f == 1, second[1]).when(f == 2, second[2]).otherwise(3) for f in first]
+    after = "if((shiftright({f}, {i}) & 3) = 3, 3, shiftright({g}, 2 * (shiftright({f}, {i}) & 3)) & 3)"
+    return F.expr(" | ".join(f"shiftleft({after.format(f=first, g=second, i=i)}, {i})" for i in (0, 2, 4))).cast("int")
 
 
-def resolve(chain: DataFrame) -> DataFrame:
-    """Pointer jumping: (key, block, state, rooted) with the automaton's state after all from the root to the block.
+def resolve(nodes: DataFrame, span: int | None = None) -> DataFrame:
+    """Pointer jumping: nodes (key, node long, parent long, own int, further columns) plus depth, run and end.
 
-    `rooted` is false for blocks whose chain of parents breaks off before block 0 (orphans). Each round joins the open
-    blocks with those that their pointers name; pointers lead to lower blocks only, so no circle can arise.
+    `end` is 'root' (then `depth` counts the links to it and `run` is the transition of all rows from the root to the node),
+    'orphan' (the chain of parents names a node that isn't there) or 'circle' (it never ends). (key, node) must be unique.
+    Each round joins the open rows with the rows their pointers name, within stretches of `span` nodes; rounds grow with the
+    logarithm of the longest chain in a stretch, and stretches without open rows drop out.
     """
-    names = ["t0", "t1", "t2"]
-    state = chain.select("key", "block", *names, (F.col("block") - 1).alias("ptr"), F.lit(True).alias("rooted"))
-    while state.filter("ptr >= 0 and rooted").limit(1).count():
-        up = state.select("key", F.col("block").alias("ptr"), *[F.col(c).alias(f"p{c}") for c in names], F.col("ptr").alias("pptr"), F.col("rooted").alias("prooted"))
-        j = state.join(up, ["key", "ptr"], "left")
-        is_open = (F.col("ptr") >= 0) & F.col("rooted")
-        found = is_open & F.col("pptr").isNotNull()
-        both = _then([F.col(f"p{c}") for c in names], [F.col(c) for c in names])
-        nxt = j.select("key", "block", *[F.when(found, t).otherwise(F.col(c)).alias(c) for c, t in zip(names, both)], F.when(found, F.col("pptr")).otherwise(F.col("ptr")).alias("ptr"), F.when(is_open, F.coalesce("prooted", F.lit(False))).otherwise(F.col("rooted")).alias("rooted"))
-        last, state = state, materialise(nxt, "chains")
-        if last is not None and last.inputFiles() and "chains-" in last.inputFiles()[0]:
-            drop_materialised(last)
-    return state.select("key", "block", F.col("t0").alias("state"), "rooted")
+    span, spark = span or BLOCK, nodes.sparkSession
+    kept = [c for c in nodes.columns if c not in ("key", "node", "parent", "run", "depth", "preset")]
+    if "run" not in nodes.columns:
+        nodes = nodes.withColumn("run", F.col("own")).withColumn("depth", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long")).withColumn("preset", F.lit(None).cast("string"))
+    inside = F.coalesce(F.floor(F.col("ptr") / span) == F.col("part"), F.lit(False))
+    at_once = F.when(F.col("ptr").isNull(), "root").when(inside, "open").otherwise("away")
+    first = nodes.select("key", "node", F.floor(F.col("node") / span).alias("part"), F.col("parent").alias("ptr"), *kept, "run", "depth", "preset")
+    state = colocated(first.withColumn("state", F.coalesce("preset", at_once)).drop("preset"), ["key", "part"], "chains")
+    parts, before = [], None
+    while n := state.filter("state = 'open'").count():
+        if n == before:  # each round ends some chain, if any has an end
+            state = state.withColumn("state", F.when(F.col("state") == "open", "circle").otherwise(F.col("state")))
+            break
+        before = n
+        with joins_in_place(spark):
+            to = state.select("key", "part", F.col("node").alias("at"), *[F.col(c).alias(f"{c}2") for c in ("ptr", "run", "depth", "state")])
+            j = state.withColumn("at", F.when(F.col("state") == "open", F.col("ptr"))).join(to, ["key", "part", "at"], "left")
+            jumped = F.col("state2").isin("root", "open", "away")
+            state3 = F.when(F.col("state") != "open", F.col("state")).when(F.col("state2").isNull(), "orphan").when(~jumped, F.col("state2"))
+            j = j.select("key", "node", "part", F.when(jumped, F.col("ptr2")).otherwise(F.col("ptr")).alias("ptr"), *kept, F.when(jumped, _then("run2", "run")).otherwise(F.col("run")).alias("run"), (F.col("depth") + F.when(jumped, F.col("depth2")).otherwise(0)).alias("depth"), state3.alias("state"))
+            j = j.withColumn("state", F.coalesce("state", at_once)).withColumn("_open", F.max(F.col("state") == "open").over(Window.partitionBy("key", "part")))
+            written = colocated(j, ["key", "part"], "chains", moved=False)
+        parts.append(written.filter("not _open").drop("_open"))
+        state = written.filter("_open").drop("_open")
+    done = state
+    for x in parts:
+        done = done.unionByName(x)
+    cols = ["key", "node", *kept, "run", "depth"]
+    away = done.filter("state = 'away'")
+    if not away.limit(1).count():
+        return done.select(*cols, F.col("state").alias("end"))
+    heads = done.join(away.select("key", F.col("ptr").alias("node")).distinct(), ["key", "node"], "left_semi")
+    preset = F.when(F.col("state").isin("orphan", "circle"), F.col("state"))
+    upper = resolve(heads.select("key", "node", F.when(F.col("state") == "away", F.col("ptr")).alias("parent"), "own", "run", "depth", preset.alias("preset")), span * BLOCK)
+    j = away.join(upper.select("key", F.col("node").alias("ptr"), *[F.col(c).alias(f"{c}2") for c in ("run", "depth", "end")]), ["key", "ptr"], "left")
+    ok = F.col("end2") == "root"
+    over = j.select("key", "node", *kept, F.when(ok, _then("run2", "run")).otherwise(F.col("run")).alias("run"), (F.col("depth") + F.when(ok, F.col("depth2")).otherwise(0)).alias("depth"), F.coalesce("end2", F.lit("orphan")).alias("end"))
+    return done.filter("state <> 'away'").select(*cols, F.col("state").alias("end")).unionByName(over)
+
+
+def chains(messages: DataFrame, role_names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(resolved rows, the keys of rows without an ordinal)."""
+    nodes = materialise(message_nodes(message_rows(messages, role_names)), "nodes")
+    return resolve(nodes.filter("node is not null")), nodes.filter("node is null").select("key")
 
 
 def verdicts(messages: DataFrame, sessions: DataFrame, role_names: DataFrame) -> DataFrame:
     """(session_key, reason) of every conversation: reason is null to keep it, else 'empty', 'broken' or 'no_reply'."""
-    b = materialise(blocks(message_rows(messages, role_names)), "blocks")
-    long = b.groupBy("key").agg(F.max("block").alias("m")).filter("m > 0").select("key")
-    chained = resolve(materialise(b.join(long, "key", "left_semi").filter("block is not null").select("key", "block", "t0", "t1", "t2"), "chains"))
-    j = b.join(chained, ["key", "block"], "left").select("*", F.coalesce("state", "t0").alias("end"))
-    per = j.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.col("bad") | ~F.coalesce("rooted", F.lit(True))).alias("bad"), F.max("any_u").alias("u"), F.max("any_a").alias("a"), F.max_by("end", "block").alias("end"))
+    return _judged(*chains(messages, role_names), sessions)
+
+
+def _judged(resolved: DataFrame, unplaced: DataFrame, sessions: DataFrame) -> DataFrame:
+    """A conversation is whole if all its rows hang on the root, in one chain: as many rows as the deepest one has above it, and itself."""
+    rooted = F.col("end") == "root"
+    rows = resolved.select("key", (F.col("bad") | ~rooted).alias("bad"), F.when(rooted, F.col("depth")).alias("depth"), "run", "own")
+    rows = rows.unionByName(unplaced.select("key", F.lit(True).alias("bad"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("int").alias("run"), F.lit(None).cast("int").alias("own")))
+    last = F.max(F.struct("depth", "run"))
+    per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("bad").alias("bad"), last.alias("last"), F.max(F.col("own") == USER).alias("u"), F.max(F.col("own") == ASSISTANT).alias("a"))
     every = sessions.select(norm_key("session_key").alias("key")).filter("key is not null").distinct().join(per, "key", "full_outer")
-    broken = F.col("bad") | (F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1) | F.col("lo").isNull()
-    reason = F.when(F.col("n").isNull(), "empty").when(broken, "broken").when(~F.col("u") | ~F.col("a") | (F.col("end") != 0), "no_reply")
+    broken = F.col("bad") | F.col("last.depth").isNull() | (F.col("last.depth") != F.col("n") - 1)
+    unanswered = F.col("last.run").bitwiseAND(3) != 0  # the state after all rows, from state 0
+    reason = F.when(F.col("n").isNull(), "empty").when(broken, "broken").when(~F.col("u") | ~F.col("a") | unanswered, "no_reply")
     return every.select(F.col("key").alias("session_key"), reason.alias("reason"))
 
 
 def conversations(messages: DataFrame, sessions: DataFrame, role_names: DataFrame) -> DataFrame:
-    """The kept conversations as rows (session_key, position, role, kind, text), position counting from 0 without gaps.
+    """The kept conversations' paths from root to leaf as rows (session_key, position, role, kind, text), position being the links to the root.
 
     A row written several times comes once. Rows are not gathered into one value a conversation, as that may be of any size.
     """
-    keep = verdicts(messages, sessions, role_names).filter("reason is null").select(F.col("session_key").alias("key"), F.lit(True).alias("kept"))
-    rows = skew_join(message_rows(messages, role_names), keep, "key", F.col("id"), "inner")
-    one = rows.groupBy("key", "ordinal").agg(F.min_by(F.struct("role", "kind", "text"), "id").alias("m"))
-    return one.select(F.col("key").alias("session_key"), F.col("ordinal").cast("long").alias("position"), "m.role", "m.kind", "m.text")
+    resolved, unplaced = chains(messages, role_names)
+    keep = _judged(resolved, unplaced, sessions).filter("reason is null").select(F.col("session_key").alias("key"))
+    path = resolved.join(keep, "key", "left_semi").select("key", "node", "depth")
+    rows = message_rows(messages, role_names).withColumn("node", F.col("ordinal").cast("long")).groupBy("key", "node").agg(F.min_by(F.struct("role", "kind", "text"), "id").alias("m"))
+    return rows.join(path, ["key", "node"]).select(F.col("key").alias("session_key"), F.col("depth").alias("position"), "m.role", "m.kind", "m.text")

@@ -65,3 +65,23 @@ def test_empty_tables(spark):
     none = frame(spark, [])
     s, r = spark.createDataFrame([], "session_key string"), spark.createDataFrame([], "raw_role string, role_name string")
     assert conv.verdicts(none, s, r).count() == 0 and conv.conversations(none, s, r).count() == 0
+
+
+def test_parents_of_any_kind(spark, monkeypatch):
+    """Trees, broken chains and circles, within a stretch and across several."""
+    monkeypatch.setattr(conv, "BLOCK", 4)
+    rnd, parents = random.Random(8), {}
+    for k in range(12):
+        for n in range(rnd.choice([1, 3, 20, 70])):
+            x = rnd.random()
+            parents[f"k{k}", n] = None if n == 0 or x < 0.05 else 999 if x < 0.08 else rnd.randint(0, 69) if x < 0.12 else n - 1
+    want = {}
+    for (k, n), p in parents.items():
+        seen, at, own = [], n, []
+        while at is not None and (k, at) in parents and at not in seen:
+            seen.append(at)
+            at = parents[k, at]
+        want[k, n] = ("root", len(seen) - 1) if at is None else ("circle", None) if at in seen else ("orphan", None)
+    df = spark.createDataFrame([(k, n, p, conv.OTHER) for (k, n), p in parents.items()], "key string, node long, parent long, own int")
+    got = {(r["key"], r["node"]): (r["end"], r["depth"] if r["end"] == "root" else None) for r in conv.resolve(df).collect()}
+    assert got == want and {e for e, _ in want.values()} == {"root", "circle", "orphan"}
