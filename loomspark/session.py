@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,6 +77,18 @@ def colocated(df: DataFrame, by: list[str], label: str = "stage", buckets: int |
     return spark.table(name)
 
 
+@contextmanager
+def joins_in_place(spark: SparkSession):
+    """Within, a join whose keys include the columns that both sides are bucketed by needs no shuffle (Spark else asks for all of its keys)."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a session: as a zip in the shared folder, for workers that don't have it installed."""
     if getattr(spark.sparkContext, "_loomspark_shipped", False):
