@@ -7,28 +7,49 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-HOT_ROWS = 50_000
+HOT_ROWS = 50_000  # a group of fewer rows is left to one task
+PER_TASK = 4  # a key is split if it alone would make a task this many times smaller than the mean too large
 
 
-def hot_keys(df: DataFrame, key: str, at_least: int = HOT_ROWS, most: int = 100) -> list:
-    """The keys with at least so many rows; a key with a hundredth of all rows is always among the `most` largest."""
-    top = df.groupBy(key).count().filter(F.col(key).isNotNull()).orderBy(F.desc("count")).limit(most)
-    return [r[0] for r in top.collect() if r[1] >= at_least]
+def hot_keys(df: DataFrame, key: str, at_least: int = HOT_ROWS) -> dict:
+    """key -> rows, of the keys with at least so many rows.
+
+    Only the 4 x shuffle partitions largest come to the driver: any other key has less than a quarter of a mean task's rows,
+    so leaving it whole skews nothing, however many rows that is.
+    """
+    most = PER_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = df.filter(F.col(key).isNotNull()).groupBy(key).count().orderBy(F.desc("count")).limit(most)
+    return {r[0]: r[1] for r in top.collect() if r[1] >= at_least}
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left", salts: int = 32, at_least: int = HOT_ROWS) -> DataFrame:
-    """Equi-join on `key` in which the hot keys of `left` are split over `salts` tasks.
+def skew_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left", at_least: int = HOT_ROWS) -> DataFrame:
+    """Inner or left equi-join on `key` in which a hot key of `left` is split over as many tasks as its rows need.
 
-    Only the rows of `right` with a hot key are repeated; `right` should have few rows a key. `spread` decides a left
-    row's salt and must be a function of the row, so that a retried task makes the same rows.
+    Only the rows of `right` with a hot key are repeated, once a task; `right` should have few rows a key. `spread` decides a
+    left row's task and must be a function of the row, so that a retried task makes the same rows. Rows with a null key meet
+    nothing and are not shuffled.
     """
     hot = hot_keys(left, key, at_least)
+    none = left.filter(F.col(key).isNull()) if how == "left" else None
+    left = left.filter(F.col(key).isNotNull())
+    if not hot:
+        out = left.join(right, key, how)
+    else:
+        salts = F.element_at(F.create_map(*[F.lit(x) for k, n in hot.items() for x in (k, -(-n // at_least))]), F.col(key))
+        a = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce(salts, F.lit(1))).cast("int"))
+        b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)))
+        out = a.join(b, [key, "_salt"], how).drop("_salt")
+    return out if none is None else out.unionByName(none, allowMissingColumns=True)
+
+
+def look_up(asks: DataFrame, rows: DataFrame, key: str, at_least: int = HOT_ROWS, n: int | None = None) -> DataFrame:
+    """Inner join with a table that has one row a key. The rows of hot keys, as many as hot_keys gives at most, go to all tasks
+    instead of their askers to one; `n` is the number of askers, if known."""
+    hot = hot_keys(asks, key, at_least) if n is None or n >= at_least else {}
     if not hot:
-        return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
-    a = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-    b = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return a.join(b, [key, "_salt"], how).drop("_salt")
+        return asks.join(rows, key)
+    is_hot = F.col(key).isin(list(hot))
+    return asks.filter(~is_hot).join(rows, key).unionByName(asks.filter(is_hot).join(F.broadcast(rows.filter(is_hot)), key))
 
 
 def running_total(df: DataFrame, group: list[str], order: str, value: Column, name: str, buckets: int | None = None) -> DataFrame:

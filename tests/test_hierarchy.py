@@ -54,3 +54,12 @@ def test_keys_nulls_repeats_and_empty(spark):
     got = run(spark, [(" A\t", None, 1, ""), ("a", "", 2, ""), ("B", "A ", 1, ""), ("b", "a\n", 1, ""), (None, "a", 1, ""), ("", "a", 1, "")])
     assert set(got) == {"a", "b"} and got["b"]["path"] == "a/b"
     assert run(spark, []) == {}
+
+
+def test_descendants_come_from_the_nested_sets(spark):
+    """Ids with '/' in them, a chain and a bush of more nodes than a block has places."""
+    parents = {f"a/{i}": None if i == 0 else f"a/{i - 1}" if i < 40 else f"a/{i % 40}" if i < 300 else "a/0" for i in range(5000)} | {"x": "y", "y": "x"}
+    df = spark.createDataFrame([(k, p) for k, p in parents.items()], "exp_id string, parent_id string")
+    got = [tuple(r) for r in h.closure(h.hierarchy(df, "exp_id", "parent_id")).collect()]
+    want = {(a, k, len(path) - 1 - i) for k, path in brute(parents).items() if path for i, a in enumerate(path[:-1])}
+    assert len(got) == len(want) and set(got) == want

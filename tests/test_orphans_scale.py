@@ -19,9 +19,11 @@ def test_missing_deleted_and_late(spark):
 def test_skew_join_splits_hot_keys(spark):
     left = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)] + [(None, -1)], "k string, i int")
     right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "k string, v int")
-    got = sorted((r["i"], r["v"]) for r in scale.skew_join(left, right, "k", F.col("i"), "left", salts=4, at_least=10).collect() if r["v"])
+    got = sorted((r["i"], r["v"]) for r in scale.skew_join(left, right, "k", F.col("i"), "left", at_least=10).collect() if r["v"])
     assert got == sorted((r["i"], r["v"]) for r in left.join(right, "k").collect())
     assert scale.skew_join(left, right, "k", F.col("i"), "left", at_least=10).count() == 301
+    assert sorted((r["i"], r["v"]) for r in scale.skew_join(left, right, "k", F.col("i"), "inner", at_least=10).collect()) == got
+    assert sorted((r["i"], r["v"]) for r in scale.look_up(left, right, "k", at_least=10).collect()) == got
 
 
 def test_running_total(spark):
