@@ -15,6 +15,7 @@ import re
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 
 try:
     import ahocorasick
@@ -26,15 +27,20 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 ROUNDS = 3
-LONE = 5  # occurrences alone from which they decide whether a word is a name
+REACH = 40  # characters on either side of a candidate that its patterns are made of
+PRIOR = 18  # a word counts as ordinary if it is written small three times as often as with a capital, and so much more
 FILTER = 1 << 20  # bytes of the bit map of names
 PURE = 0.4  # share of one type among what a pattern surrounds, from which the pattern speaks for that type
 ACCEPT = {"email": 0.5, "phone": 0.5, "id_number": 0.5, "address": 0.5, "person": 0.4}
+ANY = 0.6  # the same for numbers and addresses of any shape
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
 
 _START, _END = r"(?<![\w.+/@#-])", r"(?![\w@]|[./-]\d)"
+# the letters of the scripts that have capitals: Latin, Greek and Cyrillic
+_UP = "A-Z" + "".join(c for c in map(chr, range(0xC0, 0x530)) if c.isupper())
+_LOW = "a-z" + "".join(c for c in map(chr, range(0xC0, 0x530)) if c.islower())
 _EXT = r"(?: ?(?:x|ext\.? ?)\d{1,5})?"
-_CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
+_CAP = rf"[{_UP}][{_LOW}]+"
 _PLACE = rf"{_CAP}(?:(?:[ -](?:del?|du|des|da|do|sur|la|le))*[ -]{_CAP})*"
 _EN = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Close|Court|Ct|Way|Place|Pl|Square|Sq|Terrace|Crescent|Boulevard|Blvd|Row|Hill|Walk|Grove|Gardens|Mews"
 _FR = r"rue|avenue|boulevard|place|chemin|impasse|all[ée]e|quai|cours|route|passage|square"
@@ -74,10 +80,13 @@ FORMS: list[tuple[str, str, bool, str, re.Pattern]] = [
         ("address", "french, postcode", True, "french", rf"(?<![\w.])\d{{1,4}}(?: (?:bis|ter))?,? (?:{_FR})(?: d(?:u|e|es)(?: la)?)? ?(?:[lLdD]['’])?[\w'’ -]{{2,40}}?, \d{{5}} {_PLACE}"),
         ("address", "french", False, "french", rf"(?<![\w.])\d{{1,4}}(?: (?:bis|ter))?,? (?:{_FR})(?: d(?:u|e|es)(?: la)?)? ?(?:[lLdD]['’])?(?:{_CAP}[ -]?){{1,3}}, {_PLACE}"),
         ("address", "spanish", True, "spanish", rf"(?<![\w.])(?:{_ES})(?: d(?:el|e)(?: l[ao]s?)?)? (?:{_CAP} ){{1,3}}\d{{1,4}}(?:, ?\d{{1,2}}\.? ?[ºª°]\.?(?: ?[A-Z]\b)?)?, (?:\d{{5}} )?{_PLACE}"),
+        ("address", "any", False, "post", rf"(?<![\w.])(?:[{_LOW}]{{1,5}}\.? )?(?:{_CAP}[ -]){{1,4}}\d{{1,4}} ?[a-z]?(?:/\d{{1,4}})?, (?:[A-Z]{{1,3}}-)?\d[\d -]{{1,6}}\d(?: [A-Z]{{2}})? {_CAP}"),
     ]
 ]
+#: A number of any shape. Whether that shape is a phone number, an identity number or neither only the patterns around it say.
+_NUMBER = re.compile(r"(?<![\w.+/@#:=\\-])(?:[A-Z]{1,3}[ -]?)?\(?\d(?:[()./ -]{0,2}\d){6,17}(?:[ -]?[A-Z])?(?![\w@%]|[./:-]\d)")
 _SIX = re.compile(r"\d(?:[ ()./-]{0,3}\d){5}")
-_POST = re.compile(r", (?:D-)?\d{5}")
+_POST = re.compile(r", (?:[A-Z]{1,3}-)?\d[\d -]{1,6}\d ?[A-Z]")
 _IN_TEXT = {  # any of these must be in the text (in the text in lower case for `label` and `dot`)
     "at": ("@",),
     "bracket": tuple(f"{a}{b}{c}" for a in ("at", "AT", "@") for b in ("", " ") for c in ")]}>"),
@@ -91,8 +100,9 @@ _IN_TEXT = {  # any of these must be in the text (in the text in lower case for
 _IN_LOWER = {"dot": (" dot ",), "label": ("ssn", "social security", "passport", "national insurance", "ni n", "nie", "n.i", "ni.", "dni", "steuer", "tax id", "national", "insurance no", "id card")}
 _NAME = re.compile(rf"(?<![\w@/_\\.#-])(?<!\.\.){_CAP}(?:-{_CAP})*(?:(?:\. |, | (?:[A-Z]\.? )?){_CAP}(?:-{_CAP})*)*(?![\w@/_]|[.-]\w|[(\[]at[)\]])")
 _PARTS = re.compile(_CAP)
-_LOWER = re.compile(r"(?<![\w@./_+-])[a-zß-öø-ÿ]{2,}(?![\w@/_+]|[.-]\w| ?[(\[]at| at \w+ dot)")
-_PLAIN = re.compile(r"(?<![\w@./_+-])(?:[a-zß-öø-ÿ]{3,}|[A-ZÀ-ÖØ-Þ]{3,})(?![\w@/_+]|[.-]\w| ?[(\[]at| at \w+ dot)")
+_LOWER = re.compile(rf"(?<![\w@./_+-])[{_LOW}]{{2,}}(?![\w@/_+]|[.-]\w| ?[(\[]at| at \w+ dot)")
+_PLAIN = re.compile(rf"(?<![\w@./_+-])(?:[{_LOW}]{{3,}}|[{_UP}]{{3,}})(?![\w@/_+]|[.-]\w| ?[(\[]at| at \w+ dot)")
+_WORD = re.compile(rf"[{_UP}{_LOW}]{{3,}}")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|([nrt\"\\/]))")
 _DIGIT = re.compile(r"\d")
 _BLUR = [(re.compile(p), r) for p, r in ((r"\b[a-z]\w*/[\w./]+", "<path>"), (r"\b[a-z]+_\w+", "<fn>"), (r"\b(?=[0-9a-f]*\d)[0-9a-f]{7,}\b", "<hex>"), (r"\d+", "9"))]
@@ -127,8 +137,8 @@ def _blur(s: str) -> str:
 
 def contexts(v: str, a: int, b: int) -> tuple[str, str, str]:
     """Patterns of a span: the two pieces before, the two after, and the ones on either side. Numbers, paths and names of functions are blurred; a line's start and end count as pieces."""
-    left = _blur(v[max(0, a - 40) : a].rpartition("\n")[2])
-    right = _blur(v[b : b + 40].partition("\n")[0])
+    left = _blur(v[max(0, a - REACH) : a].rpartition("\n")[2])
+    right = _blur(v[b : b + REACH].partition("\n")[0])
     l, r = ["^", *left.split()][-2:], [*right.split(), "$"][:2]  # noqa: E741
     return " ".join(l), " ".join(r), f"{l[-1]} _ {r[0]}"
 
@@ -172,8 +182,15 @@ def candidates_of(text: str) -> list[tuple]:
             if any(a < y and x < b for x, y in taken):
                 continue
             taken.append((a, b))
-            key = form if kind in ("email", "address") or form in ("labelled", "explained") else f"{form} {_shape(m.group())}"
+            key = form if kind == "email" or (kind == "address" and form != "any") or form in ("labelled", "explained") else f"{form} {_shape(m.group().rpartition(',')[2])}"
             out.append((a, b, kind, key, seed, *contexts(v, a, b), None))
+    if "long" in open_:
+        for m in _NUMBER.finditer(v):
+            a, b = m.span()
+            if not any(a < y and x < b for x, y in taken):
+                taken.append((a, b))
+                near = contexts(v, a, b)
+                out += [(a, b, kind, f"any {_shape(m.group())}", False, *near, None) for kind in ("phone", "id_number")]
     rest = v
     for a, b in taken:
         rest = rest[:a] + "\x00" * (b - a) + rest[b:]
@@ -185,43 +202,54 @@ def candidates_of(text: str) -> list[tuple]:
     return out
 
 
-_CAND = "message_id long, row long, start int, end int, kind string, key string, seed boolean, l string, r string, around string, parts array<struct<word: string, a: int, b: int>>"
+_PARTS_TYPE = pa.list_(pa.struct([("word", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
+_FOUND = pa.schema([("message_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("key", pa.string()), ("seed", pa.bool_()), ("l", pa.string()), ("r", pa.string()), ("around", pa.string()), ("parts", _PARTS_TYPE), ("n", pa.int64())])
+_FOUND_SQL = "message_id long, row long, start int, end int, kind string, key string, seed boolean, l string, r string, around string, parts array<struct<word: string, a: int, b: int>>, n long"
+WORDS = 200_000  # words that a task adds up before it hands their counts on
 
 
-def candidates(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All candidates of all texts; `row` tells apart the texts of one id. Null texts and rows with a null id have none."""
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for i, row, text in b.itertuples(index=False, name=None):
-                rows += [(i, row, *c) for c in candidates_of(text)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["message_id", "row", "start", "end", "kind", "key", "seed", "l", "r", "around", "parts"])
-
-    m = messages.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("message_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    return m.mapInPandas(run, _CAND)
+def scan(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One pass over all texts: all candidates, and, as rows of kind 'word', how often each word (key) is written in small letters (n).
 
+    `row` tells apart the texts of one id. Null texts have no candidates; a null id is kept.
+    """
 
-def ordinary_words(messages: DataFrame, text_col: str) -> DataFrame:
-    """(word, n_lower): how often each word is written in lower case, over all texts, addresses left out."""
+    def words(acc):
+        return pa.RecordBatch.from_arrays([pa.nulls(len(acc), f.type) if f.name not in ("kind", "key", "n") else pa.array(["word"] * len(acc) if f.name == "kind" else list(acc) if f.name == "key" else list(acc.values()), f.type) for f in _FOUND], schema=_FOUND)
 
     def run(batches):
         acc: dict[str, int] = {}
         for b in batches:
-            for t in b["text"]:
-                for w in _LOWER.findall(t):
+            cols = [[] for _ in range(11)]
+            for i, row, text in zip(*(c.to_pylist() for c in b.columns)):
+                for c in candidates_of(text):
+                    for into, x in zip(cols, (i, row, *c)):
+                        into.append(x)
+                for w in _LOWER.findall(text):
                     acc[w] = acc.get(w, 0) + 1
-            if len(acc) > 200_000:
-                yield pd.DataFrame({"word": list(acc), "n": list(acc.values())})
+            if cols[0]:
+                cols[10] = [p and [{"word": w, "a": x, "b": y} for w, x, y in p] for p in cols[10]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols, _FOUND)), pa.nulls(len(cols[0]), pa.int64())], schema=_FOUND)
+            if len(acc) > WORDS:
+                yield words(acc)
                 acc = {}
         if acc:
-            yield pd.DataFrame({"word": list(acc), "n": list(acc.values())})
+            yield words(acc)
+
+    return _texts(messages, id_col, text_col).mapInArrow(run, _FOUND_SQL)
+
+
+def _texts(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return messages.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("message_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+
 
-    return messages.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n_lower"))
+def ordinary_words(cands: DataFrame, words: DataFrame) -> DataFrame:
+    """(key): the capitalised words that are written small three times as often, and PRIOR times more. A share, so that it stays the same as data grow."""
+    capital = cands.filter("kind = 'person'").select(F.explode("parts.word").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_capital"))
+    return capital.join(words, F.lower(capital["key"]) == words["word"]).filter(F.col("n_lower") >= 3 * F.col("n_capital") + PRIOR).select("key")
 
 
-def graph(cands: DataFrame, words: DataFrame, roster: DataFrame) -> DataFrame:
+def graph(cands: DataFrame, ordinary: DataFrame, roster: DataFrame) -> DataFrame:
     """The pattern-instance graph: (kind, key, seed, patterns, alone, n), one row for each way an instance is surrounded; `alone` says that a word has no other capitalised word beside it.
 
     Instances of names are their words. Words that are written in lower case far more often than with a capital are
@@ -235,8 +263,6 @@ def graph(cands: DataFrame, words: DataFrame, roster: DataFrame) -> DataFrame:
     names = part.select(F.lit("person").alias("kind"), "key", F.concat("near", beside).alias("patterns"), (F.size("parts") == 1).alias("alone"))
     seeds = roster.select(F.explode(F.array("given_name", "family_name")).alias("key")).filter("key is not null").select("key", F.lit(True).alias("seed")).distinct()
     counted = names.groupBy("kind", "key", "patterns", "alone").agg(F.count(F.lit(1)).alias("n"))
-    capital = counted.groupBy("key").agg(F.sum("n").alias("n_capital"))
-    ordinary = capital.join(words, F.lower(capital["key"]) == words["word"]).filter("n_lower >= 20 and n_lower >= 3 * n_capital").select("key")
     names = counted.join(ordinary, "key", "left_anti").join(seeds, "key", "left").select("kind", "key", F.coalesce("seed", F.lit(False)).alias("seed"), "patterns", "alone", "n")
     return materialise(shapes.groupBy("kind", "key", "seed", "patterns").agg(F.count(F.lit(1)).alias("n")).withColumn("alone", F.lit(False)).unionByName(names), "pii_graph")
 
@@ -244,10 +270,13 @@ def graph(cands: DataFrame, words: DataFrame, roster: DataFrame) -> DataFrame:
 def pattern_confidence(edges: DataFrame, accepted: DataFrame) -> DataFrame:
     """(pattern, kind, confidence): the share of `kind` among what a pattern surrounds, weighed down for few occurrences. Patterns below PURE are left out.
 
-    Counted are the accepted instances of all types and all words that might be names; numbers and addresses not accepted
-    yet speak neither for nor against.
+    Counted are the accepted instances of all types, all words that might be names, and numbers of any shape, which are there
+    once for either type; instances of stated forms that are not accepted yet speak neither for nor against.
     """
-    known = edges.join(accepted.withColumn("yes", F.lit(True)), ["kind", "key"], "left").filter("yes or kind = 'person'").select(F.when(F.col("yes"), F.col("kind")).alias("kind"), "n", F.explode("patterns").alias("pattern"))
+    loose = F.col("key").startswith("any ")
+    typed = accepted.filter(loose).select("key", F.lit(True).alias("typed")).distinct()
+    known = edges.join(accepted.withColumn("yes", F.lit(True)), ["kind", "key"], "left").join(typed, "key", "left")
+    known = known.filter(F.col("yes") | (F.col("kind") == "person") | (loose & (F.col("kind") == "phone") & F.col("typed").isNull())).select(F.when(F.col("yes"), F.col("kind")).alias("kind"), "n", F.explode("patterns").alias("pattern"))
     per = known.groupBy("pattern", "kind").agg(F.sum("n").alias("n"))
     total = per.groupBy("pattern").agg(F.sum("n").alias("total"))
     return per.filter("kind is not null").join(total, "pattern").withColumn("confidence", F.col("n") / (F.col("total") + 0.5)).filter(F.col("confidence") >= PURE).select("pattern", "kind", "confidence")
@@ -256,13 +285,14 @@ def pattern_confidence(edges: DataFrame, accepted: DataFrame) -> DataFrame:
 def scores(edges: DataFrame, confidence: DataFrame) -> DataFrame:
     """(kind, key, score): the mean, over an instance's occurrences, of the confidence of its best pattern for its type, 0 where none speaks for it.
 
-    A word that only scores beside names (as in "Ask <name>"), while what surrounds it alone speaks for nothing, scores 0.
+    A word that only scores beside names (as in "Ask <name>"), while what surrounds it alone speaks for nothing, scores 0; one
+    occurrence in its favour is presumed. Shapes of any kind have half an occurrence against them, so that a single one isn't enough.
     """
     e = edges.select("kind", "key", "n", "alone", F.xxhash64("kind", "key", "seed", "patterns", "alone").alias("at"), F.explode("patterns").alias("pattern"))
     best = e.join(confidence, ["pattern", "kind"], "left").groupBy("kind", "key", "at").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("c"))
     lone = F.when(F.col("alone"), F.col("n")).otherwise(0)
-    s = best.groupBy("kind", "key").agg((F.sum(F.col("n") * F.col("c")) / F.sum("n")).alias("score"), F.sum(lone).alias("n_alone"), F.sum(lone * F.col("c")).alias("c_alone"))
-    return s.select("kind", "key", F.when((F.col("n_alone") >= LONE) & (F.col("c_alone") < 0.25 * F.col("n_alone")), 0.0).otherwise(F.col("score")).alias("score"))
+    s = best.groupBy("kind", "key").agg((F.sum(F.col("n") * F.col("c")) / (F.sum("n") + F.when(F.col("key").startswith("any "), 0.5).otherwise(0.0))).alias("score"), F.sum(lone).alias("n_alone"), F.sum(lone * F.col("c")).alias("c_alone"))
+    return s.select("kind", "key", F.when(F.col("c_alone") + 1 < 0.25 * F.col("n_alone"), 0.0).otherwise(F.col("score")).alias("score"))
 
 
 def _threshold(kind: Column) -> Column:
@@ -275,28 +305,32 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
     accepted, confidence = seeds, None
     for _ in range(rounds):
         confidence = materialise(pattern_confidence(edges, accepted), "pii_patterns")
-        better = scores(edges, confidence).filter(F.col("score") >= _threshold(F.col("kind"))).select("kind", "key")
+        better = scores(edges, confidence).filter(F.col("score") >= F.when(F.col("key").startswith("any "), ANY).otherwise(_threshold(F.col("kind"))))
+        better = better.groupBy("key", F.col("kind") == "person").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")).select("kind", "key")  # a shape is of the type that its patterns speak for most
         accepted = materialise(seeds.unionByName(better).distinct(), "pii_instances")
     return accepted, confidence
 
 
-def entities(cands: DataFrame, words: DataFrame, accepted: DataFrame, confidence: DataFrame) -> DataFrame:
+def entities(cands: DataFrame, ordinary: DataFrame, accepted: DataFrame, confidence: DataFrame) -> DataFrame:
     """(message_id, row, start, end, kind): the candidates that are personal information.
 
-    A name reaches from its first accepted word to its last. A run of capitalised words none of which is accepted counts
+    A number or address of any shape counts where its shape was accepted, or where what surrounds it speaks for its type almost
+    surely. A name reaches from its first accepted word to its last. A run of capitalised words none of which is accepted counts
     where what surrounds it speaks for persons almost surely; an exact check leaves out runs with an ordinary word in them
     (names of components).
     """
     yes = accepted.withColumn("yes", F.lit(True))
     at = ["message_id", "row", "start", "end"]
     shapes = cands.filter("kind <> 'person'").join(yes, ["kind", "key"]).select(*at, "kind")
+    loose = cands.filter(F.col("key").startswith("any ")).select(*at, "kind", F.concat(F.lit("A "), "around").alias("pattern"))  # what is on one side only doesn't do: a unit may follow
+    sure = loose.join(confidence.filter("kind <> 'person' and confidence >= 0.9").select("kind", "pattern"), ["kind", "pattern"], "left_semi").select(*at, "kind").distinct()
     people = cands.filter("kind = 'person'").select(*at, "l", "around", F.explode("parts").alias("p")).select(*at, "l", "around", F.col("p.word").alias("key"), "p.a", "p.b")
-    ordinary = words.filter("n_lower >= 20").select(F.initcap("word").alias("key"), F.lit(True).alias("ordinary"))
+    ordinary = ordinary.withColumn("ordinary", F.lit(True))
     p = people.join(yes.filter("kind = 'person'").select("key", "yes"), "key", "left").join(ordinary, "key", "left")
     spans = p.groupBy(*at, "l", "around").agg(F.min(F.when(F.col("yes"), F.col("a"))).alias("a"), F.max(F.when(F.col("yes"), F.col("b"))).alias("b"), F.max(F.coalesce("ordinary", F.lit(False))).alias("any_word"))
     named = spans.filter("a is not null").select("message_id", "row", F.col("a").alias("start"), F.col("b").alias("end"))
     placed = spans.filter("a is null and not any_word").select(*at, F.explode(F.array(F.concat(F.lit("A "), "around"), F.concat(F.lit("L "), "l"))).alias("pattern")).join(_sure(confidence), "pattern", "left_semi").select(*at).distinct()
-    return shapes.unionByName(named.unionByName(placed).withColumn("kind", F.lit("person")))
+    return shapes.unionByName(sure).unionByName(named.unionByName(placed).withColumn("kind", F.lit("person")))
 
 
 def _bit(word: str) -> int:
@@ -324,27 +358,34 @@ def uncapitalised(messages: DataFrame, id_col: str, text_col: str, accepted: Dat
     for r in names.mapInPandas(bits, "at int, v int").groupBy("at").agg(F.bit_or("v").alias("v")).collect():  # FILTER rows at most
         table[r["at"]] = r["v"]
     shared = messages.sparkSession.sparkContext.broadcast(bytes(table))
+    out_schema = pa.schema([("message_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("one", pa.string()), ("two", pa.string()), ("l", pa.string()), ("around", pa.string())])
 
     def run(batches):
-        on = shared.value
+        on, memo = shared.value, {}
 
         def may(w: str) -> bool:
-            i = _bit(w.lower())
-            return bool(on[i >> 3] >> (i & 7) & 1)
+            if w not in memo:
+                if len(memo) >= WORDS:
+                    memo.clear()
+                i = _bit(w)
+                memo[w] = bool(on[i >> 3] >> (i & 7) & 1)
+            return memo[w]
 
         for b in batches:
-            rows = []
-            for i, row, text in b.itertuples(index=False, name=None):
+            cols = [[] for _ in out_schema]
+            for i, row, text in zip(*(c.to_pylist() for c in b.columns)):
+                if not any(may(w) for w in _WORD.findall(text.lower())):  # most texts have no word that is a name
+                    continue
                 last = None
                 for m in _PLAIN.finditer(text):
-                    if last and last.end() + 1 == m.start() and text[last.end()] == " " and last.group().islower() == m.group().islower() and (may(m.group()) or may(last.group())):
-                        rows.append((i, row, last.start(), m.end(), last.group().capitalize(), m.group().capitalize(), *contexts(text, last.start(), m.end())[::2]))
+                    if last and last.end() + 1 == m.start() and text[last.end()] == " " and last.group().islower() == m.group().islower() and (may(m.group().lower()) or may(last.group().lower())):
+                        for c, x in zip(cols, (i, row, last.start(), m.end(), last.group().capitalize(), m.group().capitalize(), *contexts(text, last.start(), m.end())[::2])):
+                            c.append(x)
                     last = m
-            if rows:
-                yield pd.DataFrame(rows, columns=["message_id", "row", "start", "end", "one", "two", "l", "around"])
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_schema)], schema=out_schema)
 
-    m = messages.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("message_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    pairs = m.mapInPandas(run, "message_id long, row long, start int, end int, one string, two string, l string, around string")
+    pairs = _texts(messages, id_col, text_col).mapInArrow(run, "message_id long, row long, start int, end int, one string, two string, l string, around string")
     known = names.withColumn("yes", F.lit(1))
     judged = pairs.join(known.select(F.col("key").alias("one"), F.col("yes").alias("y1")), "one", "left").join(known.select(F.col("key").alias("two"), F.col("yes").alias("y2")), "two", "left").join(_sure(confidence).select(F.col("pattern").alias("p1"), F.lit(1).alias("y3")), F.concat(F.lit("A "), "around") == F.col("p1"), "left").join(_sure(confidence).select(F.col("pattern").alias("p2"), F.lit(1).alias("y4")), F.concat(F.lit("L "), "l") == F.col("p2"), "left")
     hits = F.coalesce("y1", F.lit(0)) + F.coalesce("y2", F.lit(0))
@@ -357,16 +398,18 @@ def _sure(confidence: DataFrame) -> DataFrame:
 
 
 def find(messages: DataFrame, roster: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    cands = materialise(candidates(messages, id_col, text_col), "pii_candidates")
-    words = materialise(ordinary_words(messages, text_col), "pii_words")
-    accepted, confidence = bootstrap(graph(cands, words, roster))
+    """(message_id, row, start, end, kind): all personal information; `row` is the hash of the text, so rows with a null id are found too."""
+    found = materialise(scan(messages, id_col, text_col), "pii_candidates")
+    cands, words = found.filter("kind <> 'word'"), found.filter("kind = 'word'").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n_lower"))
+    ordinary = materialise(ordinary_words(cands, words), "pii_ordinary")
+    accepted, confidence = bootstrap(graph(cands, ordinary, roster))
     listed = roster.select(F.lit("person").alias("kind"), F.explode(F.array("given_name", "family_name")).alias("key")).filter("key is not null")
-    return entities(cands, words, accepted, confidence).unionByName(uncapitalised(messages, id_col, text_col, accepted.unionByName(listed), confidence))
+    return entities(cands, ordinary, accepted, confidence).unionByName(uncapitalised(messages, id_col, text_col, accepted.unionByName(listed), confidence))
 
 
 def redact(messages: DataFrame, found: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(message_id, text): every row's text with each entity replaced by its placeholder and the rest untouched; null stays null."""
-    spans = found.groupBy(F.col("message_id"), F.col("row")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
+    spans = found.select(F.col("message_id").alias("_id"), F.col("row").alias("_row"), "start", "end", "kind").distinct().groupBy("_id", "_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
     m = messages.select(F.col(id_col).alias("message_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
 
     def run(batches):
@@ -384,4 +427,4 @@ def redact(messages: DataFrame, found: DataFrame, id_col: str = "id", text_col:
             if out:
                 yield pd.DataFrame(out, columns=["message_id", "text"])
 
-    return m.join(spans, ["message_id", "row"], "left").select("message_id", "text", "spans").mapInPandas(run, "message_id long, text string")
+    return m.join(spans, F.col("message_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("message_id", "text", "spans").mapInPandas(run, "message_id long, text string")

@@ -31,7 +31,7 @@ def p7_conversations(spark, d) -> DataFrame:
 
 
 def p4_found(spark, d) -> DataFrame:
-    return pii.find(table(spark, d, "messages"), table(spark, d, "name_roster")).select("message_id", F.col("kind").alias("pii_type")).distinct()
+    return pii.find(table(spark, d, "messages"), table(spark, d, "name_roster")).filter("message_id is not null").select("message_id", F.col("kind").alias("pii_type")).distinct()
 
 
 def p4_redacted(spark, d) -> DataFrame:

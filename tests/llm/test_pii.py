@@ -51,3 +51,43 @@ def test_no_texts(spark):
     df = spark.createDataFrame([], "id long, text string")
     roster = spark.createDataFrame([], "name_id int, given_name string, family_name string")
     assert pii.find(df, roster).count() == 0
+
+
+def test_unseen_forms_in_other_languages(spark):
+    """Forms, labels and names of which the operator knows nothing are found by the patterns that seeds and known names stand in."""
+    say = {
+        "phone": ["bel {} als het vastloopt", "zadzwo\u0144 pod {} jutro", "\u043f\u043e\u0437\u0432\u043e\u043d\u0438 {} \u0437\u0430\u0432\u0442\u0440\u0430", "liga para {} amanh\u00e3"],
+        "id_number": ["in het dossier staat {} van de klant", "numer {} wpisano do umowy", "\u0432 \u0434\u043e\u0433\u043e\u0432\u043e\u0440\u0435 {} \u0443\u043a\u0430\u0437\u0430\u043d", "no contrato consta {} do titular"],
+        "address": ["stuur het naar {} vandaag", "paczka idzie na {} dzi\u015b", "envia para {} hoje"],
+        "person": ["vraag {} eerst om raad", "zapytaj {} przed scaleniem", "\u0441\u043f\u0440\u043e\u0441\u0438 {} \u043f\u0435\u0440\u0435\u0434 \u0440\u0435\u043b\u0438\u0437\u043e\u043c", "pergunta a {} antes do corte"],
+    }
+    seeds = {
+        "phone": [f"+31 20 555 {k:04d}" for k in range(12)], "id_number": [f"passport no. X{k:07d}" for k in range(12)], "address": [f"Lindenweg {k + 1}, 10115 Neustadt" for k in range(12)],
+        "person": ["Marta Linrosa", "Emeka Korlund", "Orla Velstedt", "\u041e\u043b\u044c\u0433\u0430 \u0412\u0435\u043b\u0441\u043a\u0430\u044f"],
+    }
+    unseen = {
+        "phone": [f"02 9374 {4000 + k}" for k in range(8)], "id_number": [f"123.456.{k:03d}-09" for k in range(8)] + [f"4820 1193 {k:04d}" for k in range(8)], "address": [f"Herengracht {k + 1}, 1015 BN Amsterdam" for k in range(6)] + [f"ul. D\u0142uga {k + 1}, 00-238 Warszawa" for k in range(6)],
+        "person": ["\u041d\u0430\u0442\u0430\u043b\u044c\u044f \u041f\u0435\u0442\u0440\u043e\u0432\u0430", "\u0141ukasz Wi\u015bniewski", "Sjoerd Hoekstra", "\u00c7i\u011fdem Y\u0131lmaz"],
+    }
+    rows, want = [], {}
+    for t, carriers in say.items():
+        for j, c in enumerate(carriers):
+            rows += [c.format(x) for x in seeds[t] for _ in range(2)]
+            for k, x in enumerate(unseen[t]):
+                if t == "person" or k % len(carriers) == j:
+                    want[len(rows)] = t
+                    rows.append(c.format(x))
+    never = len(rows)
+    rows += [f"export klaar: {k} rijen, kompilacja {100000 + k}" for k in range(40)] + [f"build 20 1193 {k:04d} ok" for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    roster = spark.createDataFrame([(1, *NAMES[0]), (2, *NAMES[1]), (3, *NAMES[2]), (4, "\u041e\u043b\u044c\u0433\u0430", "\u0412\u0435\u043b\u0441\u043a\u0430\u044f")], "name_id int, given_name string, family_name string")
+    got = {(r["message_id"], r["kind"]) for r in pii.find(df, roster).select("message_id", "kind").collect()}
+    hit = [i for i, t in want.items() if (i, t) in got]
+    assert len(hit) >= 0.9 * len(want), sorted({(t, rows[i]) for i, t in want.items() if (i, t) not in got})
+    assert not [rows[i] for i, _ in got if i >= never]
+
+
+def test_rows_without_an_id_are_redacted(spark):
+    df = spark.createDataFrame([(None, "mail a.b@ostrel.test now"), (None, "mail a.b@ostrel.test now"), (None, "nothing")], "id long, text string")
+    roster = spark.createDataFrame([], "name_id int, given_name string, family_name string")
+    assert sorted(r["text"] for r in pii.redact(df, pii.find(df, roster)).collect()) == ["mail [EMAIL] now", "mail [EMAIL] now", "nothing"]
