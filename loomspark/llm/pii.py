@@ -13,6 +13,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
+from collections import Counter
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -35,12 +39,19 @@ ACCEPT = {"email": 0.5, "phone": 0.5, "id_number": 0.5, "address": 0.5, "person"
 ANY = 0.6  # the same for numbers and addresses of any shape
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
 
-_START, _END = r"(?<![\w.+/@#-])", r"(?![\w@]|[./-]\d)"
+_END = r"(?![\w@]|[./-]\d)"
+
+
+def _at(first: str) -> str:
+    """A first character that no word, number or path runs into; it stands before the look behind it, so that a search skips to it."""
+    return rf"{first}(?<![\w.+/@#-].)"
+
+
 # the letters of the scripts that have capitals: Latin, Greek and Cyrillic
 _UP = "A-Z" + "".join(c for c in map(chr, range(0xC0, 0x530)) if c.isupper())
 _LOW = "a-z" + "".join(c for c in map(chr, range(0xC0, 0x530)) if c.islower())
 _EXT = r"(?: ?(?:x|ext\.? ?)\d{1,5})?"
-_CAP = rf"[{_UP}][{_LOW}]+"
+_CAP = rf"[{_UP}][{_LOW}]++"
 _PLACE = rf"{_CAP}(?:(?:[ -](?:del?|du|des|da|do|sur|la|le))*[ -]{_CAP})*"
 _EN = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Close|Court|Ct|Way|Place|Pl|Square|Sq|Terrace|Crescent|Boulevard|Blvd|Row|Hill|Walk|Grove|Gardens|Mews"
 _FR = r"rue|avenue|boulevard|place|chemin|impasse|all[ée]e|quai|cours|route|passage|square"
@@ -57,20 +68,20 @@ FORMS: list[tuple[str, str, bool, str, re.Pattern]] = [
         ("email", "spelled", False, "dot", r"(?<![\w.+@-])[A-Za-z0-9][A-Za-z0-9._%+-]* (?:at|AT) [A-Za-z0-9-]+(?: (?:dot|DOT) [A-Za-z0-9-]+)+"),
         ("id_number", "labelled", True, "label", r"(?i:\b(?:ssn|social security(?: no\.?| number)?|passport(?: no\.?| number)?|national insurance(?: no\.?| number)?|ni (?:number|no\.?)|n\.?i\.?e\.?|dni|steuer-?id(?:nr\.?)?|tax id|national[_ ]id|insurance no\.?|id card)\b)[\s\"':=#.]{1,6}(?P<x>(?:[A-Z]{1,2} ?)?\d[\d -]{4,14}\d(?:[ -]?[A-Z])?)(?![\w-])"),
         ("id_number", "explained", True, "explain", r"(?<![\w.+/@#-])(?:[A-Z]{1,2} ?)?\d[\d -]{4,12}\d ?[A-Z]?(?= (?:\((?:social security|ssn|dni|passport|tax id)\)|as (?:national insurance|social security|passport|tax) (?:no|number|id)))"),
-        ("id_number", "insurance", False, "long", _START + r"[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]" + _END),
-        ("id_number", "social", False, "long", _START + r"\d{3}-\d{2}-\d{4}" + _END),
-        ("id_number", "national", False, "long", _START + r"\d{3}-\d{4}-\d{4}" + _END),
-        ("id_number", "letter last", False, "long", _START + r"\d{8}-?[A-Z]" + _END),
-        ("id_number", "tax", False, "long", _START + r"\d{2} \d{3} \d{3} \d{3}" + _END),
-        ("id_number", "document", False, "long", _START + r"[A-Z]\d{8}" + _END),
-        ("phone", "international", True, "long", r"(?<![\w.+/@#-])(?:tel:)?\+\d{1,3}[ .-]?(?:\(0\) ?)?(?:\(\d{1,4}\) ?)?\d{1,5}(?:[ ./-]\d{2,6}){1,5}" + _EXT + _END),
-        ("phone", "joined", True, "long", r"(?<![\w.+/@#-])(?:tel:)?\+\d{10,14}" + _EXT + _END),
+        ("id_number", "insurance", False, "long", _at("[A-CEGHJ-PR-TW-Z]") + r"[A-CEGHJ-PR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]" + _END),
+        ("id_number", "social", False, "long", _at(r"\d") + r"\d{2}-\d{2}-\d{4}" + _END),
+        ("id_number", "national", False, "long", _at(r"\d") + r"\d{2}-\d{4}-\d{4}" + _END),
+        ("id_number", "letter last", False, "long", _at(r"\d") + r"\d{7}-?[A-Z]" + _END),
+        ("id_number", "tax", False, "long", _at(r"\d") + r"\d \d{3} \d{3} \d{3}" + _END),
+        ("id_number", "document", False, "long", _at("[A-Z]") + r"\d{8}" + _END),
+        ("phone", "international", True, "long", r"(?:\+(?<![\w.+/@#-].)|tel:\+(?<![\w.+/@#-]tel:.))\d{1,3}[ .-]?(?:\(0\) ?)?(?:\(\d{1,4}\) ?)?\d{1,5}(?:[ ./-]\d{2,6}){1,5}" + _EXT + _END),
+        ("phone", "joined", True, "long", r"(?:\+(?<![\w.+/@#-].)|tel:\+(?<![\w.+/@#-]tel:.))\d{10,14}" + _EXT + _END),
         ("phone", "bracketed", False, "long", r"(?<![\w.+/@#-])(?:1[ -])?\(\d{3}\) ?\d{3}[ .-]\d{4}" + _EXT + _END),
-        ("phone", "trunk one", False, "long", _START + r"1[-. ]\d{3}[-. ]\d{3}[-. ]\d{4}" + _EXT + _END),
-        ("phone", "ten", False, "long", _START + r"\d{3}([-. ])\d{3}\1\d{4}" + _EXT + _END),
-        ("phone", "five pairs", False, "long", _START + r"0\d(?:[. -]\d{2}){4}" + _END),
-        ("phone", "slash", False, "long", _START + r"0\d{2,4}/\d{3,6}(?:[ -]\d{2,4})?" + _END),
-        ("phone", "trunk zero", False, "long", _START + r"0\d{2,4} \d{3,4} ?\d{3,4}" + _END),
+        ("phone", "trunk one", False, "long", _at("1") + r"[-. ]\d{3}[-. ]\d{3}[-. ]\d{4}" + _EXT + _END),
+        ("phone", "ten", False, "long", _at(r"\d") + r"\d{2}([-. ])\d{3}\1\d{4}" + _EXT + _END),
+        ("phone", "five pairs", False, "long", _at("0") + r"\d(?:[. -]\d{2}){4}" + _END),
+        ("phone", "slash", False, "long", _at("0") + r"\d{2,4}/\d{3,6}(?:[ -]\d{2,4})?" + _END),
+        ("phone", "trunk zero", False, "long", _at("0") + r"\d{2,4} \d{3,4} ?\d{3,4}" + _END),
         ("address", "english, postcode", True, "english", rf"(?<![\w.])(?:(?:Unit|Flat|Suite) \d+[A-Z]?, )?\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{_EN})\b\.?(?:, (?:Apt|Unit|Suite|Flat)\.? \w+)?{_GAP}{_PLACE},? (?:[A-Z]{{2}} )?\d{{5}}\b"),
         ("address", "english", False, "english", rf"(?<![\w.])(?:(?:Unit|Flat|Suite) \d+[A-Z]?, )?\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{_EN})\b\.?(?:, (?:Apt|Unit|Suite|Flat)\.? \w+)?{_GAP}{_CAP}"),
         ("address", "english, flat", False, "english", rf"(?<![\w.])(?:Unit|Flat|Suite) \d+[A-Z]?, \d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{_EN})\b|(?<![\w.])\d{{1,5}} (?:{_CAP} ){{1,3}}(?:{_EN})\b\.?, (?:Apt|Unit|Suite|Flat)\.? \w+"),
@@ -93,15 +104,15 @@ _IN_TEXT = {  # any of these must be in the text (in the text in lower case for
     "english": tuple(f" {w}" for w in _EN.split("|")),
     "capitals": tuple(f" {w.upper()}" for w in _EN.split("|")),
     "german": ("stra\u00dfe ", "strasse ", "str. ", "weg ", "steig ", "platz ", "allee ", "gasse ", "damm ", "ufer "),
-    "french": ("rue", "avenue", "boulevard", "place", "chemin", "impasse", "all", "quai", "cours", "route", "passage", "square"),
+    "french": ("rue", "avenue", "boulevard", "place", "chemin", "impasse", "all\u00e9e", "allee", "quai", "cours", "route", "passage", "square"),
     "spanish": ("Calle", "Avenida", "Avda", "Plaza", "Paseo", "Camino", "Carrera", "Ronda", "Traves\u00eda", "C/"),
     "explain": ("(social security)", "(ssn)", "(dni)", "(passport)", "(tax id)", " as national insurance ", " as social security ", " as passport ", " as tax "),
 }
 _IN_LOWER = {"dot": (" dot ",), "label": ("ssn", "social security", "passport", "national insurance", "ni n", "nie", "n.i", "ni.", "dni", "steuer", "tax id", "national", "insurance no", "id card")}
-_NAME = re.compile(rf"(?<![\w@/_\\.#-])(?<!\.\.){_CAP}(?:-{_CAP})*(?:(?:\. |, | (?:[A-Z]\.? )?){_CAP}(?:-{_CAP})*)*(?![\w@/_]|[.-]\w|[(\[]at[)\]])")
+_NAME = re.compile(rf"[{_UP}](?<![\w@/_\\.#-].)(?<!\.\..)[{_LOW}]++(?:-{_CAP})*(?:(?:\. |, | (?:[A-Z]\.? )?){_CAP}(?:-{_CAP})*)*(?![\w@/_]|[.-]\w|[(\[]at[)\]])")
 _PARTS = re.compile(_CAP)
-_LOWER = re.compile(rf"(?<![\w@./_+-])[{_LOW}]{{2,}}(?![\w@/_+]|[.-]\w| ?[(\[]at| at \w+ dot)")
-_PLAIN = re.compile(rf"(?<![\w@./_+-])(?:[{_LOW}]{{3,}}|[{_UP}]{{3,}})(?![\w@/_+]|[.-]\w| ?[(\[]at| at \w+ dot)")
+_LOWER = re.compile(rf"(?<![\w@./_+-])[{_LOW}]{{2,}}+(?![\w@/_+]|[.-]\w| ?[(\[]at| at \w+ dot)")
+_PLAIN = re.compile(rf"(?<![\w@./_+-])(?:[{_LOW}]{{3,}}+|[{_UP}]{{3,}}+)(?![\w@/_+]|[.-]\w| ?[(\[]at| at \w+ dot)")
 _WORD = re.compile(rf"[{_UP}{_LOW}]{{3,}}")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|([nrt\"\\/]))")
 _DIGIT = re.compile(r"\d")
@@ -124,8 +135,9 @@ def view(text: str) -> tuple[str, list[int] | None]:
     return "".join(out), at
 
 
+@lru_cache(1 << 16)
 def _blur(s: str) -> str:
-    """Paths, names of functions, hashes and numbers in one form each, in lower case."""
+    """A piece without blanks: paths, names of functions, hashes and numbers in one form each, in lower case."""
     for mark, (p, r) in zip("/_", _BLUR):
         if mark in s:
             s = p.sub(r, s)
@@ -136,10 +148,10 @@ def _blur(s: str) -> str:
 
 
 def contexts(v: str, a: int, b: int) -> tuple[str, str, str]:
-    """Patterns of a span: the two pieces before, the two after, and the ones on either side. Numbers, paths and names of functions are blurred; a line's start and end count as pieces."""
-    left = _blur(v[max(0, a - REACH) : a].rpartition("\n")[2])
-    right = _blur(v[b : b + REACH].partition("\n")[0])
-    l, r = ["^", *left.split()][-2:], [*right.split(), "$"][:2]  # noqa: E741
+    """Patterns of a span: the two pieces before, the two after, and the ones on either side, within REACH characters. Numbers, paths and names of functions are blurred; a line's start and end count as pieces."""
+    l = ["^", *v[max(0, a - REACH) : a].rpartition("\n")[2].split()][-2:]  # noqa: E741
+    r = [*v[b : b + REACH].partition("\n")[0].split(None, 2)[:2], "$"][:2]
+    l, r = [_blur(x) for x in l], [_blur(x) for x in r]  # noqa: E741
     return " ".join(l), " ".join(r), f"{l[-1]} _ {r[0]}"
 
 
@@ -147,33 +159,64 @@ def _shape(s: str) -> str:
     return re.sub(r"[A-Za-zß-ÿ]+", "a", re.sub(r"\d", "9", s))
 
 
-_AUTOMATA: list = []
-
-
-def _groups(table: dict[str, tuple[str, ...]], which: int, v: str) -> set[str]:
-    """The groups of which any word is in the text; all words are looked for in one pass where the automaton is installed."""
-    if ahocorasick is None:
-        return {g for g, ws in table.items() if any(w in v for w in ws)}
-    while len(_AUTOMATA) <= which:
-        a = ahocorasick.Automaton()
-        for g, ws in (_IN_TEXT, _IN_LOWER)[len(_AUTOMATA)].items():
-            for w in ws:
-                a.add_word(w, (a.get(w, ()) + (g,)))
-        a.make_automaton()
-        _AUTOMATA.append(a)
-    return {g for _, gs in _AUTOMATA[which].iter(v) for g in gs}
+@lru_cache(2)
+def _automaton(which: int):
+    a = ahocorasick.Automaton()
+    for g, ws in (_IN_TEXT, _IN_LOWER)[which].items():
+        for w in ws:
+            a.add_word(w, (a.get(w, ()) + (g,)))
+    a.make_automaton()
+    return a
+
+
+def _hits(which: int, v: str):
+    """(place, groups) of the words of a table in a text, all looked for in one pass where the automaton is installed."""
+    if ahocorasick is not None:
+        yield from _automaton(which).iter(v)
+        return
+    for g, ws in (_IN_TEXT, _IN_LOWER)[which].items():
+        for w in ws:
+            at = v.find(w)
+            while at >= 0:
+                yield at, (g,)
+                at = v.find(w, at + 1)
+
+
+def _gates(texts: list[str], joined: str, starts: list[int]) -> dict[int, set[str]]:
+    """Index of a text -> the gates it passes; `joined` are the texts on lines of their own, which begin at `starts`."""
+    out: dict[int, set[str]] = {}
+    low = [t.lower() for t in texts]  # may be longer
+    for which, v, at in ((0, joined, starts), (1, "\n".join(low), list(accumulate((len(t) + 1 for t in low), initial=0)))):
+        for place, groups in _hits(which, v):
+            out.setdefault(bisect_right(at, place) - 1, set()).update(groups)
+    for g, p in (("long", _SIX), ("post", _POST)):
+        for m in p.finditer(joined):
+            out.setdefault(bisect_right(starts, m.start()) - 1, set()).add(g)
+    return out
 
 
-def _gates(v: str) -> set[str]:
-    out = _groups(_IN_TEXT, 0, v) | _groups(_IN_LOWER, 1, v.lower())
-    return out | {g for g, p in (("long", _SIX), ("post", _POST)) if p.search(v)}
+def candidates_in(texts: list[str]) -> list[tuple]:
+    """(index of the text, then as in candidates_of) of many texts. Texts that pass no gate have only names, which are looked for in all of them at once."""
+    seen = [view(t) for t in texts]
+    views = [v for v, _ in seen]
+    joined, starts = "\n".join(views), list(accumulate((len(v) + 1 for v in views), initial=0))
+    gates = _gates(views, joined, starts)
+    single = {i for i, (_, at) in enumerate(seen) if at is not None} | set(gates)
+    out = [(i, *c) for i in single for c in candidates_of(texts[i], gates.get(i, set()))]
+    for m in _NAME.finditer(joined):
+        a, b = m.span()
+        i = bisect_right(starts, a) - 1
+        if i not in single:
+            s = starts[i]
+            out.append((i, a - s, b - s, "person", None, False, *contexts(joined, a, b), [(p.group(), a - s + p.start(), a - s + p.end()) for p in _PARTS.finditer(m.group())]))
+    return out
 
 
-def candidates_of(text: str) -> list[tuple]:
+def candidates_of(text: str, open_: set[str] | None = None) -> list[tuple]:
     """(start, end, type, instance key, seed, left, right, around, name parts) of a text, not overlapping except for names."""
     v, at = view(text)
     out, taken = [], []
-    open_ = _gates(v)
+    open_ = _gates([v], v, [0]).get(0, set()) if open_ is None else open_
     for kind, form, seed, gate, pattern in FORMS:
         if gate not in open_:
             continue
@@ -205,6 +248,7 @@ def candidates_of(text: str) -> list[tuple]:
 _PARTS_TYPE = pa.list_(pa.struct([("word", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
 _FOUND = pa.schema([("message_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("key", pa.string()), ("seed", pa.bool_()), ("l", pa.string()), ("r", pa.string()), ("around", pa.string()), ("parts", _PARTS_TYPE), ("n", pa.int64())])
 _FOUND_SQL = "message_id long, row long, start int, end int, kind string, key string, seed boolean, l string, r string, around string, parts array<struct<word: string, a: int, b: int>>, n long"
+AT_ONCE = 4_000_000  # characters of texts that are searched at once
 WORDS = 200_000  # words that a task adds up before it hands their counts on
 
 
@@ -218,21 +262,24 @@ def scan(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.nulls(len(acc), f.type) if f.name not in ("kind", "key", "n") else pa.array(["word"] * len(acc) if f.name == "kind" else list(acc) if f.name == "key" else list(acc.values()), f.type) for f in _FOUND], schema=_FOUND)
 
     def run(batches):
-        acc: dict[str, int] = {}
-        for b in batches:
-            cols = [[] for _ in range(11)]
-            for i, row, text in zip(*(c.to_pylist() for c in b.columns)):
-                for c in candidates_of(text):
-                    for into, x in zip(cols, (i, row, *c)):
-                        into.append(x)
-                for w in _LOWER.findall(text):
-                    acc[w] = acc.get(w, 0) + 1
-            if cols[0]:
+        acc: Counter = Counter()
+        for batch in batches:
+            ids, rows, texts = (c.to_pylist() for c in batch.columns)
+            got, a = [], 0
+            while a < len(texts):  # a few megabytes at a time, however long the texts are
+                b, size = a, 0
+                while b < len(texts) and (b == a or size + len(texts[b]) <= AT_ONCE):
+                    size, b = size + len(texts[b]), b + 1
+                got += [(ids[a + i], rows[a + i], *c) for i, *c in candidates_in(texts[a:b])]
+                acc.update(_LOWER.findall("\n".join(texts[a:b])))
+                a = b
+            if got:
+                cols = list(zip(*got))
                 cols[10] = [p and [{"word": w, "a": x, "b": y} for w, x, y in p] for p in cols[10]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols, _FOUND)), pa.nulls(len(cols[0]), pa.int64())], schema=_FOUND)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols, _FOUND)), pa.nulls(len(got), pa.int64())], schema=_FOUND)
             if len(acc) > WORDS:
                 yield words(acc)
-                acc = {}
+                acc = Counter()
         if acc:
             yield words(acc)
 
