@@ -6,58 +6,51 @@ import gzip
 import io
 import re
 import tarfile
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SILENT = frozenset("script style nav header footer svg form button noscript template".split())
-_BLOCK = frozenset("p div section article h1 h2 h3 h4 h5 h6 li ul ol tr table br hr blockquote pre figure figcaption dd dt".split())
-
-
-class _Reader(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.silent = 0
-        self.math = 0
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag in _SILENT:
-            self.silent += 1
-        elif self.silent:
+# Elements whose content is no text of the page, and elements that begin a line of their own.
+NO_TEXT = ["script", "style", "nav", "header", "footer", "svg", "form", "button", "noscript", "template"]
+OWN_LINE = ["p", "div", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "tr", "table", "br", "hr", "blockquote", "pre", "figure", "figcaption", "dd", "dt"]
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[A-Za-z][\w:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_ALT = re.compile(r"\b(alt|alttext)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+
+def _pieces(html: str):
+    """The text of a page piece by piece: what stands between tags, line breaks for elements with a line of their own, the alt texts of pictures and formulas."""
+    at, hidden, formula = 0, 0, 0
+    while at < len(html):
+        m = _MARKUP.search(html, at)
+        between = html[at : m.start() if m else len(html)]
+        if not hidden and not formula:
+            yield unescape(between)
+        if m is None:
             return
+        at, tag, ends = m.end(), (m["tag"] or "").lower(), bool(m["end"])
+        alts = {k.lower(): unescape(a or b or c) for k, a, b, c in _ALT.findall(m["rest"] or "")}
+        if tag in NO_TEXT:
+            hidden = max(0, hidden + (-1 if ends else 1))
+            if tag in ("script", "style") and not ends:  # no markup within: go to the end of the element
+                stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                at, hidden = (stop.end(), hidden - 1) if stop else (len(html), hidden)
         elif tag == "math":
-            self.out.append(f"${a['alttext']}$" if a.get("alttext") else "")
-            self.math += 1
-        elif tag == "img" and a.get("alt"):
-            self.out.append(f"[figure: {a['alt']}]")
-        elif tag in _BLOCK:
-            self.out.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag == "math":
-            self.math = max(0, self.math - 1)
-        elif tag in _BLOCK and not self.silent:
-            self.out.append("\n")
-
-    def handle_data(self, data):
-        if not self.silent and not self.math:
-            self.out.append(data)
+            if not ends and not hidden and not formula and alts.get("alttext"):
+                yield f"${alts['alttext']}$"
+            formula = max(0, formula + (-1 if ends else 1))
+        elif not hidden and tag == "img" and alts.get("alt"):
+            yield f"[figure: {alts['alt']}]"
+        elif not hidden and tag in OWN_LINE:
+            yield "\n"
 
 
 def html_text(html: str | None) -> str | None:
     """Readable text of a page: no scripts, navigation and forms; math by its alt text, pictures by theirs; blanks collapsed."""
     if html is None:
         return None
-    r = _Reader()
-    r.feed(html)
-    r.close()
-    t = re.sub(r"[ \t\r\f\v\xa0]+", " ", "".join(r.out))
+    t = re.sub(r"[ \t\r\f\v\xa0]+", " ", "".join(_pieces(html)))
     return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", t)).strip()
 
 

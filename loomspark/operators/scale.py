@@ -86,3 +86,13 @@ def previous(df: DataFrame, group: str, order: list[str], take: list[str], name:
     carry = ends.withColumn("_c", F.lag("_e._t").over(Window.partitionBy(group).orderBy("_p"))).filter("_c is not null").select(F.col(group).alias("_g"), "_p", "_c")
     j = own.join(carry, own[group].eqNullSafe(carry["_g"]) & (own["_p"] == carry["_p"]), "left")
     return j.select(*[own[c] for c in df.columns], F.coalesce("_l", "_c").alias(name))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df plus each row's place (from 0) in a total order, without one task seeing all rows: ranges of the order are counted, then each numbers its own."""
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = materialise(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = x.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))  # as many rows as ranges
+    own = x.withColumn("_own", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
+    return own.join(offsets, "_p").select(*df.columns, (F.col("_own") + F.col("_before")).cast("long").alias(name))
