@@ -32,27 +32,48 @@ MEMORY_FLOOR, LEAST = 1.45, 0.05
 class Store:
     """symbols: symbol_id, name, symbol_path, path, signature, status. edges: from_id, to_id, confidence, edge_class,
     edge_id. memories: memory_id, kind, claim, severity, status, usage double, inferred boolean. applies: memory_id,
-    symbol_id. touched: path, days (since its last change)."""
+    symbol_id. touched: path, days (since its last change).
+
+    symbol_index and memory_index are the inverted indexes of the symbols' texts and the memories' claims, vectors (id, v) the
+    symbols' letter vectors; they are made with the store, so a question reads no text.
+    """
 
     symbols: DataFrame
     edges: DataFrame
     memories: DataFrame
     applies: DataFrame
     touched: DataFrame
+    symbol_index: tx.TextIndex | None = None
+    memory_index: tx.TextIndex | None = None
+    vectors: DataFrame | None = None
+
+    def indexed(self) -> Store:
+        """The same with the indexes and vectors that are missing."""
+        s = self.symbols.select("symbol_id", F.concat_ws(" ", "symbol_path", "signature", "path").alias("t"))
+        self.symbol_index = self.symbol_index or tx.TextIndex(s, "symbol_id", "t")
+        self.memory_index = self.memory_index or tx.TextIndex(self.memories.filter("status <> 'DELETED'"), "memory_id", "claim")
+        if self.vectors is None:
+            self.vectors = materialise(s.select(F.col("symbol_id").alias("id"), vx.letter_histogram(F.col("t")).alias("v")), "vectors")
+        return self
 
 
 def _clauses(terms: list[str]) -> list[tx.Clause]:
-    forms = dict.fromkeys(tx._words(v) for t in terms for v in tx.variants(t))
-    return [tx.Clause(w, True) for w in forms if w]
+    """One prefix clause for each spelling of each term that has words, in the order of the terms."""
+    out: list[tx.Clause] = []
+    for spelling in (v for t in terms for v in tx.variants(t)):
+        clause = tx.Clause(tx._words(spelling), prefix=True)
+        if clause.words and clause not in out:
+            out.append(clause)
+    return out
 
 
 def symbol_seeds(store: Store, terms: list[str], query: str, limit: int = 120) -> DataFrame:
     """(id, lex, sym, sem): symbols by full text (normalised to 0..1), by equal or contained names, and by the built-in vectors."""
     from pyspark.sql import Window
 
-    s = store.symbols.select("symbol_id", F.concat_ws(" ", "symbol_path", "signature", "path").alias("t"), "name", "path")
-    top = tx.bm25(s, "t", _clauses(terms)).orderBy(F.desc("score"), "symbol_id").limit(limit)
-    lex = top.select(F.col("symbol_id").alias("id"), tx.min_max(F.col("score"), Window.partitionBy(F.lit(1))).alias("lex"))
+    s = store.symbols.select("symbol_id", "name", "path")
+    top = store.symbol_index.hits(_clauses(terms)).orderBy(F.desc("score"), "id").limit(limit)
+    lex = top.select("id", tx.min_max(F.col("score"), Window.partitionBy(F.lit(1))).alias("lex"))
     low, words = F.lower("name"), [t.lower() for t in terms]
     named = s.select(F.col("symbol_id").alias("id"), F.when(low.isin(words), 1.0).when(F.greatest(*[low.contains(w) for w in words], F.lit(False)), 0.5).alias("sym")).filter("sym is not null")
     mentioned = [m for m in query.split() if "/" in m]
@@ -60,8 +81,7 @@ def symbol_seeds(store: Store, terms: list[str], query: str, limit: int = 120) -
         hit = F.greatest(*[F.col("path").contains(m) for m in mentioned], F.lit(False))
         named = named.unionByName(s.filter(hit).select(F.col("symbol_id").alias("id"), F.lit(1.0).alias("sym")))
     base = lex.join(named.groupBy("id").agg(F.max("sym").alias("sym")), "id", "full_outer").select("id", F.coalesce("lex", F.lit(0.0)).alias("lex"), F.coalesce("sym", F.lit(0.0)).alias("sym"))
-    q = s.sparkSession.createDataFrame([(query,)], "t string").select(vx.letter_histogram(F.col("t")).alias("v")).first()["v"]
-    near = vx.top_k(s.select("symbol_id", vx.letter_histogram(F.col("t")).alias("v")), "symbol_id", "v", list(q), 60)
+    near = vx.top_k(store.vectors, "id", "v", vx.letter_vector(query), 60)
     sem = vx.semantic_seeds(base.select("id", "lex"), near).select("id", "sem")
     return base.join(sem, "id", "full_outer").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lex", "sym", "sem")])
 
@@ -70,18 +90,16 @@ def memory_seeds(store: Store, terms: list[str], limit: int = 60) -> DataFrame:
     """(memory_id, relevance): memories by full text; where nothing matches, by approximate match."""
     from pyspark.sql import Window
 
-    m = store.memories.filter("status <> 'DELETED'")
-    hit = tx.bm25(m, "claim", _clauses(terms)).orderBy(F.desc("score"), "memory_id").limit(limit)
+    hit = store.memory_index.hits(_clauses(terms)).orderBy(F.desc("score"), "id").limit(limit)
     if hit.limit(1).count():
-        return hit.select("memory_id", tx.min_max(F.col("score"), Window.partitionBy(F.lit(1))).alias("relevance"))
-    return tx.fuzzy_score(m, "memory_id", "claim", terms).select(F.col("id").alias("memory_id"), F.col("score").alias("relevance"))
+        return hit.select(F.col("id").alias("memory_id"), tx.min_max(F.col("score"), Window.partitionBy(F.lit(1))).alias("relevance"))
+    return tx.fuzzy_score(store.memories.filter("status <> 'DELETED'"), "memory_id", "claim", terms).select(F.col("id").alias("memory_id"), F.col("score").alias("relevance"))
 
 
 def rank(store: Store, query: str, intent: str | None = None, depth: int = 2) -> DataFrame:
     """All symbols that say something to the query: (symbol_id, score, its signals, memories array), not cut yet."""
     intent = intent or tx.infer_intent(query)
-    terms = tx.query_terms(query)
-    w = WEIGHTS[intent]
+    store, terms, w = store.indexed(), tx.query_terms(query), WEIGHTS[intent]
     if not terms:
         return store.symbols.select("symbol_id", F.lit(0.0).alias("score")).limit(0)
     seeds, mems = materialise(symbol_seeds(store, terms, query), "seeds"), materialise(memory_seeds(store, terms), "seeds")  # a few hundred rows each, read several times

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scale import numbered
 from .text import rank_score
 
 
@@ -40,45 +41,48 @@ def gold_ranks(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, qu
     The queries are a stated set and go through all vectors in blocks. Only the nearest of the right label and the number
     of nearer ones are needed, so a block makes two aggregates and no pairs that outlive a batch.
     """
-    q = [(r[0], [float(x) for x in r[1]], r[2]) for r in queries.select(id_col, vec_col, label_col).orderBy(id_col).toLocalIterator()]
-    spark, out = vectors.sparkSession, None
-    for i in range(0, len(q), block):
-        import numpy as np
+    import numpy as np
+
+    q = queries.filter(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).alias("qv"), F.col(label_col).alias("ql"))
+    width = vectors.filter(F.col(vec_col).isNotNull()).select(F.size(vec_col)).first()
+    if width is None:
+        return queries.select(F.col(id_col).cast("long").alias("query"), F.lit(None).cast("long").alias("rank"))
+    # blocks of queries meet all vectors: each block is one row, repeated to the tasks that hold the vectors
+    placed = numbered(q, [F.col("q")], "_n")
+    blocks = placed.groupBy(F.floor(F.col("_n") / block).alias("_b")).agg(F.collect_list(F.struct("q", "qv", "ql")).alias("qs"))
+    rows = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("v"), F.col(vec_col).alias("x"), F.col(label_col).alias("l")).withColumn("_t", F.pmod(F.xxhash64("v"), F.lit(max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = blocks.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+
+    def parts(right, with_gold):
+        """Runs over the vectors of a task with the query blocks beside them."""
+
+        def run(_, mine, theirs):
+            if not len(mine):
+                return pd.DataFrame({"query": [], "s": [], "v": [], "n": []}).astype({"query": "int64", "s": "float64", "v": "int64", "n": "int64"})
+            x, v, lab = np.stack(mine["x"].to_numpy()).astype(float), mine["v"].to_numpy(), mine["l"].to_numpy()
+            out = []
+            for qs in theirs["qs"]:
+                sims = np.array([list(k["qv"]) for k in qs], dtype=float) @ x.T
+                for k, s in zip(qs, sims):
+                    if with_gold:
+                        if k["s"] is not None:
+                            near = (s > k["s"] + 1e-12) | ((abs(s - k["s"]) <= 1e-12) & (v < k["gv"]))
+                            out.append((k["q"], 0.0, 0, int((near & (v != k["q"])).sum())))
+                        continue
+                    ok = (lab == k["ql"]) & (v != k["q"])
+                    if ok.any():
+                        j = np.lexsort((v[ok], -s[ok]))[0]
+                        out.append((k["q"], float(s[ok][j]), int(v[ok][j]), 0))
+            return pd.DataFrame(out, columns=["query", "s", "v", "n"]).astype({"query": "int64", "s": "float64", "v": "int64", "n": "int64"})
 
-        part = q[i : i + block]
-        ids, mat, labels = [x[0] for x in part], np.array([x[1] for x in part]), [x[2] for x in part]
+        return rows.groupBy("_t").cogroup(right.groupBy("_t")).applyInPandas(run, "query long, s double, v long, n long")
 
-        def nearest(batches, ids=ids, mat=mat, labels=labels):
-            best: dict = {}
-            for b in batches:
-                sims = mat @ np.stack(b[vec_col].to_numpy()).astype(float).T
-                for k, qid in enumerate(ids):
-                    ok = (b[label_col].to_numpy() == labels[k]) & (b[id_col].to_numpy() != qid)
-                    if ok.any():
-                        s, v = sims[k][ok], b[id_col].to_numpy()[ok]
-                        j = np.lexsort((v, -s))[0]
-                        cand = (-s[j], v[j])
-                        best[qid] = min(best.get(qid, cand), cand)
-            yield pd.DataFrame([(int(k), -float(s), int(v)) for k, (s, v) in best.items()], columns=["q", "s", "v"])
-
-        rows = vectors.select(id_col, vec_col, label_col).filter(F.col(vec_col).isNotNull())
-        found = rows.mapInPandas(nearest, "q long, s double, v long").groupBy("q").agg(F.max(F.struct("s", (-F.col("v")).alias("nv"))).alias("m")).collect()
-        gold = {r["q"]: (r["m"]["s"], -r["m"]["nv"]) for r in found}
-
-        def nearer(batches, ids=ids, mat=mat, gold=gold):
-            n = dict.fromkeys(gold, 0)
-            for b in batches:
-                sims, v = mat @ np.stack(b[vec_col].to_numpy()).astype(float).T, b[id_col].to_numpy()
-                for k, qid in enumerate(ids):
-                    if qid in gold:
-                        s, at = gold[qid]
-                        n[qid] += int((((sims[k] > s + 1e-12) | ((abs(sims[k] - s) <= 1e-12) & (v < at))) & (v != qid)).sum())
-            yield pd.DataFrame({"query": list(n), "n": list(n.values())})
-
-        ranks = rows.mapInPandas(nearer, "query long, n long").groupBy("query").agg((F.sum("n") + 1).alias("rank"))
-        one = spark.createDataFrame([(int(x),) for x in ids], "query long").join(ranks, "query", "left")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "query long, rank long")
+    gold = parts(spread, False).groupBy("query").agg(F.max(F.struct("s", (-F.col("v")).alias("nv"))).alias("m")).select(F.col("query").alias("q"), F.col("m.s").alias("s"), (-F.col("m.nv")).alias("gv"))
+    known = placed.join(gold, "q", "left")
+    again = known.groupBy(F.floor(F.col("_n") / block).alias("_b")).agg(F.collect_list(F.struct("q", "qv", "ql", "s", "gv")).alias("qs")).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    counted = parts(again, True).groupBy("query").agg((F.sum("n") + 1).alias("rank"))
+    return queries.select(F.col(id_col).cast("long").alias("query")).join(counted, "query", "left")
 
 
 def metrics(ranks: DataFrame) -> DataFrame:
@@ -87,6 +91,13 @@ def metrics(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), hit(1), hit(5), hit(10))
 
 
+def letter_vector(text: str) -> list[float]:
+    """The built-in encoding of one text, on the driver."""
+    n = [text.lower().count(chr(c)) for c in range(97, 123)]
+    size = sum(x * x for x in n) ** 0.5 or 1.0
+    return [x / size for x in n]
+
+
 def letter_histogram(text: Column) -> Column:
     """The built-in encoder: counts of the letters a..z at length 1; a text without them gives zeros."""
 

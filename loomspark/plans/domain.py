@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import norm_key
-from ..operators import code, investigate as inv, knowledge as kn, lab, papers, recordings as rec, state as st, text as tx
-from ..session import materialise, shared_dir, table
+from ..operators import code, index as ix, investigate as inv, knowledge as kn, lab, papers, recordings as rec, state as st, text as tx
+from ..session import materialise, shared_dir, stored, table
 from ..sources import exchange as ex, transcripts as tr
 from ..streaming import jobs
 from .graphs import files
@@ -162,7 +163,7 @@ def export_round_trip(spark, d) -> DataFrame:
 
 def streamed_latest(spark, d) -> DataFrame:
     """The newest event of each user through a file stream, with the generations in the shared folder."""
-    import uuid
+
 
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
@@ -173,7 +174,7 @@ def streamed_latest(spark, d) -> DataFrame:
 
 def delivered_once(spark, d) -> DataFrame:
     """Each (user, event type) delivered once through a stream."""
-    import uuid
+
 
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
@@ -182,16 +183,54 @@ def delivered_once(spark, d) -> DataFrame:
     return jobs.run_to_table(s, f"once_{uuid.uuid4().hex}", f"{at}/cp").select("user_id", "event_type")
 
 
+def _index(spark, d) -> ix.CodeIndex:
+    """The stored index of the code files."""
+
+    def build():
+        i = ix.CodeIndex(spark, f"{shared_dir(spark)}/code-index-{uuid.uuid4().hex}")
+        i.refresh(files(spark, d).select(F.col("doc_id").cast("string").alias("file_id"), "path", "text"))
+        return i
+
+    return stored(spark, d, "code", build)
+
+
+def index_refresh(spark, d) -> DataFrame:
+    """An index built from the code as it was on 1 January 2026, when texts of an odd length still lacked their last character, and refreshed to what is there now, files from before July 2025 being gone."""
+    f = table(spark, d, "documents").filter("source = 'code_file' and text is not null").select(F.col("doc_id").cast("string").alias("file_id"), F.coalesce("path", F.lit("")).alias("path"), "text", "created_at")
+    odd = F.length("text") % 2 == 1
+    was = f.filter("created_at < timestamp'2026-01-01 00:00:00+00:00'").withColumn("text", F.when(odd, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text")))
+    now = f.filter("created_at >= timestamp'2025-07-01 00:00:00+00:00' or created_at is null")
+    i = ix.CodeIndex(spark, f"{shared_dir(spark)}/refresh-{uuid.uuid4().hex}")
+    i.refresh(was.drop("created_at"))
+    return i.refresh(now.drop("created_at"))
+
+
+def index_build(spark, d) -> DataFrame:
+    """The store that questions are put to, with its indexes: what it holds."""
+    st = store(spark, d)
+    rows = [("files", _index(spark, d).files()), ("symbols", st.symbols), ("edges", st.edges), ("memories", st.memories)]
+    out = None
+    for what, df in rows:
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def store(spark, d) -> inv.Store:
-    f = files(spark, d)
-    s = materialise(code.symbols(f, "doc_id", "text"), "symbols")
-    edges, _ = code.resolve_calls(s, spark.createDataFrame([], "from_id string, to_id string, deferred boolean"))
-    syms = s.join(f.select(F.col("doc_id").cast("string").alias("file_id"), "path"), "file_id").select("symbol_id", "name", "symbol_path", "path", "signature", F.lit("ACTIVE").alias("status"))
+    """Made once a session from the stored index."""
+    return stored(spark, d, "store", lambda: _store(spark, d))
+
+
+def _store(spark, d) -> inv.Store:
+    i = _index(spark, d)
+    s = i.symbols()
+    edges, _ = i.calls()
+    syms = materialise(s.join(i.files().select("file_id", "path"), "file_id").select("symbol_id", "name", "symbol_path", "path", "signature", F.lit("ACTIVE").alias("status")), "symbols")
     m = memories(spark, d)
     named = m.select("memory_id", F.explode(F.array_distinct(F.regexp_extract_all("claim", F.lit("[a-z]+_[a-z_]+"), 0))).alias("name"))
     applies = named.join(syms.select("symbol_id", "name"), "name").select("memory_id", "symbol_id").distinct()
-    touched = syms.select("path", F.pmod(F.crc32("path"), F.lit(90)).cast("double").alias("days")).distinct()
-    return inv.Store(syms, materialise(edges, "edges"), materialise(m, "memories"), materialise(applies, "applies"), touched)
+    touched = materialise(syms.select("path", F.pmod(F.crc32("path"), F.lit(90)).cast("double").alias("days")).distinct(), "touched")
+    return inv.Store(syms, materialise(edges, "edges"), materialise(m, "memories"), materialise(applies, "applies"), touched).indexed()
 
 
 def investigate(spark, d) -> DataFrame:
@@ -218,13 +257,14 @@ QUERIES = {
     "S41_X16_run_metrics": run_metrics, "A28_M22_lab_summary": lab_summary, "X16_frozen_by": frozen, "X10_evidence": evidence, "S41_log_metrics": log_metrics, "A11_digest": digests, "P24_user_text": user_text_classes, "S23_S30_reparsed": reparsed_transcripts,
     "D1_D8_claim_classes": claim_classes, "D7_claim_tokens": claim_token_counts, "D10_claim_relations": claim_relations, "M18_rule_scores": rule_scores, "M10_D11_compiled": compiled, "A18_X8_hot_functions": hot, "A19_runtime_edges": runtime, "M26_run_diff": run_diff, "X3_value_trails": value_trails, "X2_context_tree": context_tree,
     "F24_W12_outline": doc_outline, "F25_html_text": html_text, "S44_A26_export": export_stats, "S45_S46_round_trip": export_round_trip, "T1_T2_stream_latest": streamed_latest, "T6_delivered_once": delivered_once,
-    "F15_investigate": investigate, "F15_ranked": investigate_ranked, "F16_memory_scores": memory_ranking, "F18_weights": static_settings,
+    "S1_X33_index_build": index_build, "S2_M23_index_refresh": index_refresh, "F15_investigate": investigate, "F15_ranked": investigate_ranked, "F16_memory_scores": memory_ranking, "F18_weights": static_settings,
 }
 
 _VIEW = f"v as (select * from (select {K.format('run_id')} as run_id, {K.format('exp_id')} as exp_id, status, verdict, answered, try_cast(started_at as timestamptz) as started, metrics, row_number() over (partition by {K.format('run_id')} order by try_cast(ended_at as timestamptz) desc nulls last, try_cast(started_at as timestamptz) desc nulls last, {K.format('exp_id')} desc nulls last) as rn from runs where run_id is not null) where rn = 1)"
 _TREE = "t as (select o_custkey, o_orderkey, o_orderpriority, l_partkey % 20 as p, l_quantity as q from orders join lineitem on o_orderkey = l_orderkey where o_custkey <= 200)"
 SQL = {
     "S41_X16_run_metrics": f"with {_VIEW} select run_id, unnest(json_keys(metrics)) as metric, cast(json_extract(metrics, '$.' || unnest(json_keys(metrics))) as double) as value from v where metrics is not null and json_valid(metrics)",
+    "S2_M23_index_refresh": "with f as (select doc_id, text, created_at from documents where source = 'code_file' and text is not null), c as (select case when not (created_at >= timestamptz '2025-07-01 00:00:00+00' or created_at is null) then 'removed' when created_at is null or created_at >= timestamptz '2026-01-01 00:00:00+00' then 'added' when length(text) % 2 = 1 then 'changed' else 'same' end as change from f) select change, count(*) as n from c group by 1",
     "A28_M22_lab_summary": f"with {_VIEW} select exp_id, count(*) as n_runs, count(*) filter (verdict = 'win') as win, count(*) filter (verdict = 'loss') as loss, count(*) filter (verdict = 'inconclusive') as inconclusive, cast(sum(coalesce(answered, 0)) as bigint) as n_answered from v where exp_id is not null group by 1",
     "X16_frozen_by": f"with {_VIEW} select exp_id, min_by(run_id, (started, run_id)) as run_id from v where answered = 1 and exp_id is not null group by 1",
     "A11_digest": f"with m as (select {K.format('session_key')} as session_key, ordinal, min(id) as id from messages where session_key is not null and ordinal is not null group by 1, 2), j as (select m.session_key, coalesce(r.role_name, x.role) as role, x.kind from m join (select id, min(role) as role, min(kind) as kind, ordinal, {K.format('session_key')} as k from messages group by id, ordinal, {K.format('session_key')}) x on x.id = m.id and x.ordinal = m.ordinal and x.k = m.session_key left join role_names r on r.raw_role = {K.format('x.role')}) select session_key, count(*) as n, count(*) filter (role = 'user') as n_user, count(*) filter (role = 'assistant') as n_assistant, count(*) filter (kind = 'tool_call') as n_tool_calls, greatest(-0, case when count(*) filter (role = 'user' and kind = 'message') = 0 then -1 else least(40, count(*) filter (role = 'user' and kind = 'message')) end)::bigint as n_turns from j group by 1",

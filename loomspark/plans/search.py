@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import norm_key
 from ..operators import text as tx
 from ..operators import vector as vx
-from ..session import table
+from ..session import stored, table
 
 QUERY = "retry queue lease"
 NORM = "' ' || trim(regexp_replace(lower(coalesce({t}, '')), '[^a-z0-9]+', '  ', 'g')) || ' '"
@@ -30,8 +30,16 @@ def bm25_sql(source: str, text: str, needles: list[str], cols: str, p: str = "")
 {p}scored as (select x.*, {part} as score from {p}tf x, {p}st st where {anyhit})"""
 
 
+def doc_index(spark, d) -> tx.TextIndex:
+    return stored(spark, d, "documents", lambda: tx.TextIndex(table(spark, d, "documents"), "doc_id", "text"))
+
+
+def message_index(spark, d) -> tx.TextIndex:
+    return stored(spark, d, "messages", lambda: tx.TextIndex(_messages(spark, d), "id", "text"))
+
+
 def _doc_hits(spark, d) -> DataFrame:
-    return tx.bm25(table(spark, d, "documents").select("doc_id", "source", "text"), "text", tx.parse(QUERY, "any"))
+    return doc_index(spark, d).hits(tx.parse(QUERY, "any")).select(F.col("id").alias("doc_id"), "score")
 
 
 def bm25_documents(spark, d) -> DataFrame:
@@ -44,9 +52,8 @@ def bm25_top(spark, d) -> DataFrame:
 
 
 def phrase_documents(spark, d) -> DataFrame:
-    n = tx.normal(F.col("text"))
-    g = [[c] for c in tx.parse('"import resolver" graph*')]
-    return table(spark, d, "documents").filter(tx.matches(n, g)).select("doc_id", tx.count(n, g[0][0]).alias("n_phrase"), tx.length(n).alias("n_tokens"))
+    h = doc_index(spark, d).all_of(tx.parse('"import resolver" graph*'))
+    return h.select(F.col("id").alias("doc_id"), F.col("tf0").alias("n_phrase"), F.col("dl").alias("n_tokens"))
 
 
 def postings_documents(spark, d) -> DataFrame:
@@ -73,16 +80,10 @@ def _messages(spark, d) -> DataFrame:
     return m.select("id", norm_key("session_key").alias("session_key"), "ordinal", norm_key("role").alias("role"), "kind", "text", "tool_name").dropDuplicates(["id"])
 
 
-def _search_match(cl):
-    """What message_search and message_context take as a hit: a message with all words."""
-    return tx.matches(tx.normal(F.col("text")), [[c] for c in cl]) & (F.col("kind") == "message")
-
-
 def message_search(spark, d) -> DataFrame:
-    """All words, messages only, at most 3 a session, best 20."""
-    cl = tx.parse("baseline loss")
-    m = _messages(spark, d)
-    hits = tx.bm25(m, "text", cl, _search_match(cl)).withColumn("score", F.round("score", 6))
+    """All words, messages only, at most 3 a session, best 20. The texts stay unread: hits come from the index."""
+    found = message_index(spark, d).all_of(tx.parse("baseline loss")).select("id", F.round("score", 6).alias("score"))
+    hits = found.join(_messages(spark, d).filter("kind = 'message'").select("id", "session_key", "ordinal"), "id")
     best = tx.per_group(hits, ["session_key"], [F.desc("score"), F.col("id")], 3)
     return best.orderBy(F.desc("score"), "id").limit(20).select("id", "session_key", "ordinal", "score")
 
@@ -104,13 +105,14 @@ def message_search_fuzzy(spark, d) -> DataFrame:
 def recall(spark, d) -> DataFrame:
     """Any of the terms, in talk (messages and summaries) of one code base, 5 hits, 2 a session."""
     s = table(spark, d, "sessions").select(norm_key("session_key").alias("session_key"), "cwd", "repo_root").filter(F.col("repo_root").startswith("/srv/work/u1") | F.col("cwd").startswith("/srv/work/u1")).select("session_key").distinct()
-    m = _messages(spark, d).join(s, "session_key", "left_semi")
-    hits = tx.bm25(m, "text", tx.parse("ranking baseline cause", "any"), F.col("kind").isin("message", "summary")).withColumn("score", F.round("score", 6))
+    own = _messages(spark, d).join(s, "session_key", "left_semi").select("id", "session_key", "kind")
+    found = message_index(spark, d).hits(tx.parse("ranking baseline cause", "any"), own).select("id", F.round("score", 6).alias("score"))
+    hits = found.join(own.filter(F.col("kind").isin("message", "summary")), "id")
     return tx.per_group(hits, ["session_key"], [F.desc("score"), F.col("id")], 2).orderBy(F.desc("score"), "id").limit(5).select("id", "session_key", "score")
 
 
 def snippets(spark, d) -> DataFrame:
-    h = tx.bm25(_messages(spark, d), "text", tx.parse("metric"), F.col("kind") == "tool_result")
+    h = message_index(spark, d).hits(tx.parse("metric")).join(_messages(spark, d).filter("kind = 'tool_result'"), "id")
     return h.select("id", tx.snippet(F.col("text"), ["metric"]).alias("snippet"))
 
 
@@ -118,20 +120,19 @@ def message_context(spark, d) -> DataFrame:
     """The messages around every match of message_search, not only around its best."""
     all_ = _messages(spark, d)
     m = all_.groupBy("session_key", "ordinal").agg(F.min("id").alias("id"))
-    hits = all_.filter(_search_match(tx.parse("baseline loss")) & F.col("ordinal").isNotNull())
+    found = message_index(spark, d).all_of(tx.parse("baseline loss")).select("id")
+    hits = all_.filter((F.col("kind") == "message") & F.col("ordinal").isNotNull()).join(found, "id", "left_semi")
     return tx.context(m, hits.select("session_key", "ordinal").distinct(), "session_key", "ordinal", 2, 1).select("session_key", "hit", "ordinal", "id", "is_match")
 
 
 def budgeted(spark, d) -> DataFrame:
-    h = _doc_hits(spark, d).withColumn("score", F.round("score", 6)).withColumn("cost", F.ceil(F.length("text") / 4).cast("long"))
+    h = _doc_hits(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumn("score", F.round("score", 6)).withColumn("cost", F.ceil(F.length("text") / 4).cast("long"))
     return tx.within_budget(h, [F.desc("score"), F.col("doc_id")], "cost", 2000).select("doc_id", "cost", "score")
 
 
 def rrf(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    a = tx.bm25(docs, "text", tx.parse("lease ledger", "any")).withColumn("score", F.round("score", 6))
-    b = tx.bm25(docs, "text", tx.parse("cursor index", "any")).withColumn("score", F.round("score", 6))
-    return tx.fuse([a, b], "doc_id").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    lists = [doc_index(spark, d).hits(tx.parse(q, "any")).select("id", F.round("score", 6).alias("score")) for q in ("lease ledger", "cursor index")]
+    return tx.fuse(lists).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def grep_documents(spark, d) -> DataFrame:
@@ -187,7 +188,7 @@ SQL = {
     "F10_D12_fuzzy_variants": "with v as (select term, count(*) as n from (select unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as term from documents) where term <> '' group by 1), q(word, b) as (values ('resolver', 2), ('fragmant', 2), ('leese', 1), ('cat', 0)), c as (select word, term, levenshtein(term, word) as distance, n from q join v on left(term, 1) = left(word, 1) and length(term) between length(word) - b and length(word) + b and term <> word where levenshtein(term, word) <= b) select word, term, distance, n from (select *, row_number() over (partition by word order by distance, n desc, term) as rn from c) where rn <= 12",
     "F12_W3_message_search": f"with {_MSG}, {bm25_sql('m', 'text', [' baseline ', ' loss '], 'id, session_key, ordinal, kind, text')}, h as (select id, session_key, ordinal, round(score, 6) as score from scored where tf0 > 0 and tf1 > 0 and kind = 'message'), r as (select *, row_number() over (partition by session_key order by score desc, id) as rn from h) select id, session_key, ordinal, score from r where rn <= 3 order by score desc, id limit 20",
     "F13_recall": f"with {_MSG}, own as (select distinct lower(trim(session_key, ' ' || chr(9) || chr(10) || chr(13))) as k from sessions where repo_root like '/srv/work/u1%' or cwd like '/srv/work/u1%'), mm as (select * from m where session_key in (select k from own)), {bm25_sql('mm', 'text', [' ranking ', ' baseline ', ' cause '], 'id, session_key, kind, text')}, h as (select id, session_key, round(score, 6) as score from scored where kind in ('message', 'summary')), r as (select *, row_number() over (partition by session_key order by score desc, id) as rn from h) select id, session_key, score from r where rn <= 2 order by score desc, id limit 5",
-    "J11_W8_context": f"with {_MSG}, o as (select session_key, ordinal, min(id) as id from m group by 1, 2), h as (select session_key, ordinal from o where id % 50 = 0 and ordinal is not null) select o.session_key, h.ordinal as hit, o.ordinal, o.id, h.ordinal = o.ordinal as is_match from o join h on o.session_key = h.session_key and o.ordinal between h.ordinal - 2 and h.ordinal + 1",
+    "J11_W8_context": f"with {_MSG}, o as (select session_key, ordinal, min(id) as id from m group by 1, 2), n as (select session_key, ordinal, {_N} as n from m where kind = 'message' and ordinal is not null), h as (select distinct session_key, ordinal from n where contains(n, ' baseline ') and contains(n, ' loss ')) select o.session_key, h.ordinal as hit, o.ordinal, o.id, h.ordinal = o.ordinal as is_match from o join h on o.session_key = h.session_key and o.ordinal between h.ordinal - 2 and h.ordinal + 1",
     "W4_budget": f"with {bm25_sql('documents', 'text', [' retry ', ' queue ', ' lease '], 'doc_id, text')}, t as (select doc_id, cast(ceil(length(text) / 4.0) as bigint) as cost, round(score, 6) as score from scored order by score desc, doc_id limit 12), r as (select *, sum(cost) over (order by score desc, doc_id rows unbounded preceding) as run, row_number() over (order by score desc, doc_id) as rn from t) select doc_id, cost, score from r where run <= 2000 or rn = 1",
     "V6_W1_rrf": f"with {bm25_sql('documents', 'text', [' lease ', ' ledger '], 'doc_id, text', 'a')}, {bm25_sql('documents', 'text', [' cursor ', ' index '], 'doc_id, text', 'b')}, ra as (select doc_id, 10.0 / (9 + row_number() over (order by round(score, 6) desc, doc_id)) as v, row_number() over (order by round(score, 6) desc, doc_id) as rn from ascored), rb as (select doc_id, 10.0 / (9 + row_number() over (order by round(score, 6) desc, doc_id)) as v, row_number() over (order by round(score, 6) desc, doc_id) as rn from bscored), t as (select doc_id, sum(v) as v from (select * from ra where rn <= 120 union all select * from rb where rn <= 120) group by 1) select doc_id, round(v / max(v) over (), 6) as score from t",
     "V5_semantic_seeds": "with q as (select cast(embedding as double[]) as e from embeddings where vec_id = 7), s as (select vec_id, row_number() over (order by list_dot_product(cast(embedding as double[]), q.e) desc, vec_id) - 1 as rk from embeddings, q), n as (select * from s where rk < 60), l as (select vec_id from embeddings where label = 3) select coalesce(l.vec_id, n.vec_id) as vec_id, case when l.vec_id is not null then 0.5 else 0 end::double as lex, round(case when n.rk is null then 0 else 10.0 / (10 + n.rk) end, 6)::double as sem from l full join n on l.vec_id = n.vec_id where l.vec_id is not null or n.rk < 20",

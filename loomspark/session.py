@@ -77,6 +77,18 @@ def colocated(df: DataFrame, by: list[str], label: str = "stage", buckets: int |
     return spark.table(name)
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, build):
+    """What build() returns, made once a session for a folder of tables as it is now; a changed file makes it anew."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    version = tuple(sorted((s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in fs.listStatus(p)))
+    kept = spark.sparkContext.__dict__.setdefault("_loomspark_stored", {})
+    if (sf_dir, name) not in kept or kept[sf_dir, name][0] != version:
+        kept[sf_dir, name] = (version, build())
+    return kept[sf_dir, name][1]
+
+
 @contextmanager
 def joins_in_place(spark: SparkSession):
     """Within, a join whose keys include the columns that both sides are bucketed by needs no shuffle (Spark else asks for all of its keys)."""

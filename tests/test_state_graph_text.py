@@ -163,3 +163,22 @@ def test_vectors_refresh(spark):
     kept = old.unionByName(dead)
     assert {r["item_id"] for r in vx.stale(items, kept, "e1").collect()} == {"2", "3"} and {r["item_id"] for r in vx.refresh(items, kept, "e1").collect()} == {"1", "2", "3"}
     assert vx.stale(items, kept, "e2").count() == 3
+
+
+def test_index_scores_like_the_scan(spark):
+    import random
+
+    from loomspark.operators import text as tx
+
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(["lease", "leases", "queue", "retry-queue", "the", "Ledger"]) for _ in range(rnd.randint(0, 12))) or None) for i in range(300)] + [(900, ""), (901, "x" * 50_000), (None, "lease")]
+    df = spark.createDataFrame([(*r, "t", 1) for r in rows], "id long, text string, term string, tf int")
+    index = tx.TextIndex(df, "id", "text")
+    known = df.filter("id is not null")
+    for query in ("lease", "lease queue", "lea* ledger", '"retry queue" the', "absent"):
+        clauses = tx.parse(query, "any")
+        want = {r["id"]: round(r["score"], 9) for r in tx.bm25(known, "text", clauses).collect()}
+        assert {r["id"]: round(r["score"], 9) for r in index.hits(clauses).collect()} == want, query
+    own = known.filter("id < 100")
+    assert {r["id"]: round(r["score"], 9) for r in index.hits(tx.parse("lease"), own).collect()} == {r["id"]: round(r["score"], 9) for r in tx.bm25(own, "text", tx.parse("lease")).collect()}
+    assert tx.TextIndex(df.limit(0), "id", "text").hits(tx.parse("lease")).count() == 0
