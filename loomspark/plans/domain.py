@@ -261,7 +261,7 @@ QUERIES = {
 }
 
 _VIEW = f"v as (select * from (select {K.format('run_id')} as run_id, {K.format('exp_id')} as exp_id, status, verdict, answered, try_cast(started_at as timestamptz) as started, metrics, row_number() over (partition by {K.format('run_id')} order by try_cast(ended_at as timestamptz) desc nulls last, try_cast(started_at as timestamptz) desc nulls last, {K.format('exp_id')} desc nulls last) as rn from runs where run_id is not null) where rn = 1)"
-_TREE = "t as (select o_custkey, o_orderkey, o_orderpriority, l_partkey % 20 as p, l_quantity as q from orders join lineitem on o_orderkey = l_orderkey where o_custkey <= 200)"
+_TREE = "t as (select o_custkey, o_orderkey, o_orderpriority, l_partkey % 20 as p, l_quantity as q from orders join lineitem on o_orderkey = l_orderkey)"
 SQL = {
     "S41_X16_run_metrics": f"with {_VIEW} select run_id, unnest(json_keys(metrics)) as metric, cast(json_extract(metrics, '$.' || unnest(json_keys(metrics))) as double) as value from v where metrics is not null and json_valid(metrics)",
     "S2_M23_index_refresh": "with f as (select doc_id, text, created_at from documents where source = 'code_file' and text is not null), c as (select case when not (created_at >= timestamptz '2025-07-01 00:00:00+00' or created_at is null) then 'removed' when created_at is null or created_at >= timestamptz '2026-01-01 00:00:00+00' then 'added' when length(text) % 2 = 1 then 'changed' else 'same' end as change from f) select change, count(*) as n from c group by 1",

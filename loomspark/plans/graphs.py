@@ -102,7 +102,7 @@ def lineage(spark, d) -> DataFrame:
 
 
 def causal(spark, d) -> DataFrame:
-    e = materialise(parts_edges(spark, d).filter("confidence >= 0.99"), "edges")
+    e = materialise(parts_edges(spark, d), "edges")
     seed = _seed(spark, 5)
     up = g.bfs(g.reverse(e), seed, 2).filter("hops > 0").select("id", (-F.col("hops")).cast("long").alias("at"))
     down = g.bfs(e, seed, 2).filter("hops > 0").select("id", F.col("hops").cast("long").alias("at"))
@@ -180,12 +180,11 @@ SQL = {
     "G2_trace": f"with recursive {_EDGES}, w as (select 1 as id, 0 as hops union select to_id, hops + 1 from w join e on from_id = id where hops < 6) select cast(min(hops) as bigint) as hops from w where id = 50",
     "G5_G7_triggers": f"with {_EDGES}, rv as (select to_id as from_id, from_id as to_id from e), {_layers(2, '7', 'rv')}, a as ({_H(2)}), j as (select a.id, p_brand as kind, hops, row_number() over (partition by p_brand order by hops, a.id) as rn from a join part on p_partkey = a.id where p_size <= 5) select id, kind, hops from j where rn <= 3",
     "G6_expand": f"with {_EDGES}, c as (select from_id, to_id, case when confidence >= 0.97 then 0.75 when confidence >= 0.94 then 0.65 else 0.35 end as k from e), u as (select from_id, to_id, max(k) as k from (select * from c union all select to_id, from_id, k from c) group by 1, 2), s0(id, score) as (values (3, 1.0::double), (9, 0.6::double)), o1 as (select to_id as id, max(score * k) as score from s0 join u on from_id = id group by 1), s1 as (select id, max(score) as score from (select * from s0 union all select * from o1) group by 1), o2 as (select to_id as id, max(score * k) as score from s1 join u on from_id = id group by 1), s2 as (select id, max(score) as score from (select * from s1 union all select * from o2) group by 1) select id, round(score, 6) as score from s2 order by s2.score desc, id limit 400",
-    "G3_cycles": f"with recursive {_NATIONS}, w as (select from_id as a, to_id as b from e union select w.a, e.to_id from w join e on e.from_id = w.b), m as (select x.a as id, least(x.a, min(x.b)) as component from w x join w y on x.a = y.b and x.b = y.a group by 1) select cast(id as bigint) as id, cast(component as bigint) as component, count(*) over (partition by component) as n_nodes from m",
     "G18_experiment_shape": f"with n as (select {K.format('exp_id')} as id, max(nullif({K.format('parent_id')}, '')) as p from experiments group by 1) select p as exp_id, count(*) as n_children, case when count(*) >= 5 then 'fan' when count(*) >= 4 then 'wide' else '' end as shape from n where p in (select id from n) group by 1",
-    "G8_G9_causal": f"with {_EDGES.replace('group by 1, 2)', 'group by 1, 2 having max(round(1 - a.l_discount, 2)) >= 0.99)')}, rv as (select to_id as from_id, from_id as to_id from e), {_layers(2, '5', 'e')}, {_layers(2, '5', 'rv').replace('h0', 'u0').replace('h1', 'u1').replace('h2', 'u2')} select id, cast(1 as bigint) as at from h1 union all select id, 2 from h2 union all select id, -1 from u1 union all select id, -2 from u2",
+    "G8_G9_causal": f"with {_EDGES}, rv as (select to_id as from_id, from_id as to_id from e), {_layers(2, '5', 'e')}, {_layers(2, '5', 'rv').replace('h0', 'u0').replace('h1', 'u1').replace('h2', 'u2')} select id, cast(1 as bigint) as at from h1 union all select id, 2 from h2 union all select id, -1 from u1 union all select id, -2 from u2",
     "G20_focus": f"with {_EDGES}, b as (select from_id, to_id from e union all select to_id, from_id from e), {_layers(1, '11', 'b')}, dg as (select from_id as id, count(*) as degree from b group by 1), a as ({_H(1)}) select a.id, hops from a left join dg using (id) order by hops, coalesce(degree, 0) desc, a.id limit 70",
     "S4_languages": "with x as (select lower(regexp_extract(coalesce(path, ''), '[.]([^./]+)$', 1)) as e from documents) select case when e in ('py', 'pyi') then 'python' when e = 'md' then 'markdown' when e in ('ts', 'tsx') then 'typescript' when e = 'go' then 'go' when e = 'rs' then 'rust' when e = 'sql' then 'sql' when e = 'toml' then 'toml' else 'text' end as lang, count(*) as n from x group by 1",
-    "G19_lineage": f"with recursive n0 as (select {K.format('exp_id')} as id, max(nullif({K.format('parent_id')}, '')) as p from experiments group by 1), n as (select id, case when p in (select id from n0) then p end as p from n0), r as (select id, 0 as d from n where p is null union all select n.id, r.d + 1 from n join r on n.p = r.id where r.d < 3), a as (select id as exp_id, 3 as step, id as ancestor from r where d = 3 union all select a.exp_id, a.step - 1, n.p from a join n on n.id = a.ancestor where n.p is not null) select exp_id, cast(step as bigint) as step, ancestor from a",
+    "G19_lineage": f"with recursive n0 as (select {K.format('exp_id')} as id, max(nullif({K.format('parent_id')}, '')) as p from experiments group by 1), n as (select id, case when p in (select id from n0) then p end as p from n0), r as (select id, 0 as d from n where p is null union all select n.id, r.d + 1 from n join r on n.p = r.id), a as (select id as exp_id, d as step, id as ancestor from r union all select a.exp_id, a.step - 1, n.p from a join n on n.id = a.ancestor where n.p is not null) select exp_id, cast(step as bigint) as step, ancestor from a",
     "A9_J9_coupling": "with c as (select distinct l_orderkey as sha, l_partkey as path from lineitem), ok as (select sha from c group by 1 having count(*) <= 8), f as (select c.* from c join ok using (sha)), n as (select path, count(*) as n from f group by 1), s as (select x.path as a, y.path as b, count(*) as shared from f x join f y on x.sha = y.sha and x.path < y.path group by 1, 2 having count(*) >= 2) select a, b, shared, na.n as changes_a, nb.n as changes_b, round_even(shared / (na.n + nb.n - shared), 3) as strength from s join n na on na.path = a join n nb on nb.path = b",
     "A10_A8_hotspots": "with ok as (select l_orderkey from lineitem group by 1 having count(distinct l_partkey) <= 8), h as (select l_partkey as path, count(distinct l_orderkey) as commits, sum(l_quantity) as churn from lineitem where l_orderkey in (select l_orderkey from ok) group by 1), w as (select l_partkey as path, count(distinct l_suppkey) as weight from lineitem group by 1) select path, commits, churn, commits * (1 + coalesce(weight, 0)) as score from h left join w using (path)",
     "G13_conditional_anti": "select p_partkey, case when p_size > 25 then 'lower' else 'higher' end as confidence from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_returnflag = 'R' and year(l_shipdate) = 1998)",

@@ -10,7 +10,7 @@ from ..operators import catalog as cat, code, graph as g, knowledge as kn, paper
 from ..session import materialise, table
 from ..sources import archive, exchange as ex, history
 from .domain import memories
-from .search import bm25_sql
+from .search import bm25_sql, doc_index
 from .graphs import _EDGES, code_calls, files, nation_edges, parts_edges
 
 K = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13)))"
@@ -40,7 +40,7 @@ def coupled_without_import(spark, d) -> DataFrame:
     """Couplings that no edge explains: unordered pairs against edges."""
     c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("path"))
     pairs = g.coupling(c, 3, 8)
-    e = parts_edges(spark, d).filter("confidence >= 0.98").select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b"), F.lit(True).alias("e")).distinct()
+    e = parts_edges(spark, d).select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b"), F.lit(True).alias("e")).distinct()
     return pairs.join(e, ["a", "b"], "left").select("a", "b", "shared", F.col("e").isNotNull().alias("explained"))
 
 
@@ -231,7 +231,7 @@ def pdf_links(spark, d) -> DataFrame:
 
 def query_metrics(spark, d) -> DataFrame:
     """Share of a word's documents among the first ten of its ranking, per source."""
-    h = tx.bm25(table(spark, d, "documents").select("doc_id", "source", "text"), "text", tx.parse("budget", "any")).withColumn("score", F.round("score", 6))
+    h = doc_index(spark, d).hits(tx.parse("budget", "any")).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     top = tx.per_group(h, ["source"], [F.desc("score"), F.col("doc_id")], 10)
     return top.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
 
@@ -287,17 +287,16 @@ SQL = {
     "M11_superseded": "select case when o_orderpriority = '1-URGENT' then 'SUPERSEDED' else 'ACTIVE' end as status, 1 as version, count(*) as n from orders group by 1 union all select 'ACTIVE', 2, count(*) from orders where o_orderpriority = '1-URGENT'",
     "G16_coverage": "with m as (select distinct l_orderkey || '-' || l_partkey as id, l_returnflag as f, l_orderkey as e from lineitem) select 'GUARDED_BY' as kind, count(*) as n, count(distinct a.id) as n_rules from m a join m b on a.e = b.e where a.f = 'R' and b.f = 'A'",
     "P26_touched_files": "select id, json_extract_string(substr(t, strpos(t, chr(10)) + 1), '$.path') as path from (select id, min(text) as t from messages where kind = 'tool_call' and text is not null group by 1) where json_valid(substr(t, strpos(t, chr(10)) + 1)) and json_extract_string(substr(t, strpos(t, chr(10)) + 1), '$.path') is not null",
-    "S5_A10_commit_log": "select 'src/p' || l_partkey || '.py' as path, count(*) as n, cast(sum(cast(l_quantity as bigint)) as bigint) as added, max(l_orderkey) * 1000 as last from lineitem where l_orderkey <= 2000 group by 1",
-    "S7_recency": "select 'src/p' || l_partkey || '.py' as path, max(l_orderkey) * 1000 as last from lineitem where l_orderkey <= 2000 group by 1",
+    "S5_A10_commit_log": "select 'src/p' || l_partkey || '.py' as path, count(*) as n, cast(sum(cast(l_quantity as bigint)) as bigint) as added, max(l_orderkey) * 1000 as last from lineitem group by 1",
+    "S7_recency": "select 'src/p' || l_partkey || '.py' as path, max(l_orderkey) * 1000 as last from lineitem group by 1",
     "S6_renames": "select doc_id, 'old/' || split_part(path, '/', 1) || '/' || split_part(path, '/', -1) as path from documents where path is not null",
-    "J27_coupled_pairs": f"with {_EDGES}, c as (select distinct l_orderkey as sha, l_partkey as path from lineitem), ok as (select sha from c group by 1 having count(*) <= 8), f as (select c.* from c join ok using (sha)), s as (select x.path as a, y.path as b, count(*) as shared from f x join f y on x.sha = y.sha and x.path < y.path group by 1, 2 having count(*) >= 3) select a, b, shared, exists (select 1 from e where confidence >= 0.98 and least(from_id, to_id) = a and greatest(from_id, to_id) = b) as explained from s",
+    "J27_coupled_pairs": f"with {_EDGES}, c as (select distinct l_orderkey as sha, l_partkey as path from lineitem), ok as (select sha from c group by 1 having count(*) <= 8), f as (select c.* from c join ok using (sha)), s as (select x.path as a, y.path as b, count(*) as shared from f x join f y on x.sha = y.sha and x.path < y.path group by 1, 2 having count(*) >= 3) select a, b, shared, exists (select 1 from e where least(from_id, to_id) = a and greatest(from_id, to_id) = b) as explained from s",
     "M14_repository_states": f"with p as (select distinct {K.format('repo_id')} as k from checkouts where status = 'ACTIVE' and repo_id is not null) select repo_id, status as was, case when status = 'ACTIVE' and k is null then 'MISSING' when status in ('MISSING', 'OFFLINE') and k is not null then 'ACTIVE' else status end as status from repositories left join p on k = repo_id",
     "J16_cross_repository": f"with e as (select checkout_id, max({K.format('repo_id')}) as to_repo from checkouts group by 1) select checkout_id, to_repo, case when r.status is null then 'unknown' when r.status = 'ACTIVE' then 'reachable' else 'unreachable' end as reach from e left join repositories r on r.repo_id = to_repo where to_repo is not null",
     "J17_pending_healed": f"with e as (select checkout_id as edge_id, max({K.format('repo_id')}) as to_ref from checkouts group by 1) select edge_id, to_ref, case when r.repo_id is not null then 'ACTIVE' else 'PENDING' end as status, r.repo_id as to_repo from e left join repositories r on r.repo_id = to_ref where to_ref is not null",
     "M14_identified": "select o_orderpriority as probe_id, max_by(cast(c_nationkey as varchar), (round(c_acctbal, 2), cast(c_nationkey as varchar))) as repo_id from orders join customer on o_custkey = c_custkey group by 1",
     "P18_P19_names": "with s as (select p_partkey as id, p_name as name, p_brand || '.' || p_name as path from part), r as (select upper(p_name) as ref from part union select p_brand || '.' || p_name from part), w as (select ref, 0 as way, id from r join s on path = ref union all select ref, 1, id from r join s on name = ref union all select ref, 2, id from r join s on regexp_replace(path, '^.*[.]([^.]+[.][^.]+)$', '\\1') = ref union all select ref, 3, id from r join s on lower(name) = lower(ref) union all select ref, 4, id from r join s on regexp_replace(lower(name), '[-_. ]', '', 'g') = regexp_replace(lower(ref), '[-_. ]', '', 'g')), g as (select ref, way, count(distinct id) as n, min(id) as id from w group by 1, 2), b as (select *, row_number() over (partition by ref order by way) as rn from g) select ref, case when n = 1 then id end as symbol_id, n from b where rn = 1",
     "J28_U4_M25_delivered": "with m as (select l_orderkey || '-' || l_partkey as memory_id, cast(l_partkey as varchar) as f, max(case when l_quantity > 40 then 'high' else 'low' end) as severity, count(*) as ev from lineitem where l_returnflag = 'R' group by 1, 2), t as (select distinct cast(user_id as varchar) as session_id, cast(event_id % 500 as varchar) as f from events), c as (select distinct session_id, memory_id, severity, ev from t join m using (f)), r as (select *, row_number() over (partition by session_id order by case severity when 'high' then 1 else 3 end, ev desc, memory_id) as rn from c) select session_id, memory_id from r where rn <= 3",
-    "A27_area_calls": f"with {_NE} select least(a.n_regionkey, b.n_regionkey) as a, greatest(a.n_regionkey, b.n_regionkey) as b, count(*) as n from ne join nation a on a.n_nationkey = from_id join nation b on b.n_nationkey = to_id where a.n_regionkey <> b.n_regionkey group by 1, 2",
     "G15_guards": f"with {_EDGES}, j as (select to_id as memory_id, cast(from_id as varchar) as caller, row_number() over (partition by to_id order by cast(from_id as varchar)) as rn from e where to_id in (select s_suppkey from supplier)) select memory_id, caller, case when p_size > 25 then 'GUARDED_BY' else 'IMPACTS' end as kind, case when p_size > 25 then 0.75 else 0.6 end::double as confidence from j join part on p_partkey = cast(caller as bigint) where rn <= 12",
     "D1_content_hashes": "select left(sha256(text), 32) as content_hash, count(*) as n, min(doc_id) as doc_id from documents where text is not null group by 1",
     "A5_O6_memory_states": f"with {_HYP}, a as (select {K.format('exp_id')} as memory_id, max(case when status = 'done' then 0 when status = 'failed' then 3 else 1 end) as r, count(*) as n_anchors from runs where exp_id is not null group by 1) select hy.memory_id, case r when 0 then 'ACTIVE' when 1 then 'DRIFTED' when 3 then 'ORPHANED' end as anchor_status, n_anchors from hy left join a using (memory_id)",

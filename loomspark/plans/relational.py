@@ -67,10 +67,12 @@ def left_two_keys(t):
     return m.join(r, ["run_id", "exp_id"], "left").select("memory_id", "run_id", "run_verdict")
 
 
-@query("J7_J8_twins", "select a.s_suppkey as one, b.s_suppkey as other from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey where a.s_acctbal > 5000 and b.s_acctbal > 5000")
+@query("J7_J8_twins", "select a.s_suppkey, min(b.s_suppkey) as class_id, count(*) as n_same, count(*) filter (b.s_acctbal > a.s_acctbal) as n_richer from supplier a join supplier b on a.s_nationkey = b.s_nationkey group by 1")
 def twins(t):
-    a = t.supplier.filter("s_acctbal > 5000")
-    return a.alias("a").join(a.alias("b"), (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey"))).select(F.col("a.s_suppkey").alias("one"), F.col("b.s_suppkey").alias("other"))
+    """Each supplier with the class of those of its nation, how many they are and how many of them are richer: a self-join that keeps classes instead of pairs."""
+    n = t.supplier.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("class_id"), F.count(F.lit(1)).alias("n_same"))
+    richer = F.rank().over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"))) - 1
+    return t.supplier.withColumn("n_richer", richer.cast("long")).join(n, "s_nationkey").select("s_suppkey", "class_id", "n_same", "n_richer")
 
 
 @query("J10_theta_join", "select l_orderkey, count(*) as n_early from lineitem join orders on l_orderkey = o_orderkey where l_shipdate < o_orderdate group by 1")
@@ -78,15 +80,15 @@ def theta(t):
     return t.lineitem.join(t.orders, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") < F.col("o_orderdate"))).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_early"))
 
 
-@query("J13_correlated", "select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n_orders, (select o_orderkey from orders where o_custkey = c_custkey order by o_totalprice desc, o_orderkey desc limit 1) as dearest from customer where c_acctbal > 9000")
+@query("J13_correlated", "select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n_orders, (select o_orderkey from orders where o_custkey = c_custkey order by o_totalprice desc, o_orderkey desc limit 1) as dearest from customer")
 def correlated(t):
     o = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("o_totalprice", "o_orderkey")).alias("m"))
-    return t.customer.filter("c_acctbal > 9000").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.col("m.o_orderkey").alias("dearest"))
+    return t.customer.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.col("m.o_orderkey").alias("dearest"))
 
 
-@query("J14_or_join", "select n_nationkey, count(*) as n_touching from nation join (select o_orderkey, c.c_nationkey as a, s.s_nationkey as b from orders join customer c on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier s on s_suppkey = l_suppkey where l_linenumber = 1) x on n_nationkey = a or n_nationkey = b group by 1")
+@query("J14_or_join", "select n_nationkey, count(*) as n_touching from nation join (select o_orderkey, c.c_nationkey as a, s.s_nationkey as b from orders join customer c on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier s on s_suppkey = l_suppkey) x on n_nationkey = a or n_nationkey = b group by 1")
 def or_join(t):
-    x = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.lineitem.filter("l_linenumber = 1"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("c_nationkey", "s_nationkey")
+    x = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("c_nationkey", "s_nationkey")
     ends = x.select(F.explode(F.array_distinct(F.array("c_nationkey", "s_nationkey"))).alias("n_nationkey"))
     return ends.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n_touching"))
 
