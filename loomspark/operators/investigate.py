@@ -146,3 +146,18 @@ def continue_from(frontier: DataFrame, focus: str) -> DataFrame:
     pieces = [p for p in tx.variants(focus.lower()) if p != f]
     grade = F.when(n == f, 4.0).when(n.startswith(f), 3.0).when(n.contains(f), 2.0).when(F.greatest(*[n.contains(p) for p in pieces], F.lit(False), F.lit(False)), 1.5).otherwise(0.5)
     return frontier.withColumn("grade", grade).orderBy(F.desc("grade"), F.desc("score"), "symbol_id")
+
+
+def several(stores: list[tuple[str, Store]], query: str, intent: str | None = None, most: int = 12) -> DataFrame:
+    """One question to several roots (name, store): their answers in one, sorted again, the best `most`."""
+    out = None
+    for root, s in stores:
+        one = investigate(s, query, intent)
+        one = one.select(F.lit(root).alias("root"), "symbol_id", *[F.col(c) if c in one.columns else F.lit(None).cast("string").alias(c) for c in ("name", "path")], "score")
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy(F.desc("score"), "root", "symbol_id").limit(most)
+
+
+def empty_result(query: str, intent: str | None = None) -> dict:
+    """The answer to a query that has no terms: the same fields as any answer, all empty, and a note why."""
+    return {"query": query, "intent": intent or tx.infer_intent(query), "terms": tx.query_terms(query), "capsules": [], "memories": [], "note": "the query has no terms to search for"}

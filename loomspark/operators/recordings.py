@@ -166,3 +166,70 @@ def cpu_profile(nodes: DataFrame, samples: DataFrame) -> DataFrame:
     total = on_path.select(F.explode("fs").alias("function"), "us").groupBy("function").agg(F.sum("us").alias("total_us"))
     mine = j.join(names.withColumnRenamed("nid", "id"), "id").groupBy("function").agg(F.sum("us").alias("self_us"))
     return total.join(mine, "function", "left").select("function", F.coalesce("self_us", F.lit(0)).alias("self_us"), "total_us")
+
+
+def tree_totals(nodes: DataFrame) -> DataFrame:
+    """(run, calls, nodes): all calls of a run's tree."""
+    return nodes.groupBy("run").agg(F.sum("calls").alias("calls"), F.count(F.lit(1)).alias("nodes"))
+
+
+def library_calls(calls: DataFrame, keep: int = 40) -> DataFrame:
+    """(run, node, label, n): calls of library functions (run, node, label, at) under the node that made them; a node keeps the `keep` labels it called first."""
+    n = calls.groupBy("run", "node", "label").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    return n.withColumn("rn", F.row_number().over(Window.partitionBy("run", "node").orderBy("first", "label"))).filter(F.col("rn") <= keep).select("run", "node", "label", "n")
+
+
+def error_events(errors: DataFrame, keep: int = 300) -> DataFrame:
+    """The first `keep` errors of each run (run, at, type, ...); exceptions that only end an iteration are none."""
+    real = errors.filter(~F.col("type").isin("GeneratorExit", "StopIteration", "StopAsyncIteration"))  # fixed values
+    return real.withColumn("rn", F.row_number().over(Window.partitionBy("run").orderBy("at"))).filter(F.col("rn") <= keep).drop("rn")
+
+
+def costliest_histories(changes: DataFrame, costs: DataFrame, keep: int = 25) -> DataFrame:
+    """(run, function, name, trail): how values went in the first call of each of the `keep` functions a run spent longest in.
+
+    changes: run, function, call, at, name, value; costs: run, function, total_ms.
+    """
+    top = costs.withColumn("rn", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("total_ms"), "function"))).filter(F.col("rn") <= keep).select("run", "function")
+    first = changes.groupBy("run", "function").agg(F.min(F.struct("at", "call")).alias("f")).select("run", "function", "f.call")
+    own = changes.join(first, ["run", "function", "call"]).join(top, ["run", "function"])
+    kept = value_changes(own.select(F.struct("run", "function").alias("call"), "name", "at", "value"))
+    return kept.groupBy("call", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda x: x["value"].cast("string")), " -> ").alias("trail")).select("call.run", "call.function", "name", "trail")
+
+
+def narrative(nodes: DataFrame, top: int = 15, children: int = 8) -> DataFrame:
+    """(run, step, path, calls, total_ms, n_children, called): what a run did: its `top` longest activities below the root, and of each the first `children` it called.
+
+    Functions that call themselves come once, as their tree is folded. `n_children` counts all, also those that are not named.
+    """
+    level = F.size("path")
+    acts = nodes.filter(level == 2).withColumn("step", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("total_ms"), "position"))).filter(F.col("step") <= top)
+    inner = nodes.filter(level == 3).select("run", F.slice("path", 1, 2).alias("path"), "position", F.element_at("path", -1).alias("callee"))
+    ranked = inner.withColumn("rn", F.row_number().over(Window.partitionBy("run", "path").orderBy("position")))
+    named = ranked.groupBy("run", "path").agg(F.count(F.lit(1)).alias("n_children"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= children, F.struct("rn", "callee")))), lambda x: x["callee"]), ", ").alias("called"))
+    return acts.join(named, ["run", "path"], "left").select("run", "step", F.element_at("path", -1).alias("activity"), "calls", "total_ms", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("called", F.lit("")).alias("called"))
+
+
+def output_difference(a: DataFrame, b: DataFrame, keep: int = 10) -> DataFrame:
+    """(side, at, line): the last `keep` lines (at, line) that only one of two runs printed; repeated lines stay repeated."""
+    one = lambda x, y, side: x.join(y.select("line").distinct(), "line", "left_anti").orderBy(F.desc("at")).limit(keep).select(F.lit(side).alias("side"), "at", "line")
+    return one(a, b, "only_a").unionByName(one(b, a, "only_b"))
+
+
+def observed(edges: DataFrame, symbols: DataFrame, runs: int = 3, callers: int = 8) -> DataFrame:
+    """(key, run, calls, called_by): for each symbol (key) the newest of the last `runs` recordings that ran it, and who called it there.
+
+    edges: run, caller, callee, calls. A symbol that none of them ran has calls 0 and the newest run; that is no proof it is unreachable.
+    """
+    last = edges.select("run").distinct().orderBy(F.desc("run")).limit(runs)
+    per = edges.join(last, "run").groupBy(F.col("callee").alias("key"), "run").agg(F.sum("calls").alias("calls"), F.slice(F.sort_array(F.collect_set("caller")), 1, callers).alias("called_by"))
+    best = per.filter("calls > 0").groupBy("key").agg(F.max(F.struct("run", "calls", "called_by")).alias("b"))
+    newest = last.agg(F.max("run").alias("newest"))  # one row
+    j = symbols.select("key").distinct().join(best, "key", "left").crossJoin(F.broadcast(newest)).filter("newest is not null")
+    return j.select("key", F.coalesce("b.run", "newest").alias("run"), F.coalesce("b.calls", F.lit(0)).alias("calls"), F.coalesce("b.called_by", F.array().cast("array<string>")).alias("called_by"))
+
+
+def run_list(recordings: DataFrame) -> DataFrame:
+    """(run, started, n_files): the runs of a folder's recordings (path = .../run/file), newest name last."""
+    parts = F.split("path", "/")
+    return recordings.select(F.element_at(parts, -2).alias("run"), "modified").groupBy("run").agg(F.min("modified").alias("started"), F.count(F.lit(1)).alias("n_files"))

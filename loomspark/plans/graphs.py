@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import code
 from ..operators import graph as g
 from ..operators import hierarchy
-from ..session import materialise, table
+from ..session import materialise, stored, table
 
 K = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13)))"
 
@@ -86,7 +86,17 @@ def code_calls(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def areas(spark, d) -> DataFrame:
-    return g.louvain(code_calls(spark, d)[1], min_size=2).select("id", "community")
+    return code_areas(spark, d)[2].select("id", "community")
+
+
+def code_areas(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(symbols, calls, communities) of the code's call graph, made once a session."""
+
+    def build():
+        s, e = code_calls(spark, d)
+        return s, e, materialise(g.louvain(e, min_size=2), "areas")
+
+    return stored(spark, d, "areas", build)
 
 
 def experiment_shape(spark, d) -> DataFrame:

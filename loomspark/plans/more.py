@@ -11,7 +11,7 @@ from ..session import materialise, table
 from ..sources import archive, exchange as ex, history
 from .domain import memories
 from .search import bm25_sql, doc_index
-from .graphs import _EDGES, code_calls, files, nation_edges, parts_edges
+from .graphs import _EDGES, code_areas, files, nation_edges, parts_edges
 
 K = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13)))"
 
@@ -81,21 +81,15 @@ def delivered(spark, d) -> DataFrame:
     return cat.deliver(m, a, t, spark.createDataFrame([], "session_id string, memory_id string"), 300, 4).select("session_id", "memory_id")
 
 
-def _code_areas(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(symbols, calls, communities) of the code's call graph."""
-    s, e = code_calls(spark, d)
-    return s, e, materialise(g.louvain(e, min_size=2), "areas")
-
-
 def area_table(spark, d) -> DataFrame:
-    s, _, c = _code_areas(spark, d)
+    s, _, c = code_areas(spark, d)
     n = s.join(files(spark, d).select(F.col("doc_id").cast("string").alias("file_id"), "path"), "file_id").select(F.col("symbol_id").alias("id"), "name", "path")
     return cat.areas(c, n).select("community", "n", "top_dir", F.array_join("members", ",").alias("members"))
 
 
 def calls_between(spark, d) -> DataFrame:
     """Calls between the areas of the code."""
-    _, e, c = _code_areas(spark, d)
+    _, e, c = code_areas(spark, d)
     return cat.area_calls(e, c)
 
 

@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX = 1 << 20
-
-
 def archive_key(provider: Column, surface: Column, identity: Column) -> Column:
     return F.concat(provider, F.lit("/"), F.substr(F.sha2(F.concat_ws("\x1f", provider, surface, identity), 256), F.lit(1), F.lit(24)))
 
 
 def prefix_hash(content: Column, length: Column) -> Column:
-    """sha256 of the first min(length, PREFIX) bytes."""
-
-    @F.pandas_udf("string")
-    def h(c: pd.Series, n: pd.Series) -> pd.Series:
-        import hashlib
-
-        return pd.Series([None if x is None else hashlib.sha256(bytes(x)[: min(int(k), PREFIX)]).hexdigest() for x, k in zip(c, n)])
-
-    return h(content, length)
+    """sha256 of the first `length` bytes: of all that was archived, so that a change anywhere in it is seen."""
+    return F.sha2(F.substring(content, F.lit(1), length.cast("int")), 256)
 
 
 def sync(archive: DataFrame, live: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
@@ -52,3 +41,21 @@ def prune(versions: DataFrame, keep: int) -> DataFrame:
     """The generations (key, generation) to delete: all but the newest `keep` of each key."""
     rn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("generation")))
     return versions.withColumn("rn", rn).filter(F.col("rn") > keep).drop("rn")
+
+
+def archived_sources(versions: DataFrame, live: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
+    """(key, generation, origin, live_path) of the archived copies as sources: 'archive' (its live file is there), 'archive_only' (it is
+    gone) or 'archive_version' (an older generation, a session of its own, without a live path).
+
+    versions: key, generation, live_path; live: path. Keys or live paths with a tombstone (target, mode 'exclude_all') give none, and
+    of several keys with one live path the first one counts.
+    """
+    if tombstones is not None:
+        out = tombstones.filter("mode = 'exclude_all'").select(F.lower("target").alias("_t")).distinct()
+        versions = versions.join(out, F.lower("key") == F.col("_t"), "left_anti").join(out, F.lower("live_path") == F.col("_t"), "left_anti")
+    newest = versions.groupBy("key").agg(F.max("generation").alias("newest"))
+    owner = versions.groupBy("live_path").agg(F.min("key").alias("owner"))
+    v = versions.join(newest, "key").join(owner, "live_path").join(live.select(F.col("path").alias("live_path"), F.lit(True).alias("there")).distinct(), "live_path", "left")
+    old = F.col("generation") < F.col("newest")
+    kept = v.filter(old | (F.col("key") == F.col("owner")))
+    return kept.select("key", "generation", F.when(old, "archive_version").when(F.col("there"), "archive").otherwise("archive_only").alias("origin"), F.when(~old, F.col("live_path")).alias("live_path"))
