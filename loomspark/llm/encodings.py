@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 BITS, SOURCES, ROUNDS = 18, 256, 4
+KNOWN = 200_000  # readings that a task keeps before it begins anew
 SURE = 2.0  # log odds from which a line counts as garbled
 FORM = 6.0  # log odds of one sequence of characters that spells valid UTF-8
 LOST = "�"
@@ -194,6 +195,10 @@ class Model:
             v = self._own[two] = math.log((self.pairs[_slot(a, b)] + 2 * one) / (self.pairs[_slot("", a)] + 2))
         return v
 
+    def forget(self) -> None:
+        """Empty the cache of probabilities."""
+        self._own.clear()
+
     def score(self, word: str) -> float:
         w = "\x02" + word + "\x03"
         return sum(self._p(w[i : i + 2]) for i in range(len(w) - 1))
@@ -238,7 +243,8 @@ def vocabulary(docs: DataFrame, text_col: str, source_col: str) -> DataFrame:
             yield b.assign(chains=[[x[0] for x in y] for y in r], meant=[[x[1] for x in y] for y in r], form=[[x[2] for x in y] for y in r])
 
     counted = docs.select(F.col(source_col).alias("source"), F.col(text_col).alias("text")).mapInPandas(run, "slot int, word string, n long").groupBy("slot", "word").agg(F.sum("n").alias("n"))
-    return materialise(counted.mapInPandas(read, "slot int, word string, n long, chains array<int>, meant array<string>, form array<double>"), "words")
+    spread = counted.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")  # small in bytes, but each word costs time: not to be merged into one task
+    return materialise(spread.mapInPandas(read, "slot int, word string, n long, chains array<int>, meant array<string>, form array<double>"), "words")
 
 
 def fit(vocab: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -318,6 +324,9 @@ def detect(docs: DataFrame, id_col: str, text_col: str, source_col: str, model:
         m, known = shared.value, {}
         for b in batches:
             out = []
+            if len(known) > KNOWN:  # a cache of bounded size
+                known.clear()
+                m.forget()
             for i, source, text in zip(b["doc_id"], b["source"], b["text"]):
                 if not isinstance(text, str) or (text.isascii() and "&" not in text):
                     continue

@@ -61,6 +61,11 @@ class Network:
             total += step
 
 
+def members_of(pattern: str) -> list[str]:
+    """The sources of a membership pattern, which stand between bars; a bar in a name is written as a unit separator."""
+    return [x.replace("\x1f", "|") for x in pattern.split("|")]
+
+
 def route(patterns: dict[str, int], quotas: dict[str, int], repeats: dict[str, int]) -> tuple[int, dict[str, dict[str, int]]]:
     """(tokens routed, pattern -> source -> tokens). The r-th use of a pattern's tokens costs r * r."""
     names, sources = sorted(patterns), sorted(quotas)
@@ -68,7 +73,7 @@ def route(patterns: dict[str, int], quotas: dict[str, int], repeats: dict[str, i
     at = {p: 2 + i for i, p in enumerate(names)} | {("s", s): 2 + len(names) + i for i, s in enumerate(sources)}
     edges = {}
     for p in names:
-        members = [s for s in p.split("|") if s in quotas]
+        members = [s for s in members_of(p) if s in quotas]
         for r in range(1, max((repeats[s] for s in members), default=0) + 1):
             net.add(0, at[p], patterns[p], r * r)
         for s in members:
@@ -85,14 +90,14 @@ def route(patterns: dict[str, int], quotas: dict[str, int], repeats: dict[str, i
 
 def quotas_for(patterns: dict[str, int], shares: dict[str, float], repeats: dict[str, int], total: int | None = None) -> dict[str, int]:
     """Tokens for each source that has any. Without `total`, the most that can be had at the target shares within the repeats."""
-    there = {s: w for s, w in shares.items() if w > 0 and any(s in p.split("|") for p in patterns)}
+    there = {s: w for s, w in shares.items() if w > 0 and any(s in members_of(p) for p in patterns)}
     if not there:
         return {}
     whole = sum(there.values())
     split = lambda t: {s: int(t * w / whole) for s, w in there.items()}
     if total is not None:
         return split(total)
-    lo, hi = 0, int(min(sum(n for p, n in patterns.items() if s in p.split("|")) * repeats[s] / (w / whole) for s, w in there.items()))
+    lo, hi = 0, int(min(sum(n for p, n in patterns.items() if s in members_of(p)) * repeats[s] / (w / whole) for s, w in there.items()))
     if route(patterns, split(hi), repeats)[0] == sum(split(hi).values()):
         return split(hi)
     while hi - lo > max(1, hi // 100_000):
@@ -108,13 +113,16 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total: int | None =
     (the lowest id); one in several sources is one that may be counted to each of them, within that source's repeats.
     Documents without tokens, without a source or of a source without a target are not chosen. A target without documents
     gets nothing and the others share its part; targets named twice count with the highest share.
-    Shares: (source_name, target_share, actual_share, n_tokens, n_documents, most_repeats) of all targets.
+    Shares: (source_name, target_share, actual_share, n_tokens, n_documents, most_repeats, n_copies) of all targets; n_copies
+    counts the documents that are copies of another one of their source, and so can't be chosen.
     """
     wanted = {r["source_name"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.filter("source_name is not null").groupBy("source_name").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).collect()}  # the table of targets is small and given
     repeats = {s: r for s, (_, r) in wanted.items()}
     of = docs.filter(F.col("source").isin(list(wanted)) & (F.col("n_tokens") > 0))
-    texts = of.groupBy("h", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("members"), F.max("n_tokens").alias("n_tokens"))
-    texts = materialise(texts.select(F.array_join("members.source", "|").alias("pattern"), "members", "n_tokens", F.concat_ws("-", F.hex(F.xxhash64(F.lit(seed), "h.a")), F.hex("h.a"), F.hex("h.b")).alias("place")), "mix_texts")
+    once = of.groupBy("h", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.count_distinct("doc_id").alias("n"))
+    copies = once.groupBy(F.col("source").alias("source_name")).agg(F.sum(F.col("n") - 1).alias("n_copies"))
+    texts = once.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("members"), F.max("n_tokens").alias("n_tokens"))
+    texts = materialise(texts.select(F.array_join(F.transform("members.source", lambda x: F.replace(x, F.lit("|"), F.lit("\x1f"))), "|").alias("pattern"), "members", "n_tokens", F.concat_ws("-", F.hex(F.xxhash64(F.lit(seed), "h.a")), F.hex("h.a"), F.hex("h.b")).alias("place")), "mix_texts")
     patterns = {r[0]: r[1] for r in texts.groupBy("pattern").agg(F.sum("n_tokens")).collect()}  # at most 2 ^ sources
     quotas = quotas_for(patterns, {s: w for s, (w, _) in wanted.items()}, repeats, total)
     _, flows = route(patterns, quotas, repeats)
@@ -134,5 +142,16 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total: int | None =
     sums = chosen.groupBy("source_name").agg(F.sum(F.col("n_repeats") * F.col("n_tokens")).alias("n_tokens"), F.count(F.lit(1)).alias("n_documents"), F.max("n_repeats").alias("most_repeats"))
     whole = sums.agg(F.sum("n_tokens").alias("whole"))
     goal = spark.createDataFrame([(s, float(w)) for s, (w, _) in wanted.items()], "source_name string, target_share double")
-    shares = goal.join(sums, "source_name", "left").join(F.broadcast(whole)).select("source_name", "target_share", (F.coalesce("n_tokens", F.lit(0)) / F.col("whole")).alias("actual_share"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
+    shares = goal.join(sums, "source_name", "left").join(copies, "source_name", "left").join(F.broadcast(whole)).select("source_name", "target_share", (F.coalesce("n_tokens", F.lit(0)) / F.col("whole")).alias("actual_share"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
     return chosen, shares
+
+
+def violations(chosen: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """What a right mix has none of, for each target: documents used more often than they may be, of another source, chosen twice, or with other tokens."""
+    most = targets.filter("source_name is not null").groupBy("source_name").agg(F.max("max_repeats").alias("most"))
+    d = docs.select("doc_id", F.col("source").alias("own"), F.col("n_tokens").alias("size"))
+    c = chosen.groupBy("doc_id", "source_name").agg(F.sum("n_repeats").alias("used"), F.count(F.lit(1)).alias("rows"), F.max("n_tokens").alias("n_tokens"))
+    j = c.join(d, "doc_id", "left").join(F.broadcast(most), "source_name", "left")  # the table of targets is small and given
+    per = j.groupBy("source_name").agg(F.sum((F.col("used") > F.col("most")).cast("long")).alias("n_too_often"), F.sum((~F.col("own").eqNullSafe(F.col("source_name"))).cast("long")).alias("n_foreign"), F.sum((F.col("rows") > 1).cast("long")).alias("n_twice"), F.sum((~F.col("size").eqNullSafe(F.col("n_tokens"))).cast("long")).alias("n_missized"))
+    names = ["n_too_often", "n_foreign", "n_twice", "n_missized"]
+    return most.select("source_name").join(per, "source_name", "left").select("source_name", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])

@@ -475,3 +475,29 @@ def redact(messages: DataFrame, found: DataFrame, id_col: str = "id", text_col:
                 yield pd.DataFrame(out, columns=["message_id", "text"])
 
     return m.join(spans, F.col("message_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("message_id", "text", "spans").mapInPandas(run, "message_id long, text string")
+
+
+def altered(messages: DataFrame, redacted: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(n_rows, n_altered): rows, and those whose redacted text is not its text with pieces taken out: what stands between placeholders must be in the text, in order."""
+    marks = re.compile("|".join(re.escape(p) for p in PLACEHOLDER.values()))
+
+    def run(batches):
+        for b in batches:
+            bad = 0
+            for text, red in b[["text", "red"]].itertuples(index=False, name=None):
+                if not isinstance(text, str) or not isinstance(red, str):
+                    bad += isinstance(text, str) != isinstance(red, str)
+                    continue
+                at, pieces = 0, marks.split(red)
+                for k, piece in enumerate(pieces):
+                    at = text.find(piece, at) if k else (0 if text.startswith(piece) else -1)
+                    if at < 0:
+                        break
+                    at += len(piece)
+                bad += at < 0 or not text.endswith(pieces[-1])
+            yield pd.DataFrame({"n": [len(b)], "bad": [bad]})
+
+    one = messages.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).groupBy("i").agg(F.count(F.lit(1)).alias("c"), F.min("text").alias("text"))
+    red = redacted.groupBy(F.col("message_id").alias("j")).agg(F.count(F.lit(1)).alias("c2"), F.min("text").alias("red"))
+    j = one.filter("c = 1").join(red, F.col("i").eqNullSafe(F.col("j")), "left").select("text", "red")  # repeated ids can't be told apart
+    return j.mapInPandas(run, "n long, bad long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_altered")).filter("n_rows > 0")

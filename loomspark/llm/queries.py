@@ -39,6 +39,11 @@ def p4_redacted(spark, d) -> DataFrame:
     return pii.redact(messages, pii.find(messages, table(spark, d, "name_roster")))
 
 
+def p4_altered(spark, d) -> DataFrame:
+    messages = table(spark, d, "messages")
+    return pii.altered(messages, p4_redacted(spark, d))
+
+
 def _packed(spark, d) -> tuple[DataFrame, dict[str, int]]:
     sized = materialise(tokens.with_sizes(table(spark, d, "documents").select("doc_id", "text"), "text"), "sizes")
     containers = {r[0]: r[1] for r in table(spark, d, "container_sizes").filter("capacity_tokens > 0").collect()}  # a fixed table
@@ -53,11 +58,17 @@ def p8_fill(spark, d) -> DataFrame:
     return packing.fill(*_packed(spark, d))
 
 
-def _mixed(spark, d) -> tuple[DataFrame, DataFrame]:
+def p8_violations(spark, d) -> DataFrame:
+    sized = materialise(tokens.with_sizes(table(spark, d, "documents").select("doc_id", "text"), "text"), "sizes")
+    containers = {r[0]: r[1] for r in table(spark, d, "container_sizes").filter("capacity_tokens > 0").collect()}  # a fixed table
+    return packing.violations(materialise(packing.pack(sized, containers), "packed"), sized, containers)
+
+
+def _mixed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "source", text_hash(F.col("text")).alias("h"), "text")
     flat = docs.select("doc_id", "source", F.col("h.a").alias("a"), F.col("h.b").alias("b"), "text")
     sized = materialise(tokens.with_sizes(flat, "text"), "sizes").select("doc_id", "source", F.struct("a", "b").alias("h"), "n_tokens")
-    return mixing.mix(sized, table(spark, d, "mix_targets"))
+    return *mixing.mix(sized, table(spark, d, "mix_targets")), sized
 
 
 def p9_mix(spark, d) -> DataFrame:
@@ -68,6 +79,11 @@ def p9_shares(spark, d) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p9_violations(spark, d) -> DataFrame:
+    chosen, _, sized = _mixed(spark, d)
+    return mixing.violations(chosen, sized, table(spark, d, "mix_targets"))
+
+
 def _garbled(spark, d, with_text: bool) -> DataFrame:
     docs = table(spark, d, "documents")
     model = enc.fit(enc.vocabulary(docs, "text", "source"))
@@ -78,6 +94,13 @@ def p10_found(spark, d) -> DataFrame:
     return _garbled(spark, d, False).select("doc_id")
 
 
+def p10_untouched(spark, d) -> DataFrame:
+    """Documents of plain ASCII without character references, which can't be garbled, and how many of them are reported."""
+    plain = table(spark, d, "documents").filter("text is not null and octet_length(text) = length(text) and not contains(text, '&')").select("doc_id")
+    found = _garbled(spark, d, False).select("doc_id", F.lit(1).alias("hit"))
+    return plain.join(found, "doc_id", "left").agg(F.count(F.lit(1)).alias("n_plain"), F.count("hit").alias("n_reported")).filter("n_plain > 0")
+
+
 def p10_repaired(spark, d) -> DataFrame:
     return _garbled(spark, d, True)
 
@@ -89,8 +112,12 @@ nx as (select k, s, lead(s) over w as n1, lead(case when s <> 'O' then s end ign
 rep as (select k, bool_or(s = 'U') and bool_or(s = 'A') and not bool_or(s = 'U' and coalesce(n1, '') <> 'U' and coalesce(n2, '') <> 'A') as ok from nx group by k),
 verdict as (select k, case when d.k is null then 'empty' when not coalesce(d.ok, false) then 'broken' when not coalesce(rep.ok, false) then 'no_reply' end as reason from (select k from m union select {KEY.format('session_key')} from sessions where session_key is not null) a left join dense d using (k) left join rep using (k))"""
 
-QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted, "p7_found": p7_found, "p7_reasons": p7_reasons, "p7_conversations": p7_conversations, "p8_assignment": p8_assignment, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_repaired": p10_repaired}
+QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted, "p4_altered": p4_altered, "p7_found": p7_found, "p7_reasons": p7_reasons, "p7_conversations": p7_conversations, "p8_assignment": p8_assignment, "p8_fill": p8_fill, "p8_violations": p8_violations, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_violations": p9_violations, "p10_found": p10_found, "p10_untouched": p10_untouched, "p10_repaired": p10_repaired}
 SQL = {
+    "p4_altered": "select count(*) as n_rows, cast(0 as bigint) as n_altered from (select id from messages group by id having count(*) = 1)",
+    "p8_violations": "select container_name, (select count(*) from documents) as n_items, cast(0 as bigint) as n_over, cast(0 as bigint) as n_wrong, cast(0 as bigint) as n_split from container_sizes where capacity_tokens > 0",
+    "p9_violations": "select source_name, cast(0 as bigint) as n_too_often, cast(0 as bigint) as n_foreign, cast(0 as bigint) as n_twice, cast(0 as bigint) as n_missized from mix_targets where source_name is not null group by 1",
+    "p10_untouched": "select count(*) as n_plain, cast(0 as bigint) as n_reported from documents where text is not null and strlen(text) = length(text) and not contains(text, '&')",
     "p7_found": f"with {_MSG} select k as session_key from verdict where reason is not null",
     "p7_reasons": f"with {_MSG} select coalesce(reason, 'kept') as reason, count(*) as n_conversations from verdict group by 1",
     "p7_conversations": f"with {_MSG} select k as session_key, cast(ordinal as bigint) as position, role, kind, text from m join verdict using (k) where reason is null",

@@ -76,3 +76,18 @@ def test_mix_meets_shares_within_repeats(spark):
 def test_flow_prefers_few_repeats():
     total, got = mixing.route({"a": 10, "a|b": 10, "b": 10}, {"a": 15, "b": 15}, {"a": 3, "b": 3})
     assert total == 30 and got["a"]["a"] == 10 and got["b"]["b"] == 10 and sum(got["a|b"].values()) == 10
+
+
+def test_names_with_bars_and_checkers(spark):
+    docs = spark.createDataFrame([(i, "a|b" if i % 2 else "c", (f"t{i}", "x"), 10) for i in range(20)] + [(90 + i, "c", (f"t{2 * i}", "x"), 10) for i in range(3)], "doc_id long, source string, h struct<a: string, b: string>, n_tokens long")
+    targets = spark.createDataFrame([("a|b", 0.5, 2), ("c", 0.5, 2), ("none", 0.0, 1)], "source_name string, target_share double, max_repeats int")
+    chosen, shares = mixing.mix(docs, targets)
+    assert {r["source_name"] for r in chosen.collect()} == {"a|b", "c"}
+    assert {r["source_name"]: r["n_copies"] for r in shares.collect()} == {"a|b": 0, "c": 3, "none": 0}
+    assert all(sum(tuple(r)[1:]) == 0 for r in mixing.violations(chosen, docs, targets).collect())
+    wrong = chosen.unionByName(chosen.limit(1))
+    assert sum(r["n_twice"] for r in mixing.violations(wrong, docs, targets).collect()) == 1
+    items = spark.createDataFrame([(i, s) for i, s in enumerate([0, 3, 4, 5, 5, 7, 12, 25])], "doc_id long, n_tokens long")
+    packed = packing.pack(items, {"ten": 10})
+    assert tuple(packing.violations(packed, items, {"ten": 10}).first()) == ("ten", 8, 0, 0, 0)
+    assert tuple(packing.violations(packed.filter("doc_id <> 2"), items, {"ten": 10}).filter("container_name = 'ten'").first())[1:4] != (8, 0, 0) or packing.violations(packed.filter("doc_id <> 2"), items, {"ten": 10}).agg({"n_wrong": "sum"}).first()[0] > 0
