@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 from .state import ANCHOR_RANK, SEVERITY, SEVERITY_ORDER, lookup, rank_of, worst
 
 DUPLICATE, NEAR, EXTENDS, RELATED, CONVERGENT = 0.8, 0.5, 0.45, 0.28, 0.5
@@ -36,6 +38,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def _rare_tokens(claims: DataFrame, col: str, least: float) -> DataFrame:
+    """(memory_id, token): of each claim's tokens the rarest, so many that two claims alike by `least` must have one of them in common."""
+    t = claims.select("memory_id", F.size(col).alias("n"), F.explode(col).alias("token"))
+    seen = t.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    r = t.join(seen, "token").withColumn("rn", F.row_number().over(Window.partitionBy("memory_id").orderBy("df", "token")))
+    return r.filter(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("memory_id", F.concat(F.lit(f"{col} "), "token").alias("token"))
+
+
 def related(memories: DataFrame, scope: DataFrame) -> DataFrame:
     """(a, b, similarity, relation) of memories about a common target.
 
@@ -46,8 +56,12 @@ def related(memories: DataFrame, scope: DataFrame) -> DataFrame:
     """
     m = memories.withColumns({"t": claim_tokens(F.col("claim")), "w": F.array_distinct(F.regexp_extract_all(F.lower("claim"), F.lit("[a-z]{4,}"), 0)), "neg": F.col("claim").rlike(NEGATION)})
     one = m.join(restatements(memories).filter("memory_id = class_id").select("memory_id"), "memory_id", "left_semi")
-    side = lambda s: one.join(scope, "memory_id").select("target", *[F.col(c).alias(f"{s}_{c}") for c in ("memory_id", "kind", "claim", "event_id", "t", "w", "neg")])
-    p = side("a").join(side("b"), "target").filter("a_memory_id < b_memory_id").drop("target").dropDuplicates(["a_memory_id", "b_memory_id"])
+    one = materialise(one.select("memory_id", "kind", "claim", "event_id", "t", "w", "neg"), "claims")
+    rare = _rare_tokens(one, "w", min(RELATED, EXTENDS)).unionByName(_rare_tokens(one, "t", min(DUPLICATE, NEAR)))
+    at = rare.join(scope.select("memory_id", "target").distinct(), "memory_id")
+    pairs = at.select("target", "token", F.col("memory_id").alias("a_memory_id")).join(at.select("target", "token", F.col("memory_id").alias("b_memory_id")), ["target", "token"]).filter("a_memory_id < b_memory_id").select("a_memory_id", "b_memory_id").distinct()
+    side = lambda s: one.select(*[F.col(c).alias(f"{s}_{c}") for c in ("memory_id", "kind", "claim", "event_id", "t", "w", "neg")])
+    p = pairs.join(side("a"), "a_memory_id").join(side("b"), "b_memory_id")
     s, overlap = jaccard(F.col("a_t"), F.col("b_t")), jaccard(F.col("a_w"), F.col("b_w"))
     same_kind, same_event = F.col("a_kind") == F.col("b_kind"), F.coalesce(F.col("a_event_id") == F.col("b_event_id"), F.lit(False))
     short = F.least(F.size("a_t"), F.size("b_t")) < 3

@@ -157,7 +157,9 @@ def export_stats(spark, d) -> DataFrame:
 
 
 def export_round_trip(spark, d) -> DataFrame:
-    n, e = ex.read_bundle(spark, ex.write_bundle(*_export(spark, d)))
+    at = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    ex.write_parts(*_export(spark, d), at)
+    n, e = ex.read_parts(spark, at)
     return ex.stats(n, e)
 
 
@@ -180,7 +182,7 @@ def delivered_once(spark, d) -> DataFrame:
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     e.repartitionByRange(3, "event_id").write.parquet(f"{at}/in")
     s = jobs.once(jobs.read_events(spark, f"{at}/in", e.schema), ["user_id", "event_type"], "ts", "60 days")
-    return jobs.run_to_table(s, f"once_{uuid.uuid4().hex}", f"{at}/cp").select("user_id", "event_type")
+    return jobs.run_to_table(s, f"{at}/out", f"{at}/cp").select("user_id", "event_type")
 
 
 def _index(spark, d) -> ix.CodeIndex:

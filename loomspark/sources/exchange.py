@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODES, EDGES = "id string, kind string, label string, body string, status string", "from_id string, to_id string, kind string, confidence double"
+PAGE = 50_000
 _TAIL = re.compile(r"<!-- graph\n(.*?)\n-->", re.S)
 
 
@@ -35,8 +36,20 @@ def merge(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame])
     return n1.unionByName(n2.join(n1.select("id"), "id", "left_anti").select(*n1.columns)), e1.unionByName(e2.join(e1.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti").select(*e1.columns))
 
 
+def write_parts(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """A graph of any size as JSON lines in `folder`/nodes and /edges, written by the executors."""
+    nodes.select(*[c.split()[0] for c in NODES.split(", ")]).write.mode("overwrite").json(f"{folder}/nodes")
+    edges.select(*[c.split()[0] for c in EDGES.split(", ")]).write.mode("overwrite").json(f"{folder}/edges")
+
+
+def read_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.schema(NODES).json(f"{folder}/nodes"), spark.read.schema(EDGES).json(f"{folder}/edges")
+
+
 def to_markdown(nodes: DataFrame, edges: DataFrame) -> str:
-    """A readable document with the graph itself as JSON at its end. A file for people: the graph passes through the driver row by row."""
+    """A readable document with the graph itself as JSON at its end. A file for people: of more than PAGE rows it is an error; `write_parts` takes any."""
+    if nodes.limit(PAGE + 1).count() + edges.limit(PAGE + 1).count() > PAGE:
+        raise ValueError(f"a page holds {PAGE} nodes and edges at most; write parts instead")
     n = [r.asDict() for r in nodes.orderBy("kind", "id").toLocalIterator()]
     e = [r.asDict() for r in edges.orderBy("from_id", "to_id", "kind").toLocalIterator()]
     out, kind = [], None

@@ -53,8 +53,8 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         jobs.sync(s, str(tmp_path / "out"), str(tmp_path / "cp"), ["user"], "ts").awaitTermination()
     assert {(r["user"], r["id"]) for r in jobs.newest(spark, str(tmp_path / "out")).collect()} == {(0, 27), (1, 28), (2, 29)}
-    assert jobs.run_to_table(jobs.once(s, ["user"], "ts", "1 day"), "once_test", str(tmp_path / "cp2")).count() == 3
-    w = jobs.run_to_table(jobs.tumbling(s, "ts", "10 minutes", "1 minute", ["user"], "v"), "win_test", str(tmp_path / "cp3"))
+    assert jobs.run_to_table(jobs.once(s, ["user"], "ts", "1 day"), str(tmp_path / "once"), str(tmp_path / "cp2")).count() == 3
+    w = jobs.run_to_table(jobs.tumbling(s, "ts", "10 minutes", "1 minute", ["user"], "v"), str(tmp_path / "win"), str(tmp_path / "cp3"))
     assert w.agg(F.sum("n")).first()[0] in (10, 20)  # the last windows are still open
     f = str(tmp_path / "lease")
     assert jobs.lease(spark, f, "a", 100.0) and not jobs.lease(spark, f, "b", 120.0) and jobs.lease(spark, f, "b", 200.0)
