@@ -72,8 +72,8 @@ def resolve(nodes: DataFrame, span: int | None = None) -> DataFrame:
     at_once = F.when(F.col("ptr").isNull(), "root").when(inside, "open").otherwise("away")
     first = nodes.select("key", "node", F.floor(F.col("node") / span).alias("part"), F.col("parent").alias("ptr"), *kept, "run", "depth", "preset")
     state = colocated(first.withColumn("state", F.coalesce("preset", at_once)).drop("preset"), ["key", "part"], "chains")
-    parts, before = [], None
-    while n := state.filter("state = 'open'").count():
+    parts, before, n = [], None, state.filter("state = 'open'").count()
+    while n:
         if n == before:  # each round ends some chain, if any has an end
             state = state.withColumn("state", F.when(F.col("state") == "open", "circle").otherwise(F.col("state")))
             break
@@ -85,7 +85,8 @@ def resolve(nodes: DataFrame, span: int | None = None) -> DataFrame:
             state3 = F.when(F.col("state") != "open", F.col("state")).when(F.col("state2").isNull(), "orphan").when(~jumped, F.col("state2"))
             j = j.select("key", "node", "part", F.when(jumped, F.col("ptr2")).otherwise(F.col("ptr")).alias("ptr"), *kept, F.when(jumped, _then("run2", "run")).otherwise(F.col("run")).alias("run"), (F.col("depth") + F.when(jumped, F.col("depth2")).otherwise(0)).alias("depth"), state3.alias("state"))
             j = j.withColumn("state", F.coalesce("state", at_once)).withColumn("_open", F.max(F.col("state") == "open").over(Window.partitionBy("key", "part")))
-            written = colocated(j, ["key", "part"], "chains", moved=False)
+            written = colocated(j, ["key", "part"], "chains", moved=False, tally=F.col("state") == "open")
+        n = written.tallied
         parts.append(written.filter("not _open").drop("_open"))
         state = written.filter("_open").drop("_open")
     done = state
