@@ -40,15 +40,16 @@ def subtree_sizes(links: DataFrame) -> DataFrame:
     what they name, are shuffled.
     """
     state = colocated(links.select("id", "parent", "orphan", F.col("parent").alias("anc"), F.coalesce("parent", "id").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("size")), ["id"], "links")
-    open_before = None
-    while (still := state.filter(F.col("anc").isNotNull()).count()) and still != open_before:
+    open_before, still = None, state.filter(F.col("anc").isNotNull()).count()
+    while still and still != open_before:
         open_before = still
         below = state.filter(F.col("anc").isNotNull()).groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("below"))
         moved = _jump(state, ["anc", "root", "depth"], still)
         jumped = state.join(moved, "id", "left").join(below, "id", "left").select(
             "id", "parent", "orphan", F.col("anc2").alias("anc"), F.coalesce("root2", "root").alias("root"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("size") + F.coalesce("below", F.lit(0))).alias("size"),
         )
-        last, state = state, colocated(jumped, ["id"], "links", moved=False)
+        last, state = state, colocated(jumped, ["id"], "links", moved=False, tally=F.col("anc").isNotNull())
+        still = state.tallied
         drop_materialised(last)
     bad = F.col("anc").isNotNull()
     return state.select("id", "parent", "orphan", *[F.when(~bad, F.col(c)).alias(c) for c in ("root", "depth", "size")], bad.alias("in_cycle"))
@@ -64,11 +65,13 @@ def nested_sets(sized: DataFrame) -> DataFrame:
     tree = sized.filter(~F.col("in_cycle"))
     shares = running_total(tree.filter(F.col("parent").isNotNull()).select("id", "parent", "size"), ["parent"], "id", F.col("size"), "before").select("id", (F.col("before") + 1).alias("lft"))
     state = colocated(tree.join(shares, "id", "left").select(*tree.columns, F.coalesce("lft", F.lit(0)).alias("lft"), F.col("id").alias("path"), F.col("parent").alias("anc")), ["id"], "nested")
-    while still := state.filter(F.col("anc").isNotNull()).count():
+    still = state.filter(F.col("anc").isNotNull()).count()
+    while still:
         jumped = state.join(_jump(state, ["anc", "lft", "path"], still), "id", "left").select(
             *tree.columns, (F.col("lft") + F.coalesce("lft2", F.lit(0))).alias("lft"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat_ws("/", "path2", "path")).alias("path"), F.col("anc2").alias("anc"),
         )
-        last, state = state, colocated(jumped, ["id"], "nested", moved=False)
+        last, state = state, colocated(jumped, ["id"], "nested", moved=False, tally=F.col("anc").isNotNull())
+        still = state.tallied
         drop_materialised(last)
     done = state.drop("anc").withColumn("rgt", F.col("lft") + F.col("size") - 1)
     rest = sized.filter("in_cycle")

@@ -88,12 +88,9 @@ class Ledger:
     def _write(self, df: DataFrame, base: int, moved: bool = False) -> None:
         """Write generation base + 1. Two writers on the same base make tables of their own, and only the first to commit holds."""
         t = colocated(df.select(*_COLS), ["key"], "gen", moved=moved, folder=f"{self.root}/tables")
-        name = t.inputFiles()[0].split("/tables/", 1)[1].split("/", 1)[0] if t.inputFiles() else ""
-        if not name or not self._create(f"g{base + 1}", name):
+        if not self._create(f"g{base + 1}", t.made[1].rsplit("/", 1)[1]):
             drop_materialised(t)
-            if name:
-                raise RuntimeError(f"generation {base + 1} exists: another writer was first")
-            return
+            raise RuntimeError(f"generation {base + 1} exists: another writer was first")
         self._tables[base + 1] = t
         old = self._tables.pop(base - 1, None)
         if old is not None:

@@ -57,10 +57,17 @@ def phrase_documents(spark, d) -> DataFrame:
 
 
 def postings_documents(spark, d) -> DataFrame:
-    p = tx.postings(table(spark, d, "documents"), "doc_id", "text")
+    """Builds the index of the documents, unless it is there, and adds its postings up."""
+    p = doc_index(spark, d).postings
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.min(F.get("positions", F.lit(0))).cast("long").alias("first_pos"))
 
 
+def postings_messages(spark, d) -> DataFrame:
+    """The same for the messages: how many terms, postings and tokens their index has."""
+    p = message_index(spark, d).postings
+    return p.agg(F.count_distinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"))
+
+
 def fuzzy_terms(spark, d) -> DataFrame:
     v = tx.vocabulary(table(spark, d, "documents"), "text")
     out = None
@@ -173,7 +180,7 @@ def hashed_encoding(spark, d) -> DataFrame:
 
 
 QUERIES = {
-    "F8_bm25_documents": bm25_documents, "W2_F5_min_max_top120": bm25_top, "F3_F9_phrase_and_prefix": phrase_documents, "F4_inverted_index": postings_documents, "F10_D12_fuzzy_variants": fuzzy_terms, "F7_fuzzy_fallback": fuzzy_memories,
+    "F8_bm25_documents": bm25_documents, "W2_F5_min_max_top120": bm25_top, "F3_F9_phrase_and_prefix": phrase_documents, "F4_inverted_index": postings_documents, "F4_message_index": postings_messages, "F10_D12_fuzzy_variants": fuzzy_terms, "F7_fuzzy_fallback": fuzzy_memories,
     "F12_W3_message_search": message_search, "F11_expanded_search": message_search_fuzzy, "F13_recall": recall, "F14_snippets": snippets, "J11_W8_context": message_context, "W4_budget": budgeted, "V6_W1_rrf": rrf, "F22_grep": grep_documents, "F1_F2_F18_query_shapes": query_shapes,
     "V3_O4_cosine_topk": cosine_topk, "V5_semantic_seeds": semantic_seeds, "A16_retrieval_metrics": retrieval_metrics, "V4_letter_histogram": hashed_encoding,
 }
@@ -185,6 +192,7 @@ SQL = {
     "W2_F5_min_max_top120": f"with {bm25_sql('documents', 'text', [' retry ', ' queue ', ' lease '], 'doc_id, text')}, top as (select doc_id, round(score, 6) as s from scored order by s desc, doc_id limit 120) select doc_id, round(case when max(s) over () = min(s) over () then 1.0 else (s - min(s) over ()) / (max(s) over () - min(s) over ()) end, 6) as lex from top",
     "F3_F9_phrase_and_prefix": f"with n as (select doc_id, {_N} as n from documents) select doc_id, cast((length(n) - length(replace(n, ' import  resolver ', ''))) / 18 as bigint) as n_phrase, cast((length(n) - length(replace(n, '  ', ''))) / 2 + 1 as bigint) as n_tokens from n where contains(n, ' import  resolver ') and contains(n, ' graph')",
     "F4_inverted_index": "with t as (select doc_id, unnest(l) as term, unnest(range(len(l))) as pos from (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as l from documents)), p as (select term, doc_id, count(*) as tf, min(pos) as first from t group by 1, 2) select term, count(*) as df, cast(sum(tf) as bigint) as cf, min(first) as first_pos from p group by 1",
+    "F4_message_index": f"with {_MSG}, t as (select id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as term from m) select count(distinct term) as n_terms, count(distinct (term, id)) as n_postings, count(*) as n_tokens from t where term <> ''",
     "F10_D12_fuzzy_variants": "with v as (select term, count(*) as n from (select unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as term from documents) where term <> '' group by 1), q(word, b) as (values ('resolver', 2), ('fragmant', 2), ('leese', 1), ('cat', 0)), c as (select word, term, levenshtein(term, word) as distance, n from q join v on left(term, 1) = left(word, 1) and length(term) between length(word) - b and length(word) + b and term <> word where levenshtein(term, word) <= b) select word, term, distance, n from (select *, row_number() over (partition by word order by distance, n desc, term) as rn from c) where rn <= 12",
     "F12_W3_message_search": f"with {_MSG}, {bm25_sql('m', 'text', [' baseline ', ' loss '], 'id, session_key, ordinal, kind, text')}, h as (select id, session_key, ordinal, round(score, 6) as score from scored where tf0 > 0 and tf1 > 0 and kind = 'message'), r as (select *, row_number() over (partition by session_key order by score desc, id) as rn from h) select id, session_key, ordinal, score from r where rn <= 3 order by score desc, id limit 20",
     "F13_recall": f"with {_MSG}, own as (select distinct lower(trim(session_key, ' ' || chr(9) || chr(10) || chr(13))) as k from sessions where repo_root like '/srv/work/u1%' or cwd like '/srv/work/u1%'), mm as (select * from m where session_key in (select k from own)), {bm25_sql('mm', 'text', [' ranking ', ' baseline ', ' cause '], 'id, session_key, kind, text')}, h as (select id, session_key, round(score, 6) as score from scored where kind in ('message', 'summary')), r as (select *, row_number() over (partition by session_key order by score desc, id) as rn from h) select id, session_key, score from r where rn <= 2 order by score desc, id limit 5",

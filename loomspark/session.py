@@ -10,7 +10,8 @@ import uuid
 import zipfile
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _MADE: list[tuple[SparkSession, str, str | None]] = []  # (session, path, name of its table)
 
@@ -61,20 +62,30 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def colocated(df: DataFrame, by: list[str], label: str = "stage", buckets: int | None = None, split: str | None = None, moved: bool = True, folder: str | None = None) -> DataFrame:
+def colocated(df: DataFrame, by: list[str], label: str = "stage", buckets: int | None = None, split: str | None = None, moved: bool = True, folder: str | None = None, tally: Column | None = None) -> DataFrame:
     """Like materialise, but rows are kept in buckets of `by` (as many as shuffle partitions), so that joins and groups on
     those columns between such tables need no shuffle. `split` names a column whose values get a folder each.
 
-    `moved`: bring the rows to their buckets first, one file a bucket; false for what was joined from such tables.
+    `moved`: bring the rows to their buckets first, one file a bucket; false for what was joined from such tables. `tally` counts
+    the rows that meet a condition as they are written (the attribute `tallied` of what comes back); rows must not be moved then,
+    as only the tasks that write count once however often they are tried.
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"{label}_{uuid.uuid4().hex}"
     path = f"{folder or shared_dir(spark)}/{name}"
+    seen = None
+    if tally is not None:
+        if moved:
+            raise ValueError("rows that move can't be tallied")
+        seen = Observation()
+        df = df.observe(seen, F.count(F.when(tally, 1)).alias("n"))
     w = (df.repartition(n, *by) if moved else df).write.format("parquet").bucketBy(n, *by).sortBy(*by).option("path", path)
     (w.partitionBy(split) if split else w).saveAsTable(name)
     _MADE.append((spark, path, name))
-    return spark.table(name)
+    out = spark.table(name)
+    out.made, out.tallied = _MADE[-1], seen.get["n"] if seen is not None else None
+    return out
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build):
@@ -125,6 +136,12 @@ def ship(spark: SparkSession) -> None:
 
 def drop_materialised(df: DataFrame) -> None:
     """Delete the written tables that df reads; only for intermediates nobody reads any more."""
+    made = df.__dict__.get("made")
+    if made is not None:
+        if made in _MADE:
+            _delete(*made)
+            _MADE.remove(made)
+        return
     folders = {f.rsplit("/", 1)[0] + "/" for f in df.inputFiles()}
     for x in [m for m in _MADE if any(m[1].split("://")[-1].lstrip("/") + "/" in f for f in folders)]:
         _delete(*x)

@@ -10,7 +10,7 @@ def read_events(spark: SparkSession, folder: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-BUCKETS = 64
+BUCKETS = 16
 
 
 def sync(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: str, interval: str | None = None, buckets: int = BUCKETS):
