@@ -69,7 +69,7 @@ def _calls(node) -> list[str]:
                 out.append(re.sub(r"\s", "", ast.unparse(n.func)))
             except Exception:  # an expression too deep to print
                 continue
-    return [c for c in out if re.fullmatch(r"[\w.]+", c)][:200]
+    return [c for c in out if re.fullmatch(r"[\w.]+", c)]
 
 
 def _types(node) -> dict[str, list[str]]:
@@ -139,7 +139,7 @@ def extract(text: str) -> tuple[list[dict], list[dict], str]:
     top = [n for n in tree.body if not isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Import, ast.ImportFrom))]
     calls = [c for n in top for c in _calls(n)]
     if calls:
-        out.append({"name": "<module>", "symbol_path": "<module>", "kind": "module", "line_start": 1, "line_end": len(rows), "signature": "", "decorators": [], "calls": calls[:200], "types": {}, **fingerprints("\n".join(ast.unparse(n) for n in top))})
+        out.append({"name": "<module>", "symbol_path": "<module>", "kind": "module", "line_start": 1, "line_end": len(rows), "signature": "", "decorators": [], "calls": calls, "types": {}, **fingerprints("\n".join(ast.unparse(n) for n in top))})
     return out, imports_of(tree), "tree"
 
 
@@ -153,7 +153,7 @@ def _by_tags(rows: list[str]) -> tuple[list[dict], list[dict], str]:
         end = next((j for j in range(i + 1, len(rows)) if rows[j].strip() and len(rows[j]) - len(rows[j].lstrip()) <= depth), len(rows))
         body = "\n".join(rows[i:end]).rstrip()
         calls = [c for c in re.findall(r"(?<![\w.])(\w+(?:\.\w+)*)\(", "\n".join(rows[i + 1 : end])) if c not in ("if", "for", "while", "return", "print")]
-        out.append({"name": name, "symbol_path": name, "kind": "function", "line_start": i + 1, "line_end": i + body.count("\n") + 1, "signature": rows[i].strip()[:200], "decorators": [], "calls": calls[:200], "types": {}, **fingerprints(body)})
+        out.append({"name": name, "symbol_path": name, "kind": "function", "line_start": i + 1, "line_end": i + body.count("\n") + 1, "signature": rows[i].strip()[:200], "decorators": [], "calls": calls, "types": {}, **fingerprints(body)})
     return out, [{"module": m, "level": 0, "raw": r.strip(), "probe": False, "deferred": False} for r in rows for m in re.findall(r"^(?:from|import)\s+([\w.]+)", r)], "tags"
 
 
