@@ -62,7 +62,8 @@ def resolve(nodes: DataFrame, span: int | None = None) -> DataFrame:
     `end` is 'root' (then `depth` counts the links to it and `run` is the transition of all rows from the root to the node),
     'orphan' (the chain of parents names a node that isn't there) or 'circle' (it never ends). (key, node) must be unique.
     Each round joins the open rows with the rows their pointers name, within stretches of `span` nodes; rounds grow with the
-    logarithm of the longest chain in a stretch, and stretches without open rows drop out.
+    logarithm of the longest chain in a stretch, and stretches without open rows drop out. No round sends
+    rows through the driver, and one scan reads what all rounds wrote, so that plans don't grow with their number.
     """
     span, spark = span or BLOCK, nodes.sparkSession
     kept = [c for c in nodes.columns if c not in ("key", "node", "parent", "run", "depth", "preset")]
@@ -72,29 +73,29 @@ def resolve(nodes: DataFrame, span: int | None = None) -> DataFrame:
     at_once = F.when(F.col("ptr").isNull(), "root").when(inside, "open").otherwise("away")
     first = nodes.select("key", "node", F.floor(F.col("node") / span).alias("part"), F.col("parent").alias("ptr"), *kept, "run", "depth", "preset")
     state = colocated(first.withColumn("state", F.coalesce("preset", at_once)).drop("preset"), ["key", "part"], "chains")
-    parts, before, n = [], None, state.filter("state = 'open'").count()
-    while n:
-        if n == before:  # each round ends some chain, if any has an end
-            state = state.withColumn("state", F.when(F.col("state") == "open", "circle").otherwise(F.col("state")))
-            break
+    n, n_away = state.agg(*[F.count(F.when(F.col("state") == s, 1)) for s in ("open", "away")]).first()
+    rounds, before = [], None
+    while n and n != before:  # each round ends some chain, if any has an end
         before = n
         with joins_in_place(spark):
             to = state.select("key", "part", F.col("node").alias("at"), *[F.col(c).alias(f"{c}2") for c in ("ptr", "run", "depth", "state")])
-            j = state.withColumn("at", F.when(F.col("state") == "open", F.col("ptr"))).join(to, ["key", "part", "at"], "left")
+            j = state.withColumn("at", F.when(F.col("state") == "open", F.col("ptr"))).join(to.hint("merge"), ["key", "part", "at"], "left")  # a broadcast would go through the driver
             jumped = F.col("state2").isin("root", "open", "away")
             state3 = F.when(F.col("state") != "open", F.col("state")).when(F.col("state2").isNull(), "orphan").when(~jumped, F.col("state2"))
             j = j.select("key", "node", "part", F.when(jumped, F.col("ptr2")).otherwise(F.col("ptr")).alias("ptr"), *kept, F.when(jumped, _then("run2", "run")).otherwise(F.col("run")).alias("run"), (F.col("depth") + F.when(jumped, F.col("depth2")).otherwise(0)).alias("depth"), state3.alias("state"))
             j = j.withColumn("state", F.coalesce("state", at_once)).withColumn("_open", F.max(F.col("state") == "open").over(Window.partitionBy("key", "part")))
             written = colocated(j, ["key", "part"], "chains", moved=False, tally=F.col("state") == "open")
         n = written.tallied
-        parts.append(written.filter("not _open").drop("_open"))
+        rounds.append(written)
         state = written.filter("_open").drop("_open")
     done = state
-    for x in parts:
-        done = done.unionByName(x)
+    if rounds:
+        done = spark.read.schema(rounds[0].schema).parquet(*[x.made[1] for x in rounds]).filter("not _open").drop("_open")
+    if n:
+        done = done.unionByName(state.withColumn("state", F.when(F.col("state") == "open", "circle").otherwise(F.col("state"))))
     cols = ["key", "node", *kept, "run", "depth"]
     away = done.filter("state = 'away'")
-    if not away.limit(1).count():
+    if not n_away:  # no row gets away later that wasn't at first
         return done.select(*cols, F.col("state").alias("end"))
     heads = done.join(away.select("key", F.col("ptr").alias("node")).distinct(), ["key", "node"], "left_semi")
     preset = F.when(F.col("state").isin("orphan", "circle"), F.col("state"))

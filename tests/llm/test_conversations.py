@@ -85,3 +85,23 @@ def test_parents_of_any_kind(spark, monkeypatch):
     df = spark.createDataFrame([(k, n, p, conv.OTHER) for (k, n), p in parents.items()], "key string, node long, parent long, own int")
     got = {(r["key"], r["node"]): (r["end"], r["depth"] if r["end"] == "root" else None) for r in conv.resolve(df).collect()}
     assert got == want and {e for e, _ in want.values()} == {"root", "circle", "orphan"}
+
+
+def test_rounds_spare_the_driver(spark, monkeypatch):
+    """Rounds join in place without broadcasts, and the plan of what they found is as large after many rounds as after few."""
+    real, rounds, leaves = conv.colocated, [], []
+
+    def spy(df, *a, **k):
+        if not k.get("moved", True):
+            rounds[-1].append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *a, **k)
+
+    monkeypatch.setattr(conv, "colocated", spy)
+    for n in (4, 200):
+        rounds.append([])
+        df = spark.createDataFrame([("k", i, i - 1 if i else None, conv.OTHER) for i in range(n)], "key string, node long, parent long, own int")
+        got = conv.resolve(df)
+        assert {(r["node"], r["end"], r["depth"]) for r in got.collect()} == {(i, "root", i) for i in range(n)}
+        leaves.append(got._jdf.queryExecution().analyzed().collectLeaves().size())
+    assert len(rounds[1]) > len(rounds[0]) > 1 and leaves[0] == leaves[1]
+    assert all("SortMergeJoin" in p and "Exchange" not in p for p in rounds[0] + rounds[1])
