@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 # Languages by file extension.
 LANGUAGES = {"py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "sql": "sql", "toml": "toml", "md": "markdown", "sh": "bash"}
 # How much each way of resolving a call is trusted, strongest first.
@@ -200,41 +202,57 @@ def resolve_imports(specs: DataFrame, files: DataFrame) -> DataFrame:
     return hit.groupBy("from_id", "to_id").agg(F.min("deferred").alias("deferred"))
 
 
+def _candidates(keys: DataFrame) -> DataFrame:
+    """(scope, word, n, lo, hi): how many symbols a key has, the least and the greatest of them. keys: scope, word, to_id."""
+    return keys.filter("scope is not null and word is not null").groupBy("scope", "word").agg(F.count_distinct("to_id").alias("n"), F.min("to_id").alias("lo"), F.max("to_id").alias("hi"))
+
+
 def resolve_calls(syms: DataFrame, file_imports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, unresolved) of all calls: every way of resolving gives its candidates in one union of equi-joins, and a call
-    takes the strongest way that has exactly one candidate other than the caller.
+    """(edges, unresolved) of all calls: a call takes the strongest way of resolving that has exactly one candidate other than the caller.
+
+    A call asks for keys (a path, a name in a file, a name), one or more for each way, and each key has its candidates summed
+    up in one row: their number, the least and the greatest. These tell whether there is just one besides the caller, so calls
+    never meet the symbols themselves, of which a common name has as many as it has calls.
 
     edges: from_id, to_id, confidence, edge_class, tier, edge_id. unresolved: from_id, leaf, callee, reason ('external': no
     symbol has that name; 'ambiguous': some have), candidates.
     """
     dot = F.split("callee", r"\.")
     owner = F.when(F.col("symbol_path").contains("."), F.regexp_extract("symbol_path", r"^(.*)\.[^.]*$", 1))
-    calls = syms.select(F.col("symbol_id").alias("from_id"), "file_id", owner.alias("owner"), "types", F.explode(F.array_distinct("calls")).alias("callee"))
-    calls = calls.select("from_id", "file_id", "owner", "types", "callee", F.element_at(dot, -1).alias("leaf"), F.when(F.size(dot) > 1, F.element_at(dot, -2)).alias("receiver")).withColumn("call", F.xxhash64("from_id", "callee"))
-    path = syms.select(F.col("symbol_path").alias("want"), F.col("symbol_id").alias("to_id"))
-    name = syms.select(F.col("name").alias("leaf"), F.col("symbol_id").alias("to_id"), F.col("file_id").alias("to_file"))
-    inner = file_imports.filter(~F.col("to_id").startswith("extern:")).select(F.col("from_id").alias("file_id"), F.col("to_id").alias("to_file"))
-    at = ["call", "from_id"]
-    t0 = calls.filter(F.col("receiver").isin("self", "this", "cls") & F.col("owner").isNotNull()).withColumn("want", F.concat_ws(".", "owner", "leaf")).join(path, "want").select(*at, F.lit(0).alias("tier"), "to_id")
-    t1 = calls.filter("receiver is not null").withColumn("want", F.concat_ws(".", "receiver", "leaf")).join(path, "want").select(*at, F.lit(1).alias("tier"), "to_id")
-    fields = syms.filter("kind = 'method' or kind = 'class'").select(F.when(F.col("kind") == "class", F.col("symbol_path")).otherwise(owner).alias("owner"), F.explode("types").alias("n", "ts")).filter(F.col("n").startswith("self.")).select("owner", F.expr("substring(n, 6)").alias("receiver"), F.explode("ts").alias("type"))
-    own = calls.filter("receiver is not null").select(*at, "leaf", F.explode(F.element_at("types", F.col("receiver"))).alias("type"))
-    fld = calls.filter("receiver is not null and owner is not null").join(fields, ["owner", "receiver"]).select(*at, "leaf", "type")
-    t2 = own.unionByName(fld).withColumn("want", F.concat_ws(".", "type", "leaf")).join(path, "want").select(*at, F.lit(2).alias("tier"), "to_id")
-    named = calls.join(name, "leaf")
-    modules = inner.join(syms.select(F.col("file_id").alias("to_file"), F.regexp_extract("file_id", r"([^/]+?)(?:\.[^./]+)?$", 1).alias("receiver")).distinct(), "to_file")
-    t3 = named.join(modules, ["file_id", "to_file", "receiver"]).select(*at, F.lit(3).alias("tier"), "to_id")
-    t4 = named.filter("file_id = to_file").select(*at, F.lit(4).alias("tier"), "to_id")
-    t5 = named.join(inner, ["file_id", "to_file"]).select(*at, F.lit(5).alias("tier"), "to_id")
-    t6 = named.select(*at, F.lit(6).alias("tier"), "to_id")
-    every = t0.unionByName(t1).unionByName(t2).unionByName(t3).unionByName(t4).unionByName(t5).unionByName(t6)
-    one = every.filter("to_id <> from_id").groupBy("call", "tier").agg(F.count_distinct("to_id").alias("n"), F.min("to_id").alias("to_id"))
-    best = one.filter("n = 1").groupBy("call").agg(F.min(F.struct("tier", "to_id")).alias("b"))
+    calls = syms.select(F.col("symbol_id").alias("from_id"), "file_id", "name", owner.alias("owner"), "types", F.explode(F.array_distinct("calls")).alias("callee"))
+    calls = calls.select("from_id", "file_id", "name", "owner", "types", "callee", F.element_at(dot, -1).alias("leaf"), F.when(F.size(dot) > 1, F.element_at(dot, -2)).alias("receiver"))
+    in_file = lambda file: F.concat(F.lit("file "), file)
+    key = lambda tier, scope, word: F.struct(F.lit(tier).alias("tier"), (F.lit(scope) if isinstance(scope, str) else scope).alias("scope"), word.alias("word"))
+    keep = ["from_id", "callee", (F.col("name") == F.col("leaf")).alias("own")]  # own: the caller is one of those that have the name
+    inner = file_imports.filter(~F.col("to_id").startswith("extern:")).select(F.col("from_id").alias("file_id"), F.col("to_id").alias("to_file")).distinct()
+    fields = syms.filter("kind = 'method' or kind = 'class'").select(F.when(F.col("kind") == "class", F.col("symbol_path")).otherwise(owner).alias("owner"), F.explode("types").alias("n", "ts")).filter(F.col("n").startswith("self.")).select("owner", F.expr("substring(n, 6)").alias("receiver"), F.explode("ts").alias("type")).distinct()
+    received = F.col("receiver").isNotNull()
+    own = F.transform(F.coalesce(F.element_at("types", F.col("receiver")), F.array().cast("array<string>")), lambda t: key(2, "path", F.concat_ws(".", t, "leaf")))
+    one_each = F.array(
+        key(6, "name", F.col("leaf")),
+        key(4, in_file(F.col("file_id")), F.col("leaf")),
+        F.when(F.col("receiver").isin("self", "this", "cls") & F.col("owner").isNotNull(), key(0, "path", F.concat_ws(".", "owner", "leaf"))),
+        F.when(received, key(1, "path", F.concat_ws(".", "receiver", "leaf"))),
+    )
+    asked = calls.select(*keep, F.explode(F.concat(F.array_compact(one_each), F.when(received, own).otherwise(F.array().cast("array<struct<tier:int,scope:string,word:string>>")))).alias("k"))
+    asked = asked.unionByName(calls.join(fields, ["owner", "receiver"]).select(*keep, key(2, "path", F.concat_ws(".", "type", "leaf")).alias("k")))
+    modules = inner.withColumn("receiver", F.regexp_extract("to_file", r"([^/]+?)(?:\.[^./]+)?$", 1))
+    asked = asked.unionByName(calls.join(modules, ["file_id", "receiver"]).select(*keep, key(3, in_file(F.col("to_file")), F.col("leaf")).alias("k")))
+    asked = asked.unionByName(calls.join(inner, "file_id").select(*keep, key(5, in_file(F.col("to_file")), F.col("leaf")).alias("k")))
+    found = _candidates(syms.select(F.col("symbol_id").alias("to_id"), F.explode(F.array(F.struct(F.lit("path").alias("scope"), F.col("symbol_path").alias("word")), F.struct(F.lit("name").alias("scope"), F.col("name").alias("word")), F.struct(in_file(F.col("file_id")).alias("scope"), F.col("name").alias("word")))).alias("k")).select("k.scope", "k.word", "to_id"))
+    met = asked.select("from_id", "callee", "own", "k.*").join(found, ["scope", "word"], "left").filter("tier = 6 or n is not null")
+    few, lo, hi = F.col("n") <= 2, F.when(F.col("lo") != F.col("from_id"), F.col("lo")), F.when(F.col("hi") != F.col("from_id"), F.col("hi"))
+    met = met.select("from_id", "callee", "tier", "own", "n", F.when(few, F.coalesce(lo, hi)).alias("lo"), F.when(few, F.coalesce(hi, lo)).alias("hi")).repartition("from_id")
+    per = met.groupBy("from_id", "callee", "tier").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n"), F.max("own").alias("own"), F.count(F.lit(1)).alias("copies"))
+    sole = F.when((F.col("n") <= 2) & (F.col("lo") == F.col("hi")), F.struct("tier", F.col("lo").alias("to_id")))
+    named = lambda c: F.max(F.when(F.col("tier") == 6, c))
+    others = F.col("n") - F.when(F.col("own"), 1).otherwise(0)
+    j = materialise(per.groupBy("from_id", "callee").agg(F.min(sole).alias("b"), named(F.nullif(others, F.lit(0))).alias("candidates"), named(F.col("copies")).alias("copies")), "calls")
     table = F.array(*[F.struct(F.lit(n).alias("tier"), F.lit(k).alias("edge_class"), F.lit(c).alias("confidence")) for n, k, c in TIERS])
-    j = calls.join(best, "call", "left").join(one.filter("tier = 6").select("call", F.col("n").alias("candidates")), "call", "left")
     e = j.filter("b is not null").select("from_id", F.col("b.to_id").alias("to_id"), F.get(table, F.col("b.tier")).alias("t")).select("from_id", "to_id", "t.tier", "t.edge_class", "t.confidence")
     edges = e.groupBy("from_id", "to_id").agg(F.max(F.struct("confidence", "edge_class", "tier")).alias("m")).select("from_id", "to_id", "m.confidence", "m.edge_class", "m.tier", F.xxhash64("from_id", "to_id").alias("edge_id"))
-    missed = j.filter("b is null").select("from_id", "leaf", "callee", F.when(F.col("candidates").isNull(), "external").otherwise("ambiguous").alias("reason"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    each = j.filter("b is null").select("from_id", "callee", "candidates", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))  # a symbol that is there twice misses its calls twice
+    missed = each.select("from_id", F.element_at(dot, -1).alias("leaf"), "callee", F.when(F.col("candidates").isNull(), "external").otherwise("ambiguous").alias("reason"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
     return edges, missed
 
 

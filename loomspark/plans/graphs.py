@@ -11,6 +11,8 @@ from ..operators import hierarchy
 from ..session import materialise, stored, table
 
 K = "lower(trim({}, ' ' || chr(9) || chr(10) || chr(13)))"
+# What the resolution of calls reads of symbols.
+CALLING = ["file_id", "symbol_id", "name", "symbol_path", "kind", "calls", "types"]
 
 
 def parts_edges(spark, d) -> DataFrame:
@@ -81,7 +83,7 @@ def cycles(spark, d) -> DataFrame:
 
 def code_calls(spark, d) -> tuple[DataFrame, DataFrame]:
     """The symbols of the code files, and the calls resolved between them."""
-    s = _symbols(spark, d)
+    s = _symbols(spark, d, *CALLING)
     return s, materialise(code.resolve_calls(s, spark.createDataFrame([], "from_id string, to_id string, deferred boolean"))[0], "edges")
 
 
@@ -138,8 +140,8 @@ def files(spark, d) -> DataFrame:
     return table(spark, d, "documents").filter("source = 'code_file' and text is not null").select(F.col("doc_id"), F.coalesce("path", F.lit("")).alias("path"), "text")
 
 
-def _symbols(spark, d) -> DataFrame:
-    return materialise(code.symbols(files(spark, d), "doc_id", "text"), "symbols")
+def _symbols(spark, d, *columns: str) -> DataFrame:
+    return materialise(code.symbols(files(spark, d), "doc_id", "text").select(*(columns or ["*"])), "symbols")
 
 
 def symbol_table(spark, d) -> DataFrame:
@@ -151,19 +153,19 @@ def language_counts(spark, d) -> DataFrame:
 
 
 def call_graph(spark, d) -> DataFrame:
-    s = _symbols(spark, d)
+    s = _symbols(spark, d, *CALLING)
     none = spark.createDataFrame([], "from_id string, to_id string, deferred boolean")
     return code.resolve_calls(s, none)[0].select("from_id", "to_id", "tier", "confidence")
 
 
 def call_outcomes(spark, d) -> DataFrame:
-    s = _symbols(spark, d)
+    s = _symbols(spark, d, *CALLING)
     edges, missed = code.resolve_calls(s, spark.createDataFrame([], "from_id string, to_id string, deferred boolean"))
     return edges.groupBy(F.col("tier").alias("outcome")).agg(F.count(F.lit(1)).alias("n")).unionByName(missed.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def dead_code(spark, d) -> DataFrame:
-    s = _symbols(spark, d)
+    s = _symbols(spark, d, *CALLING, "decorators")
     edges, missed = code.resolve_calls(s, spark.createDataFrame([], "from_id string, to_id string, deferred boolean"))
     nodes = s.join(files(spark, d).select(F.col("doc_id").cast("string").alias("file_id"), "path"), "file_id").select(F.col("symbol_id").alias("id"), "name", "path", "kind", "symbol_path")
     entries = g.entry_points(s.join(files(spark, d).select(F.col("doc_id").cast("string").alias("file_id"), "path"), "file_id").select(F.col("symbol_id").alias("id"), "name", "symbol_path", "path", "decorators"))

@@ -182,3 +182,25 @@ def test_index_scores_like_the_scan(spark):
     own = known.filter("id < 100")
     assert {r["id"]: round(r["score"], 9) for r in index.hits(tx.parse("lease"), own).collect()} == {r["id"]: round(r["score"], 9) for r in tx.bm25(own, "text", tx.parse("lease")).collect()}
     assert tx.TextIndex(df.limit(0), "id", "text").hits(tx.parse("lease")).count() == 0
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_calls_of_a_common_name_do_not_meet_its_symbols(spark):
+    n = 500
+    files = spark.createDataFrame([(f"d{i:03}/a.py", f"def get(x):\n    return put(x)\ndef only{i}(x):\n    return get(x)\n") for i in range(n)] + [("z/b.py", "def put(x):\n    return put(x)\ndef ask(x):\n    return get(x)\ndef out(x):\n    return gone(x)\n")], "file_id string, text string")
+    s = code.symbols(files, "file_id", "text").localCheckpoint()
+    before = shuffled_rows(spark)
+    edges_, missed = code.resolve_calls(s, spark.createDataFrame([], "from_id string, to_id string, deferred boolean"))
+    assert edges_.groupBy("tier").count().collect() and missed.count() == 3
+    assert shuffled_rows(spark) - before < 30 * s.count()
+    name = {r["symbol_id"]: r["name"] for r in s.collect()}
+    got = [(name[r["from_id"]], name[r["to_id"]], r["tier"]) for r in edges_.collect()]
+    assert got.count(("get", "put", "unique_global")) == n and sum(t == "same_file" for _, _, t in got) == n and len(got) == 2 * n
+    assert {(r["leaf"], r["reason"], r["candidates"]) for r in missed.collect()} == {("put", "external", 0), ("get", "ambiguous", n), ("gone", "external", 0)}
