@@ -64,7 +64,10 @@ class CodeIndex:
 
     def compare(self, files: DataFrame) -> DataFrame:
         """(file_id, change) of files (file_id, path, text): 'added', 'changed', 'removed' or 'same' against the newest generation."""
-        now = self._listed(files).select("file_id", "sha")
+        return self._changes(self._listed(files))
+
+    def _changes(self, listed: DataFrame) -> DataFrame:
+        now = listed.select("file_id", "sha")
         old = self.files().select("file_id", F.col("sha").alias("old"))
         j = now.join(old, "file_id", "full_outer")
         change = F.when(F.col("old").isNull(), "added").when(F.col("sha").isNull(), "removed").when(F.col("old") != F.col("sha"), "changed").otherwise("same")
@@ -83,7 +86,7 @@ class CodeIndex:
         base, folder = self._newest(), f"d-{uuid.uuid4().hex}"
         listed = self._listed(files)
         listed.drop("text").write.parquet(f"{self.root}/{folder}/files")
-        change = self.compare(files)
+        change = self._changes(self.spark.read.schema(FILES).parquet(f"{self.root}/{folder}/files"))  # as written, so texts are not moved again for their hashes
         todo = change.filter(F.col("change").isin("added", "changed")).select("file_id")
         fresh = code.symbols(listed.filter("status = 'indexed'").join(todo, "file_id", "left_semi").select("file_id", "text"), "file_id", "text")
         kept = self.symbols().join(change.filter("change = 'same'").select("file_id"), "file_id", "left_semi")
