@@ -32,7 +32,8 @@ MEMORY_FLOOR, LEAST = 1.45, 0.05
 class Store:
     """symbols: symbol_id, name, symbol_path, path, signature, status. edges: from_id, to_id, confidence, edge_class,
     edge_id. memories: memory_id, kind, claim, severity, status, usage double, inferred boolean. applies: memory_id,
-    symbol_id. touched: path, days (since its last change).
+    symbol_id; or memory_id, name for all symbols of a name, as pairs of memories and symbols would grow with the product of
+    both. touched: path, days (since its last change).
 
     symbol_index and memory_index are the inverted indexes of the symbols' texts and the memories' claims, vectors (id, v) the
     symbols' letter vectors; they are made with the store, so a question reads no text.
@@ -47,6 +48,16 @@ class Store:
     memory_index: tx.TextIndex | None = None
     vectors: DataFrame | None = None
 
+    def applied(self, memories: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
+        """What applies holds of some memories (memory_id and more columns) or some symbols (symbol_id): memory_id, symbol_id, and what the memories have."""
+        a, by_name = self.applies.distinct(), "name" in self.applies.columns
+        if memories is not None:
+            a = a.join(memories, "memory_id")
+        if symbols is not None:
+            own = self.symbols.select("symbol_id", "name").join(symbols.select("symbol_id"), "symbol_id", "left_semi").distinct()
+            return own.join(a, "name").drop("name") if by_name else a.join(symbols.select("symbol_id"), "symbol_id", "left_semi")
+        return self.symbols.select("symbol_id", "name").distinct().join(a, "name").drop("name") if by_name else a
+
     def indexed(self) -> Store:
         """The same with the indexes and vectors that are missing."""
         s = self.symbols.select("symbol_id", F.concat_ws(" ", "symbol_path", "signature", "path").alias("t"))
@@ -103,11 +114,11 @@ def rank(store: Store, query: str, intent: str | None = None, depth: int = 2) ->
     if not terms:
         return store.symbols.select("symbol_id", F.lit(0.0).alias("score")).limit(0)
     seeds, mems = materialise(symbol_seeds(store, terms, query), "seeds"), materialise(memory_seeds(store, terms), "seeds")  # a few hundred rows each, read several times
-    pulled = mems.join(store.applies, "memory_id").groupBy(F.col("symbol_id").alias("id")).agg(F.max(F.col("relevance") * 0.8).alias("pull"))
+    pulled = store.applied(memories=mems).groupBy(F.col("symbol_id").alias("id")).agg(F.max(F.col("relevance") * 0.8).alias("pull"))
     all_ = seeds.join(pulled, "id", "full_outer").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lex", "sym", "sem", "pull")])
-    near = graph.spread(store.edges, all_.select("id", F.greatest("lex", "sym", "sem", "pull").alias("score")).filter("score > 0"), depth).withColumnRenamed("score", "graph")
+    near = materialise(graph.spread(store.edges, all_.select("id", F.greatest("lex", "sym", "sem", "pull").alias("score")).filter("score > 0"), depth).withColumnRenamed("score", "graph"), "near")  # a few hundred rows, all that are ranked
     m = store.memories.join(mems, "memory_id", "left").withColumn("mscore", knowledge.memory_score(F.col("relevance"), F.col("severity"), F.col("usage"), F.col("status"), F.col("inferred"), F.col("kind"), intent))
-    per = m.join(store.applies, "memory_id").groupBy(F.col("symbol_id").alias("id")).agg(
+    per = m.join(store.applied(symbols=near.select(F.col("id").alias("symbol_id"))), "memory_id").groupBy(F.col("symbol_id").alias("id")).agg(
         F.max(F.coalesce(lookup(SEVERITY, F.col("severity")), F.lit(0.3))).alias("sev"), F.least(F.lit(1.0), 0.35 * F.count(F.lit(1))).alias("mem"), F.max(F.coalesce(lookup(STALE_PENALTY, F.col("status")), F.lit(0.0))).alias("stale"), F.max((F.col("kind") == "test_evidence").cast("double")).alias("test"), F.count(F.lit(1)).alias("n"),
         F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(F.round("mscore", 4).alias("s"), "memory_id", "kind")))), 1, 10).alias("ranked"),
     )

@@ -230,7 +230,7 @@ def _store(spark, d) -> inv.Store:
     syms = materialise(s.join(i.files().select("file_id", "path"), "file_id").select("symbol_id", "name", "symbol_path", "path", "signature", F.lit("ACTIVE").alias("status")), "symbols")
     m = memories(spark, d)
     named = m.select("memory_id", F.explode(F.array_distinct(F.regexp_extract_all("claim", F.lit("[a-z]+_[a-z_]+"), 0))).alias("name"))
-    applies = named.join(syms.select("symbol_id", "name"), "name").select("memory_id", "symbol_id").distinct()
+    applies = named.join(syms.select("name").distinct(), "name", "left_semi").select("memory_id", "name")
     touched = materialise(syms.select("path", F.pmod(F.crc32("path"), F.lit(90)).cast("double").alias("days")).distinct(), "touched")
     return inv.Store(syms, materialise(edges, "edges"), materialise(m, "memories"), materialise(applies, "applies"), touched).indexed()
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.plans import domain, graphs, more, search
+from test_state_graph_text import shuffled_rows
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +106,26 @@ def test_areas_of_the_call_graph(spark, sf):
     assert {r["community"]: r["n"] for r in more.area_table(spark, sf).collect()} == Counter(of.values())
     between = Counter(tuple(sorted((of[a], of[b]))) for a, b in graphs.call_graph(spark, sf).select("from_id", "to_id").collect() if a in of and b in of and of[a] != of[b])
     assert {(r["a"], r["b"]): r["n"] for r in more.calls_between(spark, sf).collect()} == between
+
+
+@pytest.fixture(scope="module")
+def common(spark, tmp_path_factory):
+    """Files whose functions have names in common, and experiments that all name one of them."""
+    d, n = str(tmp_path_factory.mktemp("common")), 400
+    docs = [(i, "code_file", f"d{i}/a.py", f"def get_it(x):\n    return put_it(x)\ndef only_{i}(x):\n    return get_it(x)\n") for i in range(n)]
+    spark.createDataFrame(docs, "doc_id long, source string, path string, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(f"e{i}", f"t{i}", f"run {i} says that get_it waits", "2026-01-01") for i in range(n)], "exp_id string, title string, hypothesis string, created_at string").write.parquet(f"{d}/experiments.parquet")
+    return d, n
+
+
+def test_memories_of_a_common_name_are_not_paired_with_its_symbols(spark, common):
+    d, n = common
+    s = domain.store(spark, d)
+    assert s.applies.count() == n and s.applied().count() == n * n
+    pairs = s.applied().select("memory_id", "symbol_id")
+    some = s.symbols.filter("name = 'get_it'").select("symbol_id").limit(2)
+    assert s.applied(symbols=some).count() == 2 * n and s.applied(memories=s.memories.select("memory_id").limit(3)).count() == 3 * n
+    old = domain.inv.Store(**{**vars(s), "applies": pairs})
+    query = "refactor get_it"
+    got, want = (sorted(map(tuple, domain.inv.rank(x, query).drop("memories").collect())) for x in (s, old))
+    assert got == want and any(r[3] > 1 for r in got)
