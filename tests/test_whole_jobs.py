@@ -129,3 +129,11 @@ def test_memories_of_a_common_name_are_not_paired_with_its_symbols(spark, common
     query = "refactor get_it"
     got, want = (sorted(map(tuple, domain.inv.rank(x, query).drop("memories").collect())) for x in (s, old))
     assert got == want and any(r[3] > 1 for r in got)
+
+
+def test_dead_code_of_a_common_name(spark, common):
+    d, n = common
+    before = shuffled_rows(spark)
+    got = [tuple(r) for r in graphs.dead_code(spark, d).collect()]
+    assert shuffled_rows(spark) - before < n * n / 4
+    assert len(got) == n and {r[1] for r in got} == {"higher"}
