@@ -137,3 +137,13 @@ def test_dead_code_of_a_common_name(spark, common):
     got = [tuple(r) for r in graphs.dead_code(spark, d).collect()]
     assert shuffled_rows(spark) - before < n * n / 4
     assert len(got) == n and {r[1] for r in got} == {"higher"}
+
+
+def test_areas_of_a_common_name(spark, common):
+    d, n = common
+    before = shuffled_rows(spark)
+    of = graphs.areas(spark, d).collect()
+    assert shuffled_rows(spark) - before < n * n
+    assert 1.9 * n <= len(of) == 2 * len({r["community"] for r in of})  # a pair that rounds leave apart is no area
+    assert {r["n"] for r in more.area_table(spark, d).collect()} == {2}
+    assert more.calls_between(spark, d).count() == 0
